@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intake.llm import bpe, simhash
+from intake.llm import bpe, quality, simhash
 from intake.llm.common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the rules learned from the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.decide(docs, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
