@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,25 @@ def words(text: Column) -> Column:
 def id_hash(doc_id: Column) -> Column:
     """crc32 of the id as text, from which the folds are cut; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def map_slices(df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = 256) -> DataFrame:
+    """A map over Arrow batches in slices of ``rows`` rows, which bounds what a Python worker holds at once.
+
+    ``make`` is called once per task and gives the function for the slices.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                yield work(batch.slice(start, rows))
+
+    return df.mapInArrow(run, schema)
+
+
+def list_array(values, lengths, kind: pa.DataType) -> pa.ListArray:
+    """An Arrow list column from its values in a row and the length of each list."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intake.llm import bpe, quality, simhash
-from intake.llm.common import table
+from intake.llm import bpe, quality, simhash, toxicity
+from intake.llm.common import id_hash, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.decide(docs, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = id_hash(F.col("doc_id")) % 3 == 1
+    index = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs, index, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
