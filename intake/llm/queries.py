@@ -27,7 +27,7 @@ def tokenizer_path() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded; digests of the ids and of the decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    coded = bpe.code(docs, tokenizer_path(), decoded_to="decoded", keep=("doc_id",))
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
