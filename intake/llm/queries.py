@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intake.llm import bpe, quality, simhash, toxicity
+from intake.llm import bpe, maxent, quality, simhash, toxicity
 from intake.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -59,3 +59,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_hash(F.col("doc_id")) % 3 == 1
     index = toxicity.fit(docs, labels.where(~held_out))
     return toxicity.score(docs, index, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+@query
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and model score of every text, learned from nine tenths of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_hash(F.col("doc_id")) % 10 == 0
+    scored = maxent.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
