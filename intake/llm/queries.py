@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intake.llm import bpe, maxent, quality, simhash, toxicity
+from intake.llm import bpe, maxent, mixing, quality, simhash, spotsigs, toxicity
 from intake.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -68,3 +68,23 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_hash(F.col("doc_id")) % 10 == 0
     scored = maxent.score(docs, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each as often as drawn for its source, in a global random order."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_mixing"] = mixing.mix_sql()
+
+
+@query
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot signatures of every text and its edited text, and their likeness."""
+    marked = spotsigs.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.as_text("spots").alias("fingerprint"), spotsigs.as_text("edited_spots").alias("edited_fingerprint"), "near_edited", "near_next",
+        spotsigs.length_class("spots").alias("length_class"),
+    )
