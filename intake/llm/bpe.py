@@ -162,7 +162,7 @@ def code(docs: DataFrame, path: str, text_col: str = "text", ids_to: str = "toke
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids_to, decoded_to)]
     fields = [*docs.select(*keep).schema.fields, T.StructField(ids_to, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_to, T.StringType())] if decoded_to else [])]
     # the text goes last, so that what is kept may hold it too
-    given = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")))
+    given = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text_in"))
 
     def make():
         bpe = load(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intake.llm import bpe, maxent, mixing, quality, simhash, spotsigs, toxicity
+from intake.llm import bpe, maxent, mixing, pages, quality, simhash, spotsigs, toxicity
 from intake.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -88,3 +88,10 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.as_text("spots").alias("fingerprint"), spotsigs.as_text("edited_spots").alias("edited_fingerprint"), "near_edited", "near_next",
         spotsigs.length_class("spots").alias("length_class"),
     )
+
+
+@query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    text = pages.main_text(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

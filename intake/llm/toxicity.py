@@ -292,4 +292,4 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", keep: tuple[str
 
         return work
 
-    return map_slices(docs.select(*keep, F.coalesce(F.col(text_col), F.lit(""))), T.StructType(fields), make)
+    return map_slices(docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text_in")), T.StructType(fields), make)
