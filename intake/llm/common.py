@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,21 @@ def list_array(values, lengths, kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def put_file(path: str, data: bytes) -> None:
+    """A whole file at a path or URI that executors share: written aside and moved, so that a repeated task leaves one good file."""
+    system, place = fs.FileSystem.from_uri(path)
+    aside = f"{place}.{uuid.uuid4().hex}"
+    system.create_dir(place.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(aside, compression=None) as out:
+        out.write(data)
+    system.move(aside, place)
+
+
+def get_bytes(path: str, start: int, length: int) -> bytes:
+    """Part of a file at a path or URI."""
+    system, place = fs.FileSystem.from_uri(path)
+    with system.open_input_file(place) as f:
+        f.seek(start)
+        return f.read(length)

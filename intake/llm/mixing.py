@@ -70,7 +70,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, scale: float =
     # the first 13 hex digits of the hash as a fraction; as many copies as steps of the distribution function are at most that
     unit = f"cast(conv(substr(md5(concat(_id, ':{seed}:', cast(j as string))), 1, 13), 16, 10) as bigint) / {1 << 52}D"
     copies = F.expr(f"aggregate(transform(transform(sequence(1, parts), j -> {unit}), u -> size(filter(cdf, c -> c <= u))), 0, (a, x) -> a + x)")
-    drawn = joined.withColumn("_copies", copies).where("_copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    # no filter, which would draw once more: an explode of null gives no row
+    drawn = joined.withColumn("_copies", copies).withColumn("replica", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))))
     place = F.xxhash64(F.lit(seed), "_id", "replica")
     return drawn.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").select(*docs.columns, "replica")
 

@@ -177,3 +177,8 @@ def decide(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFr
     """``docs`` with counts, ratios, ``base_failed``, ``rule`` (that rejected) and ``kept``."""
     df = measure(docs, text_col).withColumn("rule", rejects(rules))
     return df.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def kept_rows(decided: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of the rows that ``decide`` keeps. An explode, as a filter would be pushed below the counts and compute them again inside each other."""
+    return decided.select(*columns, F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_one")).drop("_one")

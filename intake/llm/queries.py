@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intake.llm import bpe, maxent, mixing, pages, quality, simhash, spotsigs, toxicity
-from intake.llm.common import id_hash, table
+from intake.llm import bpe, maxent, mixing, pages, quality, shards, simhash, spotsigs, toxicity, warc
+from intake.llm.common import id_hash, shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +97,19 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     text = pages.main_text(table(spark, sf_dir, "pages"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a response record with its metadata and conversion records."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+@query
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fixed-stride shards in training order; a row per sequence with its place."""
+    import public_tokenizers
+
+    folder = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shards.materialise(docs, folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

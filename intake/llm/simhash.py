@@ -132,3 +132,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(*kept, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay if one row of each component does: that with the least id, and of rows with the same id the first by text."""
+    named = near_duplicates(docs, id_col, text_col, size)
+    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    again = rows.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_id"))
+    # repeated ids are rare: only their rows are ordered
+    single = rows.join(again, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    several = rows.join(again, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    first = several.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce(F.col(text_col), F.lit("")), F.xxhash64(*docs.columns))).alias("_row")).select("_row.*")
+    return single.unionByName(first)
