@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from intake.plans import history, lookups
+
+QUERIES: dict = {**lookups.QUERIES, **history.QUERIES}
+ORACLES: dict[str, str] = {**lookups.ORACLES, **history.ORACLES}
 FLAGSHIP = "resolve_progress"
