@@ -1,0 +1,215 @@
+"""Queries of attribution, documents and page features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from intake.functions import text
+from intake.operators import attribution, documents, features
+from intake.plans.fixtures import fixture, with_fixtures
+from intake.plans.lookups import AS_ID, STRICT, q_clean
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = with_fixtures(sql)
+        return f
+
+    return add
+
+
+BATCHES = "b as (select event_id as batch_id, folder_id, school, ts as opened_at, closed_at from (select *, lead(ts) over (partition by folder_id order by ts, event_id) as closed_at from fx_batch_events where kind <> 'file') where kind = 'start')"
+PLACED = """f as (select event_id as file_id, folder_id, ts as created from fx_batch_events where kind = 'file'),
+near_b as (select f.*, (select max(struct_pack(o := opened_at, i := batch_id, s := school, c := closed_at)) from b where b.folder_id = f.folder_id and b.opened_at <= f.created) as x, (select min(struct_pack(o := opened_at, i := batch_id, s := school, c := closed_at)) from b where b.folder_id = f.folder_id) as y from f),
+placed as (select file_id, folder_id, created, case when x is null then y.i when x.c is null or created < x.c then x.i end as batch_id, case when x is null then y.s when x.c is null or created < x.c then x.s end as batch_school,
+  case when y is null then 'waiting' when x is null or x.c is null or created < x.c then 'batch' else 'set_aside' end as place from near_b)"""
+
+
+def scene(spark, d):
+    events = fixture(spark, d, "fx_batch_events")
+    return events.where("kind = 'file'").select(F.col("event_id").alias("file_id"), "folder_id", F.col("ts").alias("created")), attribution.close_on_open(events)
+
+
+@query(f"with {BATCHES} select * from b")
+def batches(spark, d):
+    """W6."""
+    return scene(spark, d)[1]
+
+
+@query(f"with {BATCHES}, {PLACED} select * from placed")
+def attribute_to_batch(spark, d):
+    """J8."""
+    return attribution.attribute(*scene(spark, d))
+
+
+@query(f"with {BATCHES}, {PLACED} select p.*, case when ok then q.pb end as tail_batch_id, case when ok then q.ps end as tail_school from (select p.*, q.pb, q.ps, created >= q.opened_at and created < q.pc + interval '10 minutes' and q.ps is distinct from batch_school as ok from placed p left join (select batch_id, opened_at, lag(batch_id) over w as pb, lag(school) over w as ps, lag(closed_at) over w as pc from b window w as (partition by folder_id order by opened_at, batch_id)) q on q.batch_id = p.batch_id) p left join (select batch_id as bb, lag(batch_id) over w as pb, lag(school) over w as ps from b window w as (partition by folder_id order by opened_at, batch_id)) q on q.bb = p.batch_id".replace("select p.*, case", "select file_id, folder_id, created, batch_id, batch_school, place, case"))
+def tail_batch(spark, d):
+    """J9."""
+    files, b = scene(spark, d)
+    return attribution.with_tail(attribution.attribute(files, b), b)
+
+
+@query(f"with {BATCHES}, {PLACED} select b.batch_id, count(p.file_id) as pages_done from b left join placed p on p.batch_id = b.batch_id and p.place = 'batch' group by 1")
+def pages_done(spark, d):
+    """A8."""
+    files, b = scene(spark, d)
+    return attribution.pages_done(attribution.attribute(files, b), b)
+
+
+@query(f"with {BATCHES} select folder_id, batch_id, school, opened_at, closed_at from (select *, row_number() over (partition by folder_id order by opened_at desc, batch_id desc) as k from b where opened_at <= (select max(ts) from events) and (closed_at is null or closed_at > (select max(ts) from events) - interval '6 hours')) where k = 1")
+def batches_to_watch(spark, d):
+    """R4, as of the last event."""
+    last = fixture(spark, d, "select max(ts) as t from events").first().t
+    return attribution.batches_to_watch(scene(spark, d)[1], F.lit(last).cast("timestamp_ntz"))
+
+
+STATES = "select event_id as file_id, case event_id % 5 when 1 then 'reading' when 2 then 'logged' when 3 then 'done' else 'parked' end as state, ts - (event_id % 20) * interval '1' minute as updated_at from fx_batch_events where kind = 'file' and event_id % 5 <> 0"
+
+
+@query("select event_id as file_id, case when event_id % 5 = 0 then 'new' when event_id % 5 in (1, 2) then 'resume' when event_id % 5 = 3 and event_id % 20 >= 10 then 'new' else 'skip' end as action from fx_batch_events where kind = 'file'")
+def relist_action(spark, d):
+    """W9."""
+    return attribution.relist_action(scene(spark, d)[0], fixture(spark, d, STATES), F.col("created")).select("file_id", "action")
+
+
+@query("select event_id as file_id from fx_batch_events where kind = 'file' and event_id % 5 in (0, 1)")
+def pending_files(spark, d):
+    """J13."""
+    return attribution.pending_files(scene(spark, d)[0].select("file_id"), fixture(spark, d, STATES))
+
+
+@query("select event_id, ts + interval '5 hours 30 minutes' as drive_time from events where event_id % 10 <> 0 union all select event_id, null from events where event_id % 10 = 0")
+def drive_time(spark, d):
+    """Times as text with a Z, and words that are no time."""
+    t = fixture(spark, d, "select event_id, ts from events").select("event_id", F.when(F.col("event_id") % 10 == 0, "yesterday").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).alias("t"))
+    return t.select("event_id", text.drive_time("t").alias("drive_time"))
+
+
+@query("select user_id, case when n_kept = 0 then '[skipped] Scan ' || user_id || '.PDF' when n_kept <> 1 then '[done ' || n_kept || ' pages] Scan ' || user_id || '.PDF' when one = '[unread]' then '[unread] Scan ' || user_id || '.PDF' else one || '.pdf' end as name from (select user_id, count(*) filter (label <> '[skipped]') as n_kept, min(label) filter (label <> '[skipped]') as one from (select user_id, case event_type when 'view' then '[skipped]' when 'click' then '[unread]' else 'ID' || event_id end as label from events where event_id % 7 = 0) group by 1)")
+def result_names(spark, d):
+    """T17."""
+    e = fixture(spark, d, "select user_id, case event_type when 'view' then '[skipped]' when 'click' then '[unread]' else 'ID' || event_id end as label from events where event_id % 7 = 0")
+    return e.groupBy("user_id").agg(F.collect_list("label").alias("labels")).select("user_id", text.result_name(F.concat(F.lit("Scan "), F.col("user_id").cast("string"), F.lit(".PDF")), F.col("labels")).alias("name"))
+
+
+PAIRED = """u as (select *, status = 'read' and student_id <> '' as starter, not (status = 'read' and student_id = '' and skip_reason in ('declaration', 'continuation')) as head from fx_pages where code is null and school = 'BOPEMS' and not (status = 'read' and student_id = '' and skip_reason = 'blank')),
+runs as (select *, sum(head::int) over (partition by owner order by received_ns, source_page, page_id) as run from u),
+marked as (select *, row_number() over w as spot, first_value(starter) over w as s, first_value(school) over w as hs, first_value(location) over w as hl from runs window w as (partition by owner, run order by received_ns, source_page, page_id)),
+bad as (select *, max((school is distinct from hs or location is distinct from hl)::int) over (partition by owner, run order by received_ns, source_page, page_id) as wrong from marked),
+paired as (select page_id, 'B0-' || n as auto_code from (select *, dense_rank() over (partition by owner order by run) as n from bad where s and run > 0 and spot <= 3 and wrong = 0) where n <= 999)"""
+CODED = f"""{PAIRED}, coded as (select p.*, row_number() over w as position, lead(status in ('queued', 'reading') and code is null) over w as next_open, coalesce(code, auto_code) as doc_code from fx_pages p left join paired using (page_id) window w as (partition by owner order by received_ns, source_page, p.page_id))"""
+JUDGED = f"""{CODED}, docs as (select owner, doc_code as code, count(*) as pages, list_distinct(list(matched_student_id) filter (coalesce(matched_student_id, '') <> '')) as matched, list_distinct(list(student_id) filter (coalesce(student_id, '') <> '')) as read_ids,
+  bool_or(status in ('queued', 'reading')) or coalesce(arg_max(coalesce(next_open, false), position), false) as unread, bool_or(status = 'failed') as failed from coded where doc_code is not null group by 1, 2),
+sized as (select *, coalesce(len(matched), 0) as m, coalesce(len(read_ids), 0) as r from docs),
+judged as (select owner, code, pages, case when m = 1 then matched[1] when m = 0 and r = 1 then read_ids[1] else '' end as student, case when m = 1 then matched[1] end as one,
+  case when m > 1 or (m = 0 and r > 1) then 'conflict' when m = 0 and r = 1 then 'no_match' when m = 0 then 'no_id' else '' end as reasons, unread, failed from sized),
+stated as (select *, case when unread then 'waiting' when failed then 'failed' when reasons <> '' then 'needs_attention' else 'ready' end as status from judged)"""
+
+
+def coded(spark, d):
+    return documents.with_codes(fixture(spark, d, "fx_pages"))
+
+
+@query(f"with {PAIRED} select * from paired")
+def pair_uncoded(spark, d):
+    """W5."""
+    return documents.pair_uncoded(fixture(spark, d, "fx_pages"))
+
+
+@query(f"with {CODED} select page_id, position, coalesce(next_open, false) as next_open from coded")
+def scan_order(spark, d):
+    """W4."""
+    return documents.scan_order(fixture(spark, d, "fx_pages")).select("page_id", "position", F.coalesce("next_open", F.lit(False)).alias("next_open"))
+
+
+@query(f"with {CODED} select owner, doc_code as code, string_agg(page_id, ',' order by position) as page_ids from coded where doc_code is not null group by 1, 2")
+def assemble_documents(spark, d):
+    """G1."""
+    return documents.assemble(coded(spark, d)).select("owner", "code", F.array_join(F.transform("parts", lambda p: p["page_id"]), ",").alias("page_ids"))
+
+
+@query(f"with {CODED} select owner, page_id from coded where doc_code is null and status in ('read', 'failed')")
+def unsorted_pages(spark, d):
+    """G1: pages of no document."""
+    return documents.unsorted(coded(spark, d))
+
+
+@query(f"with {JUDGED} select owner, code, pages, student, reasons, status from stated")
+def judge_documents(spark, d):
+    """G2, A9."""
+    return documents.judge(documents.assemble(coded(spark, d))).select("owner", "code", "pages", "student", F.array_join("reasons", ",").alias("reasons"), "status")
+
+
+@query(f"with {JUDGED} select owner, code, case when hold then 'needs_attention' else status end as status, case when hold then 'same_student' else reasons end as reasons from (select *, status = 'ready' and count(*) over (partition by owner, one) > 1 as hold from stated)")
+def flag_same_student(spark, d):
+    """G3."""
+    return documents.flag_same_student(documents.judge(documents.assemble(coded(spark, d)))).select("owner", "code", "status", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("select owner, count(*) filter (status = 'queued') as queued, count(*) filter (status = 'reading') as reading, count(*) filter (status = 'read') as read, count(*) filter (status = 'failed') as failed from fx_pages group by 1")
+def queue_counts(spark, d):
+    """A6."""
+    return documents.queue_counts(fixture(spark, d, "fx_pages"))
+
+
+@query(f"with {JUDGED} select owner, cast(regexp_extract(code, '^B([0-9]+)-', 1) as int) as batch, count(*) as documents, sum(pages) as pages, count(*) filter (status = 'waiting') as waiting, count(*) filter (status = 'ready') as ready, count(*) filter (status = 'needs_attention') as needs_attention, count(*) filter (status = 'failed') as failed, 0 as confirmed, 0 as uploaded, case when code like 'B0-%' then 'No code' else regexp_extract(code, '^(B[0-9]+)-', 1) end as label from stated group by 1, 2, label")
+def batch_summary(spark, d):
+    """A7."""
+    return documents.batch_summary(documents.judge(documents.assemble(coded(spark, d))))
+
+
+@query("select page_id from fx_pages where not (code is not null and owner % 2 = 0)")
+def open_pages(spark, d):
+    """Pages in no confirmed document; those of every second owner's coded documents are confirmed."""
+    pages = fixture(spark, d, "fx_pages")
+    done = pages.where("code is not null and owner % 2 = 0").groupBy("owner", "code").agg(F.collect_list("page_id").alias("page_ids"))
+    return documents.open_pages(pages, done).select("page_id")
+
+
+@query("select page_id, case when received_ns % 9 = 0 then 'B7-7' else code end as code, case when received_ns % 9 = 0 then 'typed' when coalesce(code, '') <> '' then 'read' else 'none' end as code_source, student_id from fx_pages")
+def page_view(spark, d):
+    """J11."""
+    p = fixture(spark, d, "fx_pages")
+    typed = p.where("received_ns % 9 = 0").select("page_id", F.lit("B7-7").alias("code"), F.lit(None).cast("string").alias("student_id"))
+    return documents.page_view(p.select("page_id", "owner"), p.select("page_id", "code", "student_id"), typed).select("page_id", "code", "code_source", "student_id")
+
+
+@query("select event_id as file_id, user_id % 5 as folder, case when k = 1 then 'Form.pdf' else 'Form (' || k || ').pdf' end as free_name from (select *, row_number() over (partition by user_id % 5 order by event_id) + case when user_id % 5 = 0 then 1 else 0 end as k from events)")
+def free_names(spark, d):
+    """One folder holds the name already."""
+    e = fixture(spark, d, "select event_id as file_id, user_id % 5 as folder, 'Form.pdf' as name from events")
+    return documents.free_names(e, e.where("folder = 0").select("folder", "name").distinct()).select("file_id", "folder", "free_name")
+
+
+@query("select vec_id, case when abs(embedding[1]) < 0.02 then 'blank' when abs(embedding[2]) > 0.2 then 'declaration' when abs(embedding[3]) * 5 >= 0.75 and abs(embedding[3]) * 5 - abs(embedding[4]) >= 0.25 then 'continuation' when abs(embedding[5]) < 0.02 then 'empty_id' else '' end as reason from embeddings")
+def skip_reasons(spark, d):
+    """F5."""
+    x = lambda k: F.abs(F.col("embedding")[k - 1])
+    return fixture(spark, d, "select * from embeddings").select("vec_id", features.skip_reason(x(1), x(2) > 0.2, x(3) * 5, x(4), x(5)).alias("reason"))
+
+
+@query("select vec_id, round(case when abs(coalesce(a, 0)) < 0.15 then 0 else a end, 6) as skew from (select vec_id, quantile_cont(x, 0.5) filter (abs(x) < 8) as a from (select vec_id, unnest(embedding)::double * 40 as x from embeddings) group by 1)")
+def skew_angle(spark, d):
+    """F8."""
+    lines = fixture(spark, d, "select * from embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", (F.col("x").cast("double") * 40).alias("angle"))
+    return features.skew_angle(lines, "vec_id", "angle").select("vec_id", F.round("skew", 6).alias("skew"))
+
+
+@query("select doc_id, source, first_value(lang || doc_id) over w as reading, doc_id <> first_value(doc_id) over w as reused from documents window w as (partition by source, md5(text) order by doc_id)")
+def reuse_duplicates(spark, d):
+    """documents as pages, sources as files."""
+    pages = fixture(spark, d, "select doc_id, source, md5(text) as fingerprint, lang || doc_id as r from documents")
+    return features.reuse_duplicates(pages, "source", "fingerprint", "doc_id", "r").select("doc_id", "source", "reading", "reused")
+
+
+@query(f"""select page_id, student_id, round(score, 6) as score from (select *, row_number() over (partition by page_id order by score desc, reading_id) as k from (select reading_id, reading_id // 4 as page_id, {AS_ID} as student_id, (reading_id % 7) / 10.0 + case when {STRICT} then 0.25 else 0 end as score from (select *, {q_clean('reading')} as token from fx_readings))
+  where student_id <> '') where k = 1""")
+def best_candidate(spark, d):
+    """The best of the readings of a page."""
+    r = fixture(spark, d, "fx_readings").select(F.floor(F.col("reading_id") / 4).alias("page_id"), F.col("reading").alias("text"), F.col("reading_id").alias("position"), ((F.col("reading_id") % 7) / 10.0).alias("confidence"))
+    return features.best_candidate(r).select("page_id", "student_id", F.round("score", 6).alias("score"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from intake.plans import history, lookups
+from intake.plans import intake as pages
 
-QUERIES: dict = {**lookups.QUERIES, **history.QUERIES}
-ORACLES: dict[str, str] = {**lookups.ORACLES, **history.ORACLES}
+QUERIES: dict = {**lookups.QUERIES, **history.QUERIES, **pages.QUERIES}
+ORACLES: dict[str, str] = {**lookups.ORACLES, **history.ORACLES, **pages.ORACLES}
 FLAGSHIP = "resolve_progress"
