@@ -2,7 +2,7 @@
 
 Readings carry ``reading``, ``scan_school`` and ``scan_location``; equal readings in equal scope are resolved
 once. A roster row is found under its school and under the empty scope, which stands for everywhere, so that every scope
-is an equi-join. Candidates of fuzzy stages are scored in blocks of at most ``BLOCK`` identifiers per scope.
+is an equi-join. Candidates of the fuzzy stage are scored in blocks of about ``BLOCK`` identifiers per scope.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from intake.functions import similarity, text
 from intake.shared import cut
 
-BLOCK = 2000
+BLOCK, GROUP = 2000, 500
 # Thresholds of the fuzzy stages.
 MIN_SCORE, MIN_MARGIN, MAX_LENGTH_DELTA, MIN_LETTERS = 0.80, 0.08, 1, 0.55
 CANDIDATE = "^[A-Z]{3,12}[0-9]{4,12}$"
@@ -95,7 +95,12 @@ def constrained_repair(scoped: DataFrame, roster: DataFrame) -> DataFrame:
     blocks = ids.join(sizes, "scope").groupBy("scope", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.array_join(F.array_sort(F.collect_list("id")), " ").alias("ids"))
     token = F.col("token")
     queries = F.array_distinct(F.concat(F.array(token, F.translate(token, *text.SAFE_DIGIT)), text.shape_variants(token)))
-    scored = scoped.where(F.length("token") >= 6).withColumn("queries", queries).join(blocks, "scope").select(*PROBE, F.explode(similarity.top_two("queries", "ids")).alias("c")).select(*PROBE, "c.id", "c.score")
+    asked = scoped.where(F.length("token") >= 6).withColumn("queries", queries)
+    # readings in groups of about GROUP per scope, so that a block travels once for many of them
+    groups = asked.groupBy("scope").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    grouped = asked.join(groups, "scope").groupBy("scope", F.pmod(F.xxhash64(*PROBE), "groups").alias("group")).agg(F.collect_list(F.struct(*PROBE, "queries")).alias("p"))
+    best = grouped.join(blocks, "scope").select("p", similarity.top_two(F.transform("p", lambda x: x["queries"]), "ids").alias("c"))
+    scored = best.select(F.explode(F.arrays_zip("p", "c")).alias("z")).select(*(f"z.p.{c}" for c in PROBE), F.explode("z.c").alias("c")).select(*PROBE, "c.id", "c.score")
     return _found(_accept(scored, MIN_SCORE), scoped, roster, "constrained_repair")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from intake.functions import similarity, text
 from intake.operators import lookup
 from intake.plans.fixtures import fixture, with_fixtures
+from intake.shared import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -178,7 +179,8 @@ hit4 as (select o.token, o.school, o.location, x.person, x.student_id, x.student
 def constrained_repair(spark, d):
     """On what the exact stages leave."""
     _, roster, _, scoped = scoped_of(spark, d)
-    left = scoped.join(lookup.variant_lookup(scoped, roster, with_exact=True), list(lookup.PROBE), "left_anti")
+    scoped = cut(scoped)
+    left = cut(scoped.join(lookup.variant_lookup(scoped, roster, with_exact=True), list(lookup.PROBE), "left_anti"))
     return lookup.constrained_repair(left, roster)
 
 
@@ -186,7 +188,8 @@ def constrained_repair(spark, d):
 def digit_suffix_lookup(spark, d):
     """On what the exact stages leave."""
     _, roster, _, scoped = scoped_of(spark, d)
-    left = scoped.join(lookup.variant_lookup(scoped, roster, with_exact=True), list(lookup.PROBE), "left_anti")
+    scoped = cut(scoped)
+    left = cut(scoped.join(lookup.variant_lookup(scoped, roster, with_exact=True), list(lookup.PROBE), "left_anti"))
     return lookup.digit_suffix(left, roster)
 
 
