@@ -110,12 +110,21 @@ def with_fixtures(sql: str) -> str:
     return f"with {ctes}, {sql.strip()[5:]}" if sql.strip().lower().startswith("with ") else f"with {ctes} {sql}"
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
+_READ: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """The driver's tables that a query names as views; schemas are read once per application."""
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        if re.search(rf"\b{name}\b", sql):
+            key = (spark.sparkContext.applicationId, sf_dir, name)
+            if key not in _READ:
+                _READ[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            _READ[key].createOrReplaceTempView(name)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixtures, or any query over them and the driver's tables."""
-    views(spark, sf_dir)
-    return spark.sql(with_fixtures(f"select * from {name}" if re.fullmatch(r"\w+", name) else name))
+    sql = with_fixtures(f"select * from {name}" if re.fullmatch(r"\w+", name) else name)
+    views(spark, sf_dir, sql)
+    return spark.sql(sql)
