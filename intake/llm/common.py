@@ -71,7 +71,7 @@ def list_array(values, lengths, kind: pa.DataType) -> pa.ListArray:
     """An Arrow list column from its values in a row and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
 def put_file(path: str, data: bytes) -> None:

@@ -3,7 +3,7 @@
 Texts become token ids, cut into sequences of at most ``SEQUENCE`` ids per document (the last id of a document is its end).
 Sequences are numbered without a shuffle: partitions of the written tokens are counted, and each continues the count where
 the ones before end. A keyed Feistel network over the next power of four, walked on until it falls below the number
-of sequences, is a permutation: it gives each sequence a global slot. Slots are dealt by range, and each task
+of sequences, is a permutation: it gives each sequence a global slot. Slots are dealt by range of shards, each task's sequences for a shard as one compressed block, and each task
 writes whole shards of ``SHARD`` records of one fixed stride. So slot k stands in shard k // SHARD at byte (k % SHARD) * STRIDE,
 and reading can begin or go on at any slot.
 
@@ -21,14 +21,16 @@ import math
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intake.llm.common import cut, get_bytes, map_slices, put_file
+from intake.llm.common import cut, get_bytes, list_array, map_slices, put_file
 
 SEQUENCE, SHARD = 256, 16_384
 HEAD = "<qii"
@@ -36,6 +38,10 @@ STRIDE = struct.calcsize(HEAD) + 2 * SEQUENCE
 END = 50_256
 KEY, ROUNDS = 0x5EED, 6
 _ALL = (1 << 64) - 1
+#: Sequences that a task gathers before it deals them to shards, and the level of compression on the way.
+HELD, LEVEL = 60_000, 9
+#: A sequence's place on the way to its shard, and what stands for a null id there.
+PLACE, NULL = [("slot", "<u2"), ("doc", "<i8"), ("sequence", "<i4"), ("n", "<u2")], -(1 << 63)
 
 
 @lru_cache(maxsize=2)
@@ -81,47 +87,92 @@ def materialise(docs: DataFrame, folder: str, path: str, pattern: str, key: int
         enc = tokenizer(path, pattern)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.array([*enc.encode_ordinary(t), END], np.uint16).tobytes() for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = [np.array([*enc.encode_ordinary(t), END], np.uint16) for t in batch.column(1).to_pylist()]
+            docs_ = list_array(batch.column(0), [len(ids)], pa.int64())
+            return pa.RecordBatch.from_arrays([docs_, list_array([len(x) for x in ids], [len(ids)], pa.int32()), pa.array([_pack(ids)], pa.binary())], ["docs", "sizes", "ids"])
 
         return work
 
-    coded = cut(map_slices(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id long, ids binary", encode))
-    # ids take two bytes
-    per_part = coded.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.ceil(F.octet_length("ids") / (2 * SEQUENCE))).alias("n")).collect()
-    sizes = {r.p: r.n for r in per_part}
+    # a row for each slice of documents, with the ids of all of them as one compressed block
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    coded = cut(map_slices(given, "docs array<long>, sizes array<int>, ids binary", encode))
+    sequences = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, k: n + F.ceil(k / SEQUENCE))
     n, start = 0, {}
-    for p in sorted(sizes):
-        start[p], n = n, n + sizes[p]
+    for r in sorted(coded.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(sequences).alias("n")).collect()):
+        start[r.p], n = n, n + r.n
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = start.get(TaskContext.get().partitionId(), 0)
+        at, held = start.get(TaskContext.get().partitionId(), 0), []
+
+        def out() -> pa.RecordBatch:
+            """What is held, with the sequences of each shard as one compressed block, in the order of documents, and their places as another."""
+            held.sort(key=lambda r: r[0] // SHARD)
+            rows = []
+            for shard, group in groupby(held, key=lambda r: r[0] // SHARD):
+                group = list(group)
+                places = np.array([(r[0] - shard * SHARD, NULL if r[1] is None else r[1], r[2], len(r[3])) for r in group], PLACE)
+                rows.append((shard, _squeeze(b"".join(places[f].tobytes() for f in places.dtype.names)), _pack([r[3] for r in group])))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["shard", "places", "ids"])
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows = [(d, k // (2 * SEQUENCE), ids[k : k + 2 * SEQUENCE]) for d, ids in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True) for k in range(0, len(ids), 2 * SEQUENCE)]
-                slots = permute(np.arange(at, at + len(rows)), n, key)
+            for docs_, sizes, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, done, rows = _unpack(block), 0, []
+                for d, size in zip(docs_, sizes, strict=True):
+                    rows += [(d, k // SEQUENCE, ids[done + k : done + min(size, k + SEQUENCE)]) for k in range(0, size, SEQUENCE)]
+                    done += size
+                held += [(slot, *r) for slot, r in zip(permute(np.arange(at, at + len(rows)), n, key).tolist(), rows, strict=True)]
                 at += len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // SHARD), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["slot", "shard", "doc_id", "sequence", "ids"])
+                if len(held) >= HELD:
+                    yield out()
+        if held:
+            yield out()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, data = None, bytearray()
-        for batch in batches:
-            slots, shards, docs_, seqs, ids = (c.to_pylist() for c in batch.columns)
-            for s, d, k, x in zip(shards, docs_, seqs, ids, strict=True):
-                if s != shard and data:
-                    put_file(file_of(folder, shard), bytes(data))
-                    data.clear()
-                shard = s
-                data += struct.pack(HEAD, -1 if d is None else d, k, len(x) // 2) + x + END.to_bytes(2, "little") * (SEQUENCE - len(x) // 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s % SHARD * STRIDE for s in slots], pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int32())], ["slot", "shard", "doc_id", "sequence", "offset", "n_ids"])
-        if data:
-            put_file(file_of(folder, shard), bytes(data))
-
-    placed = coded.mapInArrow(place, "slot long, shard long, doc_id long, sequence int, ids binary")
-    dealt = placed.repartitionByRange(max(1, math.ceil(n / SHARD)), "shard").sortWithinPartitions("slot")
+        blocks = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for shard, group in groupby(blocks, key=lambda r: r[0]):
+            size = min(SHARD, n - shard * SHARD)
+            data, rows = np.zeros((size, STRIDE), np.uint8), []
+            for _, places, block in group:
+                ids, done = _unpack(block), 0
+                for slot, d, k, count in _places(places):
+                    record = struct.pack(HEAD, -1 if d == NULL else d, k, count) + ids[done : done + count].tobytes() + END.to_bytes(2, "little") * (SEQUENCE - count)
+                    data[slot] = np.frombuffer(record, np.uint8)
+                    rows.append((slot + shard * SHARD, None if d == NULL else d, k, count))
+                    done += count
+            put_file(file_of(folder, shard), data.tobytes())
+            rows.sort(key=lambda r: r[0])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            slot, doc, seq, count = (pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([slot, pa.array([shard] * len(rows), pa.int64()), doc, seq, pa.array([r[0] % SHARD * STRIDE for r in rows], pa.int64()), count], ["slot", "shard", "doc_id", "sequence", "offset", "n_ids"])
+
+    placed = coded.mapInArrow(place, "shard long, places binary, ids binary")
+    dealt = placed.repartitionByRange(max(1, math.ceil(n / SHARD)), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(write, "slot long, shard long, doc_id long, sequence int, offset long, n_ids int")
 
 
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+
+
+def _places(block: bytes) -> list[tuple[int, int, int, int]]:
+    """(slot in the shard, document, sequence, ids) of a block's sequences."""
+    data, kind = zstandard.ZstdDecompressor().decompress(block), np.dtype(PLACE)
+    n, at, columns = len(data) // kind.itemsize, 0, []
+    for name in kind.names:
+        columns.append(np.frombuffer(data, kind[name], n, at).tolist())
+        at += n * kind[name].itemsize
+    return list(zip(*columns, strict=True))
+
+
+def _pack(ids: list[np.ndarray]) -> bytes:
+    return _squeeze((np.concatenate(ids) if ids else np.zeros(0, np.uint16)).astype("<u2").tobytes())
+
+
+def _unpack(block: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(block), "<u2")
+
+
 def file_of(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
