@@ -64,3 +64,11 @@ def best_candidate(candidates: DataFrame, page: str = "page_id") -> DataFrame:
 def reading_order(boxes: DataFrame, page: str = "page_id", band: float = 40.0) -> DataFrame:
     order = Window.partitionBy(page).orderBy(F.floor(F.col("mid_y") / band), "min_x")
     return boxes.withColumn("position", F.row_number().over(order))
+
+
+def first_code(corners: DataFrame, key: str, lines_col: str = "lines", rank_col: str = "rank") -> DataFrame:
+    """The first candidate of a page's corners that is a code: corners by rank (top right first), candidates in their order."""
+    from intake.functions.text import candidate_texts, parse_batch_code
+
+    tried = corners.select(key, F.col(rank_col).alias("_r"), F.posexplode(candidate_texts(lines_col)).alias("_i", "_t")).withColumn("_c", parse_batch_code("_t")).where("_c is not null")
+    return tried.groupBy(key).agg(F.min_by(F.struct("_c.batch", "_c.number", "_c.code"), F.struct("_r", "_i")).alias("c")).select(key, "c.*")

@@ -58,3 +58,15 @@ def test_ratio_agrees_with_table(spark):
     want = [2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0 for a, b in pairs]
     assert got == pytest.approx(want)
     assert [similarity.indel(a, b) for a, b in pairs] == pytest.approx(want)
+
+
+def test_first_code_of_corners(spark):
+    from intake.operators.features import first_code
+
+    rows = [(1, 0, ["B1-12 3"]), (2, 0, ["(3) B1-4"]), (3, 0, ["B1", "-12", "3"]), (4, 0, ["81", "~", "5"]), (5, 0, ["hello", "world"]), (6, 0, ["nothing"]), (6, 1, ["B2-7"]), (7, 0, None), (8, 0, ["\u2462 B3-1", None])]
+    df = spark.createDataFrame(rows, "page int, rank int, lines array<string>")
+    assert {r.page: r.code for r in first_code(df, "page").collect()} == {1: "B1-12", 2: "B1-4", 3: "B1-12", 4: "B1-5", 6: "B2-7", 8: "B3-1"}
+
+
+def test_page_ids(spark):
+    assert [x and tuple(x) for x in ask(spark, ["0199a1b2c3d40002ffff", "zz", None], text.page_id_parts)] == [(0x0199A1B2C3D4, 2), None, None]
