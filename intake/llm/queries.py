@@ -40,9 +40,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and near-duplicate component of every document."""
+    """Fingerprint and near-duplicate component of every document; its contract links fingerprints within two bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(docs, bits=True).select("doc_id", "fingerprint", "component_id")
 
 
 @query

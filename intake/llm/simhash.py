@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from intake.llm import jaccard
 from intake.llm.common import cut
 from intake.llm.components import components
 
@@ -122,16 +123,24 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``docs`` without its text, with ``fingerprint`` (16 hex digits) and ``component_id``, the least id of its component."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bits: bool = False) -> DataFrame:
+    """``docs`` without its text, with ``fingerprint`` (16 hex digits) and ``component_id``, the least id of its component.
+
+    Components are those of texts that share most of their shingles (``jaccard``), or with ``bits`` of fingerprints within two bits.
+    """
     kept = [F.col(c) for c in docs.columns if c not in (text_col, "fp", "component_id", "fingerprint")]
-    prints = cut(docs.select(*kept, fingerprints(F.col(text_col), size).alias("fp")))
-    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    key = [] if bits else jaccard.text_keys(F.col(text_col))
+    prints = cut(docs.select(*kept, *key, fingerprints(F.col(text_col), size).alias("fp")))
+    on = ["fp"] if bits else ["_t1", "_t2"]
+    distinct = cut(prints.groupBy(*on).agg(F.min(id_col).alias("least")))
+    if bits:
+        roots = components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
+        rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    else:
+        rooted = distinct.join(jaccard.roots(docs, text_col), on)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(*kept, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(least, "root").select(*on, "component_id")
+    return prints.join(named, on).select(*kept, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
