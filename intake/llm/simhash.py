@@ -143,14 +143,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, on).select(*kept, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay if one row of each component does: that with the least id, and of rows with the same id the first by text."""
-    named = near_duplicates(docs, id_col, text_col, size)
-    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    again = rows.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_id"))
-    # repeated ids are rare: only their rows are ordered
-    single = rows.join(again, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    several = rows.join(again, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    first = several.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce(F.col(text_col), F.lit("")), F.xxhash64(*docs.columns))).alias("_row")).select("_row.*")
-    return single.unionByName(first)
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay if one row of each component of ``jaccard`` does: that with the least id, rows without an id last, and of rows with the same id the first by text."""
+    on, text_keys = ["_t1", "_t2"], jaccard.text_keys(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("_id"), *text_keys).groupBy("_id", *on).count()
+    rooted = cut(rows.join(jaccard.roots(docs, text_col), on))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id")).getField("_id").alias("_least"))
+    first = rooted.join(least, "root").where(F.col("_id").eqNullSafe(F.col("_least")))
+    named = cut(first.join(first.groupBy("root").agg((F.sum("count") > 1).alias("_several")), "root").select("_id", *on, "root", "_several"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), *text_keys)
+    kept = keyed.join(named, [keyed[c] == named[c] for c in on] + [F.col("_i").eqNullSafe(F.col("_id"))]).select("_row", "root", "_several")
+    # components with several rows of the least id are rare: only their rows are ordered
+    order = F.struct(F.coalesce(F.col("_row")[text_col], F.lit("")), F.xxhash64(*(F.col("_row")[c] for c in docs.columns)))
+    single, several = kept.where("not _several").select("_row.*"), kept.where("_several").groupBy("root").agg(F.min_by("_row", order).alias("_row"))
+    return single.unionByName(several.select("_row.*"))

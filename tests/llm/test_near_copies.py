@@ -78,3 +78,12 @@ def test_order_of_shingles_changes_no_pair():
         frequent = known, rng.permutation(len(known))
         if len(b) and jaccard.alike(a, b):
             assert len(np.intersect1d(jaccard.prefix(a, frequent), jaccard.prefix(b, frequent)))
+
+
+def test_rows_without_an_id_and_repeated_ids(spark):
+    """One row of every component stays, whatever ids its rows have."""
+    text = lambda k: " ".join(f"t{k}n{j}" for j in range(30))
+    rows = [(None, text(k)) for k in range(5)] + [(None, text(0)), (None, text(9)), (1, text(9)), (7, text(20)), (7, text(21)), (7, text(21)), (8, text(21))]
+    kept = stage(spark, table(spark, rows)).collect()
+    want = [(None, text(k)) for k in range(5)] + [(1, text(9)), (7, text(20)), (7, text(21))]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
