@@ -7,7 +7,8 @@
    suffixes (prefix doubling). Neighbours that share ``RUN`` tokens or more are repeats; each task gives every
    repeated or single window of ``RUN`` tokens once, with how many streams hold it. Spark sums the windows of
    a host over all batches, which finds the repeats that span them: the windows of a run of
-   ``RUN`` tokens or more are exactly what suffixes share. Pages of a batch with the same stream count once.
+   ``RUN`` tokens or more are exactly what suffixes share. Pages of a host with the same stream count once,
+   and what counts as repeated grows with the host's distinct streams.
 3. Undecided blocks that repeated windows mostly cover go; the other blocks stay, in page order.
 
 A host may hold a third of all pages: its pages are never gathered, only its distinct windows are summed.
@@ -32,6 +33,8 @@ from intake.llm.common import cut, list_array, map_slices
 
 #: Tokens of the shortest run that counts as repeated, the streams that must hold it, and the covered share from which a block goes.
 RUN, STREAMS, COVERED = 5, 3, 0.6
+#: The share of a host's distinct streams that must hold a repeated run as well, so that ordinary phrases don't become repeats as a host grows.
+SHARE = 0.1
 ARTICLE, UNDECIDED, DROPPED = 0, 1, 2
 
 # Names of the HTML standard.
@@ -208,18 +211,27 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url_
     url, page = F.col(url_col).cast("string"), F.col(html_col)
     given = pages.select(*keep, url.alias("_url_in"), page.alias("_html_in"), F.xxhash64(url, page).alias("_k1"), F.xxhash64(F.lit("page"), url, page).alias("_k2"))
 
+    def read():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = list({(host_of(u), " ".join(_stream(blocks(h)))): None for u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows if r[1]], pa.string()) for j in range(2)], ["_host", "_stream"])
+
+        return work
+
     def find():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hosts: dict[str, dict[tuple[str, ...], None]] = {}
-            for u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hosts.setdefault(host_of(u), {})[tuple(_stream(blocks(h)))] = None
-            rows = [(h, w, n) for h, streams in hosts.items() for w, n in host_windows([list(s) for s in streams]).items()]
+            hosts: dict[str, list[list[str]]] = {}
+            for h, stream in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hosts.setdefault(h, []).append(stream.split())
+            rows = [(h, w, n) for h, streams in hosts.items() for w, n in host_windows(streams).items()]
             return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["_host", "w", "n"])
 
         return work
 
-    windows = map_slices(given.select("_url_in", "_html_in"), "_host string, w long, n long", find, 4096)
-    repeated = cut(windows.groupBy("_host", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= STREAMS).select("_host", "w"))
+    streams = cut(map_slices(given.select("_url_in", "_html_in"), "_host string, _stream string", read, 4096).distinct())
+    windows = map_slices(streams, "_host string, w long, n long", find, 4096).groupBy("_host", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= STREAMS)
+    hosts = streams.groupBy("_host").count()
+    repeated = cut(windows.join(hosts, "_host").where(F.col("n") >= SHARE * F.col("count")).select("_host", "w"))
 
     def where():
         """Windows of pages with undecided blocks by their place in the page's stream."""
