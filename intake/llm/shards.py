@@ -40,6 +40,8 @@ KEY, ROUNDS = 0x5EED, 6
 _ALL = (1 << 64) - 1
 #: Sequences that a task gathers before it deals them to shards, and the level of compression on the way.
 HELD, LEVEL = 60_000, 9
+#: Tasks that write shards; beyond it each writes a run of several, one after the other.
+MAX_TASKS = 20_000
 #: A sequence's place on the way to its shard, and what stands for a null id there.
 PLACE, NULL = [("slot", "<u2"), ("doc", "<i8"), ("sequence", "<i4"), ("n", "<u2")], -(1 << 63)
 
@@ -147,7 +149,10 @@ def materialise(docs: DataFrame, folder: str, path: str, pattern: str, key: int
             yield pa.RecordBatch.from_arrays([slot, pa.array([shard] * len(rows), pa.int64()), doc, seq, pa.array([r[0] % SHARD * STRIDE for r in rows], pa.int64()), count], ["slot", "shard", "doc_id", "sequence", "offset", "n_ids"])
 
     placed = coded.mapInArrow(place, "shard long, places binary, ids binary")
-    dealt = placed.repartitionByRange(max(1, math.ceil(n / SHARD)), "shard").sortWithinPartitions("shard")
+    # shards are known numbers, so each has its task without a pass that samples them; a task gets a run of shards
+    shards = max(1, math.ceil(n / SHARD))
+    parts = min(shards, MAX_TASKS)
+    dealt = placed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("shard")
     return dealt.mapInArrow(write, "slot long, shard long, doc_id long, sequence int, offset long, n_ids int")
 
 
