@@ -67,6 +67,11 @@ def map_slices(df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text with A-Z lower-cased, as UTF-8; bytes are split at exactly the white space of ``WORD``."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def list_array(values, lengths, kind: pa.DataType) -> pa.ListArray:
     """An Arrow list column from its values in a row and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -1,19 +1,24 @@
 """Groups of texts that share most of their word shingles, for stages that have no fingerprint contract of their own.
 
-Two texts are linked if the Jaccard index of their sets of five-word shingles is ``LIKE`` or more. No link is left to
-chance: of two such sets, put in one common order, the first fifth (and one) of each share a shingle. The order puts frequent shingles
-last; how well it does so changes the cost only, never the pairs found.
+Two texts are linked if the Jaccard index of their sets of five-word shingles is ``LIKE`` or more. Candidates share a shingle
+of their prefixes: of two such sets, put in one common order, the first fifth (and one) of each share a shingle. The order puts
+frequent shingles last; how well it does so changes the cost only, never the pairs found.
+
+Candidates are first compared by SimHash prints of ``BITS`` bits over the sets, which travel with the keys, and only then by their texts.
+Of sets at the least index of a link a bit differs with probability 0.152, so that more than ``APART`` of 128 bits do with
+probability below 1e-8; sets of fewer than ``SURE`` shingles, where that bound is loose, are always compared by their texts.
 
 Equal sets fall together before any key is made. Keys with at most ``SMALL`` sets give all pairs. Larger keys first
-give pairs with ``LEADERS`` of their sets; what these and all other links leave in different groups is then compared pair by pair.
-Every pair is verified on its texts.
+give pairs with ``LEADERS`` of their sets; what these and all other links leave in different groups then meets by key and length class, and
+only those with near prints become pairs. Every pair is verified on its texts.
 
-Defined results: null and blank texts have the empty set and are one group; a text of fewer than five words is one shingle.
+Defined results: null and blank texts have the empty set and are one group; a text of fewer than five words is one shingle; repeated rows are
+one text; an empty table has no groups. Whole texts are read, however long: a set of shingles is held one text at a time.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intake.llm.common import cut, list_array, map_slices
+from intake.llm.common import cut, list_array, map_slices, words_of
 from intake.llm.components import components
 
 #: The least Jaccard index of a link, as a fraction.
@@ -30,16 +35,32 @@ LIKE = (4, 5)
 SIZE = 5
 #: Keys with at most this many sets are compared pair by pair at once; the sets that larger ones are compared with first.
 SMALL, LEADERS = 16, 4
+#: Bits of the prints, the most that differ in a candidate, and the shingles from which on prints are trusted.
+BITS, APART, SURE = 128, 46, 64
+#: Shingles held of texts that pairs were just compared with.
+HELD = 500_000
 #: Shingles that are known as frequent, and how often one must be in a slice of rows to be counted.
 FREQUENT, IN_SLICE = 100_000, 4
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+_ALL = (1 << 64) - 1
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's word shingles in order."""
-    w = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    grams = map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else iter([b" ".join(w)] if w else [])
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64).view(np.int64))
+    """The distinct 64-bit hashes of a text's word shingles in order: hashes of the words, mixed along each run of ``size``."""
+    w = words_of(text)
+    if not w:
+        return np.zeros(0, np.int64)
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+    size = min(size, len(w))
+    n = len(w) - size + 1
+    out = words[:n] + np.uint64(size)
+    for k in range(1, size):
+        out = _mixed(out) + words[k : k + n]
+    return np.unique(_mixed(out).view(np.int64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -47,6 +68,29 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * LIKE[1] >= LIKE[0] * (len(a) + len(b) - both)
 
 
+def prints(found: np.ndarray) -> tuple[int, int]:
+    """The SimHash of a set in two signed halves; the second is of the hashes mixed once more."""
+    h = found.view(np.uint64)
+    out = []
+    for x in (h, _mixed(h + np.uint64(1))):
+        ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view("<i8")[0]))
+    return out[0], out[1]
+
+
+def near(a: tuple, b: tuple) -> bool:
+    """Whether sets given as (set, n, f, g) may be linked, by their sizes and prints."""
+    small, large = (a[1], b[1]) if a[1] <= b[1] else (b[1], a[1])
+    if small * LIKE[1] < large * LIKE[0]:
+        return False
+    return small < SURE or ((a[2] ^ b[2]) & _ALL).bit_count() + ((a[3] ^ b[3]) & _ALL).bit_count() <= APART
+
+
+def length_class(n: Column) -> Column:
+    """Sets with a link are in one class or in adjacent ones."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(LIKE[1] / LIKE[0]) + 1e-9).cast("int")
+
+
 def sizes_allow(a: Column, b: Column) -> Column:
     return (a * LIKE[1] >= b * LIKE[0]) & (b * LIKE[1] >= a * LIKE[0])
 
@@ -87,90 +131,100 @@ def prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, set, n) in order -> (a, n, b, m, key): pairs of a small key's sets; sets of a large key with its leaders and the key."""
+    """Rows (key, set, n, f, g) in order -> (a, b, key): pairs of a key's sets that may be linked; and with the key, every set of a large key.
 
-    def pairs(key, group):
-        if len(group) <= SMALL:
-            return [(*x, *y, None) for i, x in enumerate(group) for y in group[:i]]
-        return [(*x, *y, key) for x in group for y in group[:LEADERS]]
+    Of a large key only the leaders are held, so that its rows pass through.
+    """
 
     def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 5)], ["a", "n", "b", "m", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 3)], ["a", "b", "key"])
 
-    last, group, rows = None, [], []
+    def pair(x, y):
+        return (x[0], y[0], None) if x[0] < y[0] else (y[0], x[0], None)
+
+    last, group, before, rows = None, [], None, []
     for batch in batches:
-        for key, s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        # most keys have one set: only rows whose key may have another are looked at; the last row's is not known yet
+        keys = batch.column(0).to_numpy()
+        same = keys[1:] == keys[:-1]
+        batch = batch.filter(pa.array(np.r_[keys[:1] == last, same] | np.r_[same, True][: len(keys)]))
+        for key, *one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != last:
-                if len(group) > 1:
-                    rows += pairs(last, group)
-                last, group = key, []
-            if not group or group[-1][0] != s:
-                if len(group) > SMALL:
-                    # a large key passes through; only its first sets are held
-                    rows += [(s, n, *y, key) for y in group[:LEADERS]]
-                    group[-1] = (s, n)
-                else:
-                    group.append((s, n))
-                    if len(group) > SMALL:
-                        rows += pairs(key, group)
+                last, group, before = key, [], None
+            if one[0] == before:
+                continue
+            before = one[0]
+            if len(group) <= SMALL:
+                group.append(one)
+                if len(group) <= SMALL:
+                    rows += [pair(one, y) for y in group[:-1] if near(one, y)]
+                    continue
+                rows += [(y[0], None, key) for y in group[:-1]]
+            # a large key: with its leaders, and all of it once more by class
+            rows += [pair(one, y) for y in group[:LEADERS] if near(one, y)]
+            rows.append((one[0], None, key))
             if len(rows) > 20_000:
                 yield out(rows)
                 rows = []
         if rows:
             yield out(rows)
             rows = []
-    if 1 < len(group) <= SMALL:
-        yield out(pairs(last, group))
 
 
 def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(_t1, _t2, root) for every distinct text of ``docs``, known by ``text_keys``; linked texts have one root."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     frequent = _frequent(texts)
+    columns = ["_t1", "_t2", "set", "n", "f", "g"]
 
     def read():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingles(t) for t in batch.column(2).to_pylist()]
-            heads = [prefix(x, frequent) for x in found]
-            sets = [xxhash.xxh64_intdigest(x.tobytes()) for x in found]
-            return pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array([len(x) for x in found], pa.int64()), list_array(np.concatenate(heads) if heads else [], [len(x) for x in heads], pa.int64())],
-                ["_t1", "_t2", "set", "n", "heads"],
-            )
+            rows, heads = [], []
+            for text in batch.column(2).to_pylist():
+                found = shingles(text)
+                rows.append((np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64), len(found), *prints(found)))
+                heads.append(prefix(found, frequent))
+            numbers = [pa.array([int(r[j]) for r in rows], pa.int64()) for j in range(4)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers, list_array(np.concatenate(heads) if heads else [], [len(x) for x in heads], pa.int64())], [*columns, "heads"])
 
         return work
 
-    read_in = cut(map_slices(texts.select(*text_keys(F.col("_text")), "_text"), "_t1 long, _t2 long, set long, n long, heads array<long>", read))
+    read_in = cut(map_slices(texts.select(*text_keys(F.col("_text")), "_text"), ", ".join(f"{c} long" for c in columns) + ", heads array<long>", read))
     sets = cut(read_in.groupBy("_t1", "_t2").agg(F.first("set").alias("set")))
-    keyed = read_in.select(F.explode("heads").alias("key"), "set", "n")
-    met = cut(keyed.repartition(F.col("key")).sortWithinPartitions("key", "set").mapInArrow(_met, "a long, n long, b long, m long, key long"))
+    known = read_in.groupBy("set").agg(*(F.first(c).alias(c) for c in columns[3:]))
+    keyed = read_in.select(F.explode("heads").alias("key"), *columns[2:])
+    met = cut(keyed.repartition(F.col("key")).sortWithinPartitions("key", "set").mapInArrow(_met, "a long, b long, key long"))
     picked = sets.groupBy("set").agg(F.min(F.struct("_t1", "_t2")).alias("t")).select("set", "t.*")
-    first = met.where((F.col("a") != F.col("b")) & sizes_allow(F.col("n"), F.col("m"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = cut(_verified(first, docs, text_col, picked))
-    large = cut(met.where("key is not null").select("key", F.col("a").alias("set"), "n").distinct())
+    edges = _verified(met.where("key is null").select("a", "b").distinct(), docs, text_col, picked)
+    large = met.where("key is not null").select("key", F.col("a").alias("set")).distinct()
     if not large.isEmpty():
-        grouped = large.join(components(edges).withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", F.coalesce("root", "set").alias("root"))
+        grouped = large.join(components(edges).withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+        # keys whose sets are all in one group are done
         split = grouped.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-        rest = cut(grouped.join(split, "key"))
-        x, y = rest.select("key", F.col("set").alias("a"), "n", F.col("root").alias("r")), rest.select("key", F.col("set").alias("b"), F.col("n").alias("m"), F.col("root").alias("q"))
-        later = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("q")) & sizes_allow(F.col("n"), F.col("m"))).select("a", "b").distinct()
+        rest = cut(grouped.join(split, "key").join(known, "set").withColumn("class", length_class(F.col("n"))))
+        x = rest.select("key", F.col("set").alias("a"), F.col("root").alias("r"), F.col("n").alias("n1"), F.col("f").alias("f1"), F.col("g").alias("g1"), F.explode(F.expr("array(class, class + 1)")).alias("class"))
+        y = rest.select("key", F.col("set").alias("b"), F.col("root").alias("q"), F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), "class")
+        by_prints = F.expr(f"least(n1, n2) < {SURE} or bit_count(f1 ^ f2) + bit_count(g1 ^ g2) <= {APART}")
+        later = x.join(y, ["key", "class"]).where((F.col("r") != F.col("q")) & sizes_allow(F.col("n1"), F.col("n2")) & by_prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = edges.union(_verified(later, docs, text_col, picked))
     found = components(edges).select(F.col("node").alias("set"), "root")
     return sets.join(found, "set", "left").select("_t1", "_t2", F.coalesce("root", "set").alias("root"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, picked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are linked, by their texts."""
+    """The pairs (a, b) of sets that are linked, by their texts; written, as two steps need them."""
     pairs = cut(pairs)
     named = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(picked, "set")
-    texts = docs.select(*text_keys(F.col(text_col)), F.col(text_col).alias("_text")).join(named, ["_t1", "_t2"]).groupBy("set").agg(F.first("_text").alias("_text"))
-    texts = cut(texts)
+    texts = cut(docs.select(*text_keys(F.col(text_col)), F.col(text_col).alias("_text")).join(named, ["_t1", "_t2"]).groupBy("set").agg(F.first("_text").alias("_text")))
 
     def compare():
+        known: dict[int, np.ndarray] = {}
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            known: dict[int, np.ndarray] = {}
             same = []
             for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sum(map(len, known.values())) > HELD:
+                    known.clear()
                 for i, text in ((a, s), (b, t)):
                     if i not in known:
                         known[i] = shingles(text)
@@ -180,4 +234,4 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, picked: DataFram
         return work
 
     both = pairs.join(texts.select(F.col("set").alias("a"), F.col("_text").alias("s")), "a").join(texts.select(F.col("set").alias("b"), F.col("_text").alias("t")), "b")
-    return map_slices(both.select("a", "b", "s", "t"), "a long, b long", compare)
+    return cut(map_slices(both.select("a", "b", "s", "t"), "a long, b long", compare))

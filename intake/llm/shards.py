@@ -38,8 +38,10 @@ STRIDE = struct.calcsize(HEAD) + 2 * SEQUENCE
 END = 50_256
 KEY, ROUNDS = 0x5EED, 6
 _ALL = (1 << 64) - 1
-#: Sequences that a task gathers before it deals them to shards, and the level of compression on the way.
-HELD, LEVEL = 60_000, 9
+#: Sequences that a task gathers before it deals them to shards.
+HELD = 60_000
+#: Compression on the way: two ids are four bytes, so that matches of four are worth looking for.
+PACKING = zstandard.ZstdCompressionParameters(window_log=21, hash_log=18, chain_log=18, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2)
 #: Tasks that write shards; beyond it each writes a run of several, one after the other.
 MAX_TASKS = 20_000
 #: A sequence's place on the way to its shard, and what stands for a null id there.
@@ -157,7 +159,7 @@ def materialise(docs: DataFrame, folder: str, path: str, pattern: str, key: int
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+    return zstandard.ZstdCompressor(compression_params=PACKING).compress(data)
 
 
 def _places(block: bytes) -> list[tuple[int, int, int, int]]:

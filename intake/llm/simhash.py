@@ -19,8 +19,8 @@ keep their rows; an empty table gives an empty table; columns other than the id
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -30,12 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intake.llm import jaccard
-from intake.llm.common import cut
+from intake.llm.common import cut, words_of
 from intake.llm.components import components
 
 #: Keys with at most this many fingerprints are compared pair by pair.
 SMALL = 16
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 15
 #: (first bit, bits) of each segment.
@@ -46,11 +45,13 @@ _GOLAY = 0b101011100011
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The 64-bit SimHash of the text's word shingles as an unsigned int."""
-    w = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    w = words_of(text)
     if not w:
         return 0
-    grams = map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else iter([b" ".join(w)])
-    n = max(1, len(w) - size + 1)
+    joined, size = b" ".join(w), min(size, len(w))
+    ends = list(accumulate(map(len, w), lambda a, b: a + b + 1))
+    grams = (joined[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends[size - 1 :], strict=False))
+    n = len(w) - size + 1
     counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for start in range(0, n, _BLOCK):
         k = min(_BLOCK, n - start)
