@@ -8,9 +8,12 @@ Candidates are first compared by SimHash prints of ``BITS`` bits over the sets,
 Of sets at the least index of a link a bit differs with probability 0.152, so that more than ``APART`` of 128 bits do with
 probability below 1e-8; sets of fewer than ``SURE`` shingles, where that bound is loose, are always compared by their texts.
 
-Equal sets fall together before any key is made. Keys with at most ``SMALL`` sets give all pairs. Larger keys first
-give pairs with ``LEADERS`` of their sets; what these and all other links leave in different groups then meets by key and length class, and
-only those with near prints become pairs. Every pair is verified on its texts.
+Equal sets fall together before any key is made. The sets of a key first meet its leader, each set at most ``LEADERS`` of all its leaders;
+what is linked so is a group. Then, in keys that hold several groups, all sets of different groups meet that are in equal or adjacent
+length classes, if their prints and sketches allow. So a large group of copies costs a few
+comparisons a copy and not all its pairs, and no link between groups is passed over. A pair is tried at a shared key only if what both sets
+have from that key on is enough for a link, which at the first shared key holds of every link; and if a sketch of bin parities, by which sets differ at least, allows it. Every pair is verified on its texts.
+The leader of a key is the set in whose prefix the key comes first, which of a group of copies has the fewest shingles of its own.
 
 Defined results: null and blank texts have the empty set and are one group; a text of fewer than five words is one shingle; repeated rows are
 one text; an empty table has no groups. Whole texts are read, however long: a set of shingles is held one text at a time.
@@ -33,10 +36,12 @@ from intake.llm.components import components
 #: The least Jaccard index of a link, as a fraction.
 LIKE = (4, 5)
 SIZE = 5
-#: Keys with at most this many sets are compared pair by pair at once; the sets that larger ones are compared with first.
-SMALL, LEADERS = 16, 4
+#: Leaders that a set is compared with.
+LEADERS = 3
 #: Bits of the prints, the most that differ in a candidate, and the shingles from which on prints are trusted.
 BITS, APART, SURE = 128, 46, 64
+#: The words of the parity sketch.
+ODD = ("p0", "p1", "p2", "p3")
 #: Shingles held of texts that pairs were just compared with.
 HELD = 500_000
 #: Shingles that are known as frequent, and how often one must be in a slice of rows to be counted.
@@ -78,10 +83,19 @@ def prints(found: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
+def parities(found: np.ndarray) -> list[int]:
+    """For each of 256 bins of hashes, whether an odd number of the set is in it: two sets differ in at least as many shingles as bins."""
+    odd = np.bincount(found & 255, minlength=256).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
 def near(a: tuple, b: tuple) -> bool:
-    """Whether sets given as (set, n, f, g) may be linked, by their sizes and prints."""
+    """Whether sets given as (set, n, f, g, at) that share a key at the places ``at`` of their prefixes may be linked.
+
+    Of a pair's shared keys the first has all that it shares from there on: what comes before counts for nothing.
+    """
     small, large = (a[1], b[1]) if a[1] <= b[1] else (b[1], a[1])
-    if small * LIKE[1] < large * LIKE[0]:
+    if small * LIKE[1] < large * LIKE[0] or min(a[1] - a[4], b[1] - b[4]) * sum(LIKE) < LIKE[0] * (small + large):
         return False
     return small < SURE or ((a[2] ^ b[2]) & _ALL).bit_count() + ((a[3] ^ b[3]) & _ALL).bit_count() <= APART
 
@@ -131,18 +145,15 @@ def prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, set, n, f, g) in order -> (a, b, key): pairs of a key's sets that may be linked; and with the key, every set of a large key.
+    """Rows (key, set, n, f, g, at) in order -> (key, set, at, leader) for the sets of keys that several have; the leader is the key's first set, where the two may be linked.
 
-    Of a large key only the leaders are held, so that its rows pass through.
+    Of a key only its first set is held, so that a large one's rows pass through.
     """
 
     def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 3)], ["a", "b", "key"])
-
-    def pair(x, y):
-        return (x[0], y[0], None) if x[0] < y[0] else (y[0], x[0], None)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["key", "set", "at", "leader"])
 
-    last, group, before, rows = None, [], None, []
+    last, first, before, rows = None, None, None, []
     for batch in batches:
         # most keys have one set: only rows whose key may have another are looked at; the last row's is not known yet
         keys = batch.column(0).to_numpy()
@@ -150,19 +161,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(pa.array(np.r_[keys[:1] == last, same] | np.r_[same, True][: len(keys)]))
         for key, *one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != last:
-                last, group, before = key, [], None
-            if one[0] == before:
-                continue
-            before = one[0]
-            if len(group) <= SMALL:
-                group.append(one)
-                if len(group) <= SMALL:
-                    rows += [pair(one, y) for y in group[:-1] if near(one, y)]
-                    continue
-                rows += [(y[0], None, key) for y in group[:-1]]
-            # a large key: with its leaders, and all of it once more by class
-            rows += [pair(one, y) for y in group[:LEADERS] if near(one, y)]
-            rows.append((one[0], None, key))
+                last, first, before = key, one, one[0]
+            elif one[0] != before:
+                if before == first[0]:
+                    rows.append((key, before, first[4], None))
+                before = one[0]
+                rows.append((key, before, one[4], first[0] if near(one, first) else None))
             if len(rows) > 20_000:
                 yield out(rows)
                 rows = []
@@ -175,16 +179,16 @@ def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(_t1, _t2, root) for every distinct text of ``docs``, known by ``text_keys``; linked texts have one root."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     frequent = _frequent(texts)
-    columns = ["_t1", "_t2", "set", "n", "f", "g"]
+    columns = ["_t1", "_t2", "set", "n", "f", "g", *ODD]
 
     def read():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, heads = [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text)
-                rows.append((np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64), len(found), *prints(found)))
+                rows.append((np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64), len(found), *prints(found), *parities(found)))
                 heads.append(prefix(found, frequent))
-            numbers = [pa.array([int(r[j]) for r in rows], pa.int64()) for j in range(4)]
+            numbers = [pa.array([int(r[j]) for r in rows], pa.int64()) for j in range(len(columns) - 2)]
             return pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers, list_array(np.concatenate(heads) if heads else [], [len(x) for x in heads], pa.int64())], [*columns, "heads"])
 
         return work
@@ -192,25 +196,36 @@ def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     read_in = cut(map_slices(texts.select(*text_keys(F.col("_text")), "_text"), ", ".join(f"{c} long" for c in columns) + ", heads array<long>", read))
     sets = cut(read_in.groupBy("_t1", "_t2").agg(F.first("set").alias("set")))
     known = read_in.groupBy("set").agg(*(F.first(c).alias(c) for c in columns[3:]))
-    keyed = read_in.select(F.explode("heads").alias("key"), *columns[2:])
-    met = cut(keyed.repartition(F.col("key")).sortWithinPartitions("key", "set").mapInArrow(_met, "a long, b long, key long"))
+    keyed = read_in.select(F.posexplode("heads").alias("at", "key"), "set", "n", "f", "g").select("key", "set", "n", "f", "g", "at")
+    met = cut(keyed.repartition(F.col("key")).sortWithinPartitions("key", "at", "set").mapInArrow(_met, "key long, set long, at long, leader long"))
     picked = sets.groupBy("set").agg(F.min(F.struct("_t1", "_t2")).alias("t")).select("set", "t.*")
-    edges = _verified(met.where("key is null").select("a", "b").distinct(), docs, text_col, picked)
-    large = met.where("key is not null").select("key", F.col("a").alias("set")).distinct()
-    if not large.isEmpty():
-        grouped = large.join(components(edges).withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
-        # keys whose sets are all in one group are done
-        split = grouped.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-        rest = cut(grouped.join(split, "key").join(known, "set").withColumn("class", length_class(F.col("n"))))
-        x = rest.select("key", F.col("set").alias("a"), F.col("root").alias("r"), F.col("n").alias("n1"), F.col("f").alias("f1"), F.col("g").alias("g1"), F.explode(F.expr("array(class, class + 1)")).alias("class"))
-        y = rest.select("key", F.col("set").alias("b"), F.col("root").alias("q"), F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), "class")
-        by_prints = F.expr(f"least(n1, n2) < {SURE} or bit_count(f1 ^ f2) + bit_count(g1 ^ g2) <= {APART}")
-        later = x.join(y, ["key", "class"]).where((F.col("r") != F.col("q")) & sizes_allow(F.col("n1"), F.col("n2")) & by_prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = edges.union(_verified(later, docs, text_col, picked))
+    edges = _verified(_few(met.where("leader is not null")), docs, text_col, picked)
+    members = met.select("key", "set", "at").join(known, "set").join(components(edges).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    # keys whose sets are all in one group are done
+    split = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    one = cut(members.join(split, "key").withColumn("class", length_class(F.col("n"))))
+    x = one.select("key", *(F.col(c).alias(f"x_{c}") for c in ("set", "root", "n", "f", "g", "at", *ODD)), F.explode(F.expr("array(class, class + 1)")).alias("class"))
+    y = one.select("key", *(F.col(c).alias(f"y_{c}") for c in ("set", "root", "n", "f", "g", "at", *ODD)), "class")
+    later = x.join(y, ["key", "class"]).where((F.col("x_root") != F.col("y_root")) & _may_link("x_", "y_"))
+    edges = edges.union(_verified(later.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct(), docs, text_col, picked))
     found = components(edges).select(F.col("node").alias("set"), "root")
     return sets.join(found, "set", "left").select("_t1", "_t2", F.coalesce("root", "set").alias("root"))
 
 
+def _may_link(x: str, y: str) -> Column:
+    """``near``, and the bound of the parity sketches, as an expression over columns with these prefixes."""
+    by_place = f"least({x}n - {x}at, {y}n - {y}at) * {sum(LIKE)} >= {LIKE[0]} * ({x}n + {y}n)"
+    by_prints = f"(least({x}n, {y}n) < {SURE} or bit_count({x}f ^ {y}f) + bit_count({x}g ^ {y}g) <= {APART})"
+    apart = " + ".join(f"bit_count({x}{p} ^ {y}{p})" for p in ODD)
+    return sizes_allow(F.col(f"{x}n"), F.col(f"{y}n")) & F.expr(f"{by_place} and {by_prints} and ({apart}) * {sum(LIKE)} <= ({x}n + {y}n) * {LIKE[1] - LIKE[0]}")
+
+
+def _few(led: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each set with at most ``LEADERS`` of its leaders; a set has no more of them than shingles in its prefix."""
+    chosen = led.groupBy("set").agg(F.slice(F.sort_array(F.collect_set("leader")), 1, LEADERS).alias("l"))
+    return chosen.select("set", F.explode("l").alias("l")).select(F.least("set", "l").alias("a"), F.greatest("set", "l").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, picked: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that are linked, by their texts; written, as two steps need them."""
     pairs = cut(pairs)
