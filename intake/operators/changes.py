@@ -51,6 +51,15 @@ def mark_reviewed(log: DataFrame, people: DataFrame, through_id: int, at: Column
     return joined.withColumn("reviewed_at", F.when(due, at).otherwise(F.col("reviewed_at"))).drop("_p")
 
 
+def mark_all_reviewed(log: DataFrame, pending: DataFrame, shown: DataFrame, expected: int, token: str, named: bool, at: Column) -> DataFrame:
+    """Everyone pending signed off, if a school or city is named and ``shown`` (n, token: one row) is still what the person saw; else ``log`` as it is."""
+    state = shown.first()
+    if not named or state is None or (state.n, state.token) != (expected, token):
+        return log
+    last = pending.agg(F.max("log_id")).first()[0]
+    return log if last is None else mark_reviewed(log, pending, last, at)
+
+
 def delete_not_found(log: DataFrame, ids: DataFrame) -> DataFrame:
     gone = log.where("not found_in_db").join(ids.select("id"), "id", "left_semi").select("id")
     return log.join(gone, "id", "left_anti").select(*log.columns)

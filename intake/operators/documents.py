@@ -8,17 +8,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from intake.functions.text import as_id, parse_batch_code
+from intake.operators import lookup
+from intake.shared import cut
+
 # Schools whose forms carry no code, reasons that mark later pages, and limits.
 UNCODED_SCHOOLS, LATER, MAX_PAGES, MAX_FORMS = ("BOPEMS",), ("declaration", "continuation"), 3, 999
 ORDER = ("received_ns", "source_page", "page_id")
 
 
 def page_view(meta: DataFrame, results: DataFrame, overrides: DataFrame) -> DataFrame:
-    """What is known of each page: what a person typed beats what was read."""
-    typed = overrides.select("page_id", F.col("code").alias("_c"), F.col("student_id").alias("_s"))
+    """What is known of each page: what a person typed beats what was read, if it is a code or has an identifier's shape; an empty entry is none.
+
+    ``needs_person``: the page failed, or was read without a code or an identifier (where ``status`` is given).
+    """
+    some = lambda c: F.when(c != "", c)
+    typed = overrides.select("page_id", parse_batch_code("code")["code"].alias("_c"), some(as_id("student_id")).alias("_s"))
     joined = meta.join(results, "page_id", "left").join(typed, "page_id", "left")
     source = lambda o, r: F.when(F.col(o).isNotNull(), "typed").when(F.coalesce(F.col(r), F.lit("")) != "", "read").otherwise("none")
-    return joined.withColumns({"code_source": source("_c", "code"), "student_id_source": source("_s", "student_id"), "code": F.coalesce("_c", "code"), "student_id": F.coalesce("_s", "student_id", F.lit(""))}).drop("_c", "_s")
+    view = joined.withColumns({"code_source": source("_c", "code"), "student_id_source": source("_s", "student_id"), "code": F.coalesce("_c", some(F.col("code"))), "student_id": F.coalesce("_s", "student_id", F.lit(""))}).drop("_c", "_s")
+    if "status" not in view.columns:
+        return view
+    return view.withColumn("needs_person", (F.col("status") == "failed") | ((F.col("status") == "read") & (F.col("code").isNull() | (F.col("student_id") == ""))))
 
 
 def open_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -120,6 +131,31 @@ def same_parts(shown: DataFrame, current: DataFrame) -> DataFrame:
     return shown.join(now, ["owner", "code"]).where(F.array_sort(F.array_distinct("page_ids")) == F.col("_now")).drop("_now")
 
 
+def all_documents(open_: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Open and confirmed documents as one table; what one side lacks is null there."""
+    return open_.unionByName(confirmed, allowMissingColumns=True)
+
+
+def confirm_documents(shown: DataFrame, judged: DataFrame, roster: DataFrame, locations: DataFrame) -> DataFrame:
+    """What becomes of each document that people confirm together. ``shown``: owner, code, student_id (as confirmed), page_ids; ``judged``: the open documents with parts and status.
+
+    Outcomes in this order: gone (no such open document), waiting (a part is unread), changed (other pages than shown), not_an_id, not_found (in the document's
+    school or city), confirmed with the person. Refused rows change nothing: only confirmed ones carry a person.
+    """
+    first = F.get("parts", F.lit(0))
+    now = judged.select("owner", "code", "status", F.array_sort(F.transform("parts", lambda p: p["page_id"])).alias("_now"), first["school"].alias("scan_school"), first["location"].alias("scan_location"))
+    asked = shown.select("owner", "code", as_id("student_id").alias("reading"), F.array_sort(F.array_distinct("page_ids")).alias("_shown")).join(now, ["owner", "code"], "left")
+    refused = (
+        F.when(F.col("status").isNull(), "gone").when(F.col("status") == "waiting", "waiting")
+        .when((F.size("_shown") == 0) | (F.col("_shown") != F.col("_now")), "changed").when(F.col("reading") == "", "not_an_id")
+    )
+    marked = cut(asked.withColumn("_refused", refused).drop("status", "_now", "_shown"))
+    found = lookup.find_student(marked.where("_refused is null"), roster, locations)
+    looked = found.withColumn("outcome", F.when(F.col("matched_via").isNull(), "not_found").otherwise("confirmed"))
+    kept = marked.where("_refused is not null").withColumn("outcome", F.col("_refused"))
+    return looked.unionByName(kept, allowMissingColumns=True).select("owner", "code", "outcome", F.col("reading").alias("confirmed_student_id"), "person", "student_id", "matched_via")
+
+
 def confirmed_documents(records: DataFrame, as_of, hours: int = 72) -> DataFrame:
     """Confirmed or uploaded (with its log row and link); finished ones stay for ``hours``, others for good."""
     done = F.col("uploaded") & F.col("log_id").isNotNull() & F.col("log_has_link")
@@ -131,6 +167,7 @@ def free_names(files: DataFrame, taken: DataFrame) -> DataFrame:
     numbered = taken.select("folder", F.regexp_replace("name", r" \(\d+\)(?=\.[^.]*$|$)", "").alias("base"), F.coalesce(F.regexp_extract("name", r" \((\d+)\)(?:\.[^.]*)?$", 1).try_cast("int"), F.lit(1)).alias("n"))
     used = numbered.groupBy(F.col("folder").alias("_folder"), "base").agg(F.array_sort(F.collect_set("n")).alias("_used"))
     ranked = files.withColumn("_k", F.row_number().over(Window.partitionBy("folder", "name").orderBy("file_id"))).join(used, (F.col("folder") == F.col("_folder")) & (F.col("name") == F.col("base")), "left").drop("_folder")
-    free = F.get(F.filter(F.sequence(F.lit(1), F.col("_k") + F.size(F.coalesce("_used", F.array().cast("array<int>")))), lambda n: ~F.array_contains(F.coalesce("_used", F.array().cast("array<int>")), n)), F.col("_k") - 1)
+    # the k-th number that is not used: each used number at or below it pushes it on by one, in order
+    free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
     stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
     return ranked.withColumn("free_name", F.when(free == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), free.cast("string"), F.lit(")"), ext))).drop("_k", "_used", "base")

@@ -32,9 +32,15 @@ def school_location(schools: DataFrame, employees: DataFrame) -> DataFrame:
     return schools.select(school_key("school_name").alias("school")).where("school <> ''").distinct().join(modal, "school", "left").select("school", F.coalesce("city", F.lit("Other")).alias("location"))
 
 
+def token_of(c: Column | str) -> Column:
+    """The cleaned reading; one that holds Devanagari is transliterated first."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(text.has_devanagari(c), text.transliterate(c)).otherwise(text.clean_token(c))
+
+
 def probes(readings: DataFrame) -> DataFrame:
     """Distinct (token, school, location) of the readings."""
-    return readings.select(text.clean_token("reading").alias("token"), school_key("scan_school").alias("school"), F.coalesce("scan_location", F.lit("")).alias("location")).where("token <> ''").distinct()
+    return readings.select(token_of("reading").alias("token"), school_key("scan_school").alias("school"), F.coalesce("scan_location", F.lit("")).alias("location")).where("token <> ''").distinct()
 
 
 def resolve_scope(probed: DataFrame, locations: DataFrame) -> DataFrame:
@@ -119,10 +125,23 @@ def find_student(readings: DataFrame, roster: DataFrame, locations: DataFrame) -
     for stage in (constrained_repair, digit_suffix):
         left = cut(scoped.join(found, list(PROBE), "left_anti"))
         found = found.unionByName(cut(stage(left, roster)))
-    keyed = readings.withColumn("token", text.clean_token("reading")).withColumn("school", school_key("scan_school")).withColumn("location", F.coalesce("scan_location", F.lit("")))
+    keyed = readings.withColumn("token", token_of("reading")).withColumn("school", school_key("scan_school")).withColumn("location", F.coalesce("scan_location", F.lit("")))
     return keyed.join(found.withColumnRenamed("via", "matched_via"), list(PROBE), "left").drop(*PROBE)
 
 
+def find_with_tail(files: DataFrame, roster: DataFrame, locations: DataFrame) -> DataFrame:
+    """``files`` (reading, batch_id, batch_school, tail_batch_id, tail_school) looked up at the batch's school and, if not found there and a tail is given, at the tail's.
+
+    ``logged_under`` is the batch whose school has the person, else the file's own; readings without an identifier's shape are not looked up.
+    """
+    asked = files.withColumns({"_given": F.col("reading"), "reading": text.as_id("reading"), "scan_school": F.col("batch_school"), "scan_location": F.lit(None).cast("string")})
+    here = cut(find_student(asked, roster, locations))
+    again = here.where("matched_via is null and tail_batch_id is not null and reading <> ''").select(*asked.columns).withColumn("scan_school", F.col("tail_school"))
+    late = find_student(again, roster, locations).where("matched_via is not null").withColumn("logged_under", F.col("tail_batch_id"))
+    own = here.join(late.select("file_id"), "file_id", "left_anti").withColumn("logged_under", F.col("batch_id"))
+    return own.unionByName(late).withColumn("reading", F.col("_given")).drop("_given", "scan_school", "scan_location")
+
+
 def confirm(readings: DataFrame, roster: DataFrame, locations: DataFrame) -> DataFrame:
     """Attempts to log: readings with the shape of an identifier, corrected, with what they resolve to kept apart; others are refused and left out."""
     gated = readings.withColumn("confirmed_student_id", text.as_id("reading")).where("confirmed_student_id <> ''").withColumn("reading", F.col("confirmed_student_id"))

@@ -11,6 +11,9 @@ from intake.operators.lookup import school_key
 # Ways of matching that need no check by a person.
 EXACT_WAYS = ("exact", "shape_fix")
 
+#: Hex digits of a line's hash that pick its range: 65,536 ranges.
+TOKEN_DIGITS = 4
+
 
 def school_progress(roster: DataFrame, locations: DataFrame) -> DataFrame:
     """Totals and scanned people per school, per city and over all, in one pass."""
@@ -70,9 +73,15 @@ def pending_review(roster: DataFrame, log: DataFrame, locations: DataFrame, sear
 
 
 def review_token(pending: DataFrame) -> DataFrame:
-    """One row: the number of pending people and a digest of who they are and of their newest rows."""
+    """One row: the number of pending people and a digest of who they are and of their newest rows.
+
+    Lines are digested within ranges of their hashes, and the ranges' digests together, so that no list of all people is held.
+    """
     people = pending.select(F.concat_ws(":", F.upper(F.trim("student_id")), F.col("log_id").cast("string")).alias("line")).distinct()
-    return people.agg(F.count("*").alias("n"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256), 1, 32).alias("token"))
+    dealt = people.groupBy(F.substring(F.sha2("line", 256), 1, TOKEN_DIGITS).alias("range"))
+    parts = dealt.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "part"))), lambda x: x["part"]), "\n")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.substring(F.sha2(whole, 256), 1, 32).alias("token"))
 
 
 def review_flags(log: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def pending_review(spark, d):
     return reports.pending_review(*parts(spark, d))
 
 
-@query(f"with {NEWEST}, {SCANNED}, {PENDING} select count(*) as n, substr(sha256(string_agg(line, chr(10) order by line)), 1, 32) as token from (select distinct upper(trim(student_id)) || ':' || log_id as line from pending)")
+@query(f"with {NEWEST}, {SCANNED}, {PENDING} select coalesce(sum(n), 0) as n, substr(sha256(coalesce(string_agg(part, chr(10) order by range), '')), 1, 32) as token from (select substr(sha256(line), 1, 4) as range, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as part from (select distinct upper(trim(student_id)) || ':' || log_id as line from pending) group by 1)")
 def review_token(spark, d):
     """A5."""
     return reports.review_token(reports.pending_review(*parts(spark, d)))
@@ -146,11 +146,13 @@ def resolve_attempts(spark, d):
     return changes.resolve_attempts(log, fixed).select("id", "found_in_db", "confirmed_student_id", "matched_student_id", "matched_via")
 
 
-@query(f"with {NEWEST}, {SCANNED}, {PENDING} select l.id, case when l.found_in_db and l.reviewed_at is null and l.id <= 20000 and upper(trim(l.matched_student_id)) in (select upper(trim(student_id)) from pending) then {CUTOFF} else l.reviewed_at end as reviewed_at from fx_scan_log l")
+@query(f"with {LOCATIONS}, {NEWEST}, {SCANNED}, {PENDING}, listed as (select * from pending where upper(trim(school_name)) in (select school from loc where location = 'ASIA')) select l.id, case when l.found_in_db and l.reviewed_at is null and l.id <= (select max(log_id) from listed) and upper(trim(l.matched_student_id)) in (select upper(trim(student_id)) from listed) then {CUTOFF} else l.reviewed_at end as reviewed_at from fx_scan_log l")
 def mark_all_reviewed(spark, d):
-    """Sign-off of everyone pending."""
+    """Sign-off of everyone pending in a city, as the person was shown them."""
     roster, log, loc = parts(spark, d)
-    return changes.mark_reviewed(log, reports.pending_review(roster, log, loc), 20_000, cutoff()).select("id", "reviewed_at")
+    pending = reports.pending_review(roster, log, loc, location="ASIA")
+    seen = reports.review_token(pending).first()
+    return changes.mark_all_reviewed(log, pending, reports.review_token(pending), seen.n, seen.token, True, cutoff()).select("id", "reviewed_at")
 
 
 @query("select id, found_in_db from fx_scan_log where found_in_db or id % 3 <> 0")
@@ -188,11 +190,11 @@ def merge_link_columns(spark, d):
     return changes.merge_links(t, "image_link", "link")
 
 
-@query(f"with {NEWEST} select l.id, upper(trim(l.confirmed_student_id)) as corrected, case when l.found_in_db then 'gone' when h.id is null then 'no_match' when h.here then 'resolved' when s.student_id is not null then 'shared_id' else 'not_exact_without_scope' end as outcome from fx_scan_log l left join (select upper(trim(student_id)) as id, bool_or(false) as x, list(upper(trim(school_name))) as schools, false as here from fx_roster group by 1) g on g.id = upper(trim(l.confirmed_student_id)) left join (select l2.id as log_id, min(upper(trim(r.student_id))) as id, bool_or(upper(trim(r.school_name)) = l2.scan_school or l2.scan_school is null) as here from fx_scan_log l2 join fx_roster r on upper(trim(r.student_id)) = upper(trim(l2.confirmed_student_id)) group by 1) h on h.log_id = l.id left join (select upper(trim(student_id)) as student_id from fx_roster group by 1 having count(distinct upper(trim(school_name))) > 1) s on s.student_id = h.id where l.id % 3 = 0")
+@query(f"with {NEWEST} select l.id, upper(trim(l.confirmed_student_id)) as corrected, case when l.found_in_db then 'gone' when h.id is null then 'no_match' when h.here then 'resolved' when s.student_id is not null then 'shared_id' else 'not_exact_without_scope' end as outcome from fx_scan_log l left join (select upper(trim(student_id)) as id, bool_or(false) as x, list(upper(trim(school_name))) as schools, false as here from fx_roster group by 1) g on g.id = upper(trim(l.confirmed_student_id)) left join (select l2.id as log_id, min(upper(trim(r.student_id))) as id, bool_or(upper(trim(r.school_name)) = l2.scan_school or l2.scan_school is null) as here from fx_scan_log l2 join fx_roster r on upper(trim(r.student_id)) = upper(trim(l2.confirmed_student_id)) group by 1) h on h.log_id = l.id left join (select upper(trim(student_id)) as student_id from fx_roster group by 1 having count(distinct upper(trim(school_name))) > 1) s on s.student_id = h.id")
 def recheck(spark, d):
     """J16."""
     roster, log, _ = parts(spark, d)
-    asked = log.where("id % 3 = 0").select("id", F.upper(F.trim("confirmed_student_id")).alias("corrected"), "scan_school")
+    asked = log.select("id", F.upper(F.trim("confirmed_student_id")).alias("corrected"), "scan_school")
     people = roster.select(F.upper(F.trim("student_id")).alias("student_id"), lookup.school_key("school_name").alias("_s"))
     exact = asked.join(people, F.col("corrected") == F.col("student_id")).groupBy("id").agg(F.min("student_id").alias("student_id"), F.bool_or((F.col("_s") == F.col("scan_school")) | F.col("scan_school").isNull()).alias("in_scope"))
     return changes.recheck(asked.select("id", "corrected"), log, exact, reports.shared_ids(roster))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from intake.functions import text
-from intake.operators import attribution, documents, features
+from intake.operators import attribution, documents, features, lookup
 from intake.plans.fixtures import fixture, with_fixtures
 from intake.plans.lookups import AS_ID, STRICT, q_clean
+from intake.sources import files as sources
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,10 +91,10 @@ def drive_time(spark, d):
     return t.select("event_id", text.drive_time("t").alias("drive_time"))
 
 
-@query("select user_id, case when n_kept = 0 then '[skipped] Scan ' || user_id || '.PDF' when n_kept <> 1 then '[done ' || n_kept || ' pages] Scan ' || user_id || '.PDF' when one = '[unread]' then '[unread] Scan ' || user_id || '.PDF' else one || '.pdf' end as name from (select user_id, count(*) filter (label <> '[skipped]') as n_kept, min(label) filter (label <> '[skipped]') as one from (select user_id, case event_type when 'view' then '[skipped]' when 'click' then '[unread]' else 'ID' || event_id end as label from events where event_id % 7 = 0) group by 1)")
+@query("select user_id, case when n_kept = 0 then '[skipped] Scan ' || user_id || '.PDF' when n_kept <> 1 then '[done ' || n_kept || ' pages] Scan ' || user_id || '.PDF' when one = '[unread]' then '[unread] Scan ' || user_id || '.PDF' else one || '.pdf' end as name from (select user_id, count(*) filter (label <> '[skipped]') as n_kept, min(label) filter (label <> '[skipped]') as one from (select user_id, case event_type when 'view' then '[skipped]' when 'click' then '[unread]' else 'ID' || event_id end as label from events) group by 1)")
 def result_names(spark, d):
     """T17."""
-    e = fixture(spark, d, "select user_id, case event_type when 'view' then '[skipped]' when 'click' then '[unread]' else 'ID' || event_id end as label from events where event_id % 7 = 0")
+    e = fixture(spark, d, "select user_id, case event_type when 'view' then '[skipped]' when 'click' then '[unread]' else 'ID' || event_id end as label from events")
     return e.groupBy("user_id").agg(F.collect_list("label").alias("labels")).select("user_id", text.result_name(F.concat(F.lit("Scan "), F.col("user_id").cast("string"), F.lit(".PDF")), F.col("labels")).alias("name"))
 
 
@@ -213,3 +214,111 @@ def best_candidate(spark, d):
     """The best of the readings of a page."""
     r = fixture(spark, d, "fx_readings").select(F.floor(F.col("reading_id") / 4).alias("page_id"), F.col("reading").alias("text"), F.col("reading_id").alias("position"), ((F.col("reading_id") % 7) / 10.0).alias("confidence"))
     return features.best_candidate(r).select("page_id", "student_id", F.round("score", 6).alias("score"))
+
+
+@query("""select event_id, case when text like 'B0-%' then 0 else cast(regexp_extract(text, '^B([0-9]+)-', 1) as int) end as batch, cast(regexp_extract(text, '-([0-9]+)$', 1) as int) as number
+  from (select event_id, case event_id % 3 when 0 then 'B0-' else 'B' || (1 + event_id % 40) || '-' end || (1 + event_id % 900) as text from events)""")
+def code_parts(spark, d):
+    """Written and automatic codes."""
+    e = fixture(spark, d, "select event_id, case event_id % 3 when 0 then 'B0-' else 'B' || (1 + event_id % 40) || '-' end || (1 + event_id % 900) as text from events")
+    return e.select("event_id", F.inline(F.array(text.code_parts("text"))))
+
+
+@query("select event_id, substr(sha256(lower(trim(' User' || user_id || '@Example.org '))), 1, 24) as owner, 1000 + event_id as received_ms, cast(1 + event_id % 9 as int) as page from events")
+def owner_keys(spark, d):
+    """owners' keys, and the parts of page ids."""
+    e = fixture(spark, d, "select event_id, ' User' || user_id || '@Example.org ' as email, lower(lpad(hex(1000 + event_id), 12, '0')) || lower(lpad(hex(1 + event_id % 9), 4, '0')) || 'ffff' as page_id from events")
+    return e.select("event_id", text.owner_key("email").alias("owner"), F.inline(F.array(text.page_id_parts("page_id"))))
+
+
+LISTED = """select cast(event_id as string) as id, case when event_id % 7 = 0 then '[done] ' else '' end || 'scan' || event_id as name,
+  case event_type when 'view' then 'image/png' when 'click' then 'application/pdf' else 'text/plain' end as mime_type, event_id % 5 as size, cast(ts as string) as created_time from events"""
+
+
+@query(f"select id, name from ({LISTED}) where mime_type in ('image/png', 'application/pdf') and size > 0 and name not like '[%'")
+def list_new_pages(spark, d):
+    """S4."""
+    return sources.list_new_pages(fixture(spark, d, LISTED)).select("id", "name")
+
+
+@query("select owner, folder_id from (select lower('User' || user_id) as owner, cast(event_id as string) as folder_id, row_number() over (partition by user_id order by event_id desc) as k from events) where k = 1")
+def latest_inbox(spark, d):
+    """S5."""
+    e = fixture(spark, d, "select cast(event_id as string) as id, 'User' || user_id as email, event_id as shared_with_me_time from events")
+    return sources.latest_inbox_per_owner(e.withColumn("owners", F.array(F.struct(F.col("email").alias("emailAddress")))))
+
+
+@query("select event_id, row_number() over (partition by user_id order by floor((event_id % 97) * 3.0 / 40.0), event_id % 89, event_id) as position from events")
+def reading_order(spark, d):
+    """Events as boxes of a user's page."""
+    e = fixture(spark, d, "select event_id, user_id as page_id, (event_id % 97) * 3.0 as mid_y, (event_id % 89) + event_id / 1e9 as min_x from events")
+    return features.reading_order(e).select("event_id", "position")
+
+
+@query("select doc_id, contains(regexp_replace(coalesce(text, ''), '\\s+', '', 'g'), 'andthe') or contains(regexp_replace(coalesce(text, ''), '\\s+', '', 'g'), 'undder') as declaration from documents".replace("\\\\", "\\"))
+def declarations(spark, d):
+    """phrases in texts without their white space."""
+    return fixture(spark, d, "select doc_id, text from documents").select("doc_id", features.text_is_declaration(F.col("text"), ("andthe", "undder")).alias("declaration"))
+
+
+RECORDS = "select owner, code, status = 'ready' as uploaded, case when owner % 2 = 0 then 1 end as log_id, owner % 3 <> 0 as log_has_link, timestamp '2024-01-10 00:00:00' - (owner % 10) * interval '1' day as confirmed_at from stated"
+
+
+@query(f"with {JUDGED} select owner, code, case when done then 'uploaded' else 'confirmed' end as status from (select *, uploaded and log_id is not null and log_has_link as done from ({RECORDS})) where not done or confirmed_at > timestamp '2024-01-10 00:00:00' - interval '72 hours'")
+def confirmed_documents(spark, d):
+    """Documents as records, as of a fixed time."""
+    ready = documents.judge(documents.assemble(coded(spark, d)))
+    owner, now = F.col("owner"), F.expr("timestamp_ntz'2024-01-10 00:00:00'")
+    records = ready.select("owner", "code", (F.col("status") == "ready").alias("uploaded"), F.when(owner % 2 == 0, 1).alias("log_id"), (owner % 3 != 0).alias("log_has_link"), (now - F.make_dt_interval(days=(owner % 10).cast("int"))).alias("confirmed_at"))
+    return documents.confirmed_documents(records, now).select("owner", "code", "status")
+
+
+def shown_parts(spark, d):
+    """Documents with the pages a person was shown: for every fifth owner one page too few."""
+    judged = documents.judge(documents.assemble(coded(spark, d)))
+    pages = F.transform("parts", lambda p: p["page_id"])
+    return judged, judged.select("owner", "code", F.when(F.col("owner") % 5 == 0, F.slice(pages, 2, F.size(pages))).otherwise(F.reverse(pages)).alias("page_ids"))
+
+
+@query(f"with {JUDGED} select owner, code from stated where owner % 5 <> 0")
+def same_parts(spark, d):
+    """G5."""
+    judged, shown = shown_parts(spark, d)
+    return documents.same_parts(shown, judged).select("owner", "code")
+
+
+@query(f"with {JUDGED} select owner, code, status, student from stated union all select owner, code, 'confirmed', null from stated where owner % 4 = 0")
+def all_documents(spark, d):
+    """X1."""
+    judged = documents.judge(documents.assemble(coded(spark, d)))
+    done = judged.where("owner % 4 = 0").select("owner", "code", F.lit("confirmed").alias("status"))
+    return documents.all_documents(judged, done).select("owner", "code", "status", "student")
+
+
+TYPED = "typed as (select s.*, p.person, case when owner % 7 = 1 then 'no id' else upper(trim(p.student_id)) end as said, p.school_name as at_school from stated s join fx_roster p on p.person = s.owner % (select count(*) from customer))"
+
+
+@query(f"""with {JUDGED}, {TYPED}, outcomes as (select *, case when status = 'waiting' then 'waiting' when owner % 5 = 0 then 'changed' when said = 'no id' then 'not_an_id' when owner % 11 = 3 then 'not_found' else 'confirmed' end as outcome from typed)
+  select owner, code, outcome, case when said = 'no id' then '' else said end as confirmed_student_id, case when outcome = 'confirmed' then (select min_by(r.person, (upper(trim(r.school_name)), r.student_name, r.person)) from fx_roster r where upper(trim(r.student_id)) = said and upper(trim(r.school_name)) = upper(trim(at_school))) end as person, case when outcome = 'confirmed' then 'exact' end as matched_via from outcomes""")
+def confirm_documents(spark, d):
+    """Every open document with a person's identifier; every eleventh owner's documents are of a school that has nobody."""
+    judged, shown = shown_parts(spark, d)
+    roster = fixture(spark, d, "fx_roster")
+    people = fixture(spark, d, "select person, student_id as said, school_name as at_school from fx_roster")
+    n = fixture(spark, d, "select count(*) as n from customer").first().n
+    named = judged.select("owner", "code").withColumn("person", F.col("owner") % n).join(people, "person").drop("person")
+    typed = shown.join(named, ["owner", "code"]).withColumn("student_id", F.when(F.col("owner") % 7 == 1, "no id").otherwise(F.col("said")))
+    where = F.when(F.col("owner") % 11 == 3, "NOWHERE").otherwise(F.col("at_school"))
+    placed = judged.join(named, ["owner", "code"]).withColumn("parts", F.transform("parts", lambda p: p.withField("school", where).withField("location", F.lit("")))).drop("said", "at_school")
+    locations = lookup.school_location(roster, fixture(spark, d, "fx_employees"))
+    return documents.confirm_documents(typed.select("owner", "code", "student_id", "page_ids"), placed, roster, locations).select("owner", "code", "outcome", "confirmed_student_id", "person", "matched_via")
+
+
+@query()
+def find_with_tail(spark, d):
+    """Files with the reading of their number, at their batch's school and then at the tail's."""
+    files, b = scene(spark, d)
+    placed = attribution.with_tail(attribution.attribute(files, b), b)
+    asked = placed.join(fixture(spark, d, "select reading_id as file_id, reading from fx_readings"), "file_id")
+    roster = fixture(spark, d, "fx_roster")
+    return lookup.find_with_tail(asked, roster, lookup.school_location(roster, fixture(spark, d, "fx_employees"))).select("file_id", "batch_id", "logged_under", "person", "matched_via")

@@ -42,7 +42,7 @@ def stream_pages_per_day(spark, d):
 @query("select user_id, 1 as arrivals from events group by 1")
 def stream_dedup_arrivals(spark, d):
     """Within a time longer than the data, one arrival of each key stays."""
-    e = as_stream(spark, fixture(spark, d, "select event_id, ts, user_id from events").coalesce(1), "event_id")
+    e = as_stream(spark, fixture(spark, d, "select event_id, ts, user_id from events"), "event_id")
     return live.run_to_end(live.dedup_arrivals(e, ["user_id"], "36500 days")).groupBy("user_id").agg(F.count("*").alias("arrivals"))
 
 

@@ -62,7 +62,7 @@ def write_document_tree(documents: DataFrame, folder: str) -> None:
 
 def write_by_batch(files: DataFrame, judged: DataFrame, folder: str) -> None:
     """Files (file_id, owner, code, code_source) in a folder per batch once their code is settled: typed, or of a document that needs nobody."""
-    settled = judged.where("status not in ('needs_attention', 'waiting')").select("owner", "code").distinct().withColumn("_ok", F.lit(True))
+    settled = judged.where("status not in ('needs_attention', 'waiting', 'failed')").select("owner", "code").distinct().withColumn("_ok", F.lit(True))
     routed = files.join(settled, ["owner", "code"], "left").where((F.col("code_source") == "typed") | F.col("_ok")).withColumn("folder", text.parse_batch_code("code")["folder"])
     routed.where("folder is not null").drop("_ok").write.mode("overwrite").partitionBy("folder").parquet(folder)
 
