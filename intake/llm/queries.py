@@ -92,6 +92,12 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def spot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over all pairs: the class of near-duplicate texts of every document."""
+    return spotsigs.classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""

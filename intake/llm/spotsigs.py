@@ -6,6 +6,11 @@ The fingerprint is the ordered set of signatures in hex. Likeness is the Jaccard
 is pruned by set length: sets whose sizes alone keep it below a threshold are not compared, and sets fall
 in length classes so that only equal and adjacent classes can hold likely pairs.
 
+``classes`` finds all texts with a likeness of ``LIKE`` or more. Equal sets fall together. A set's signatures are put in one order, frequent ones last,
+and keyed by the first of them that likely sets must share one of. Sets that meet under a key are compared only if they are in equal or adjacent
+length classes, if their sizes, their places under the key and the parities of their hash bins allow the likeness, and then by their signatures. A key's sets
+first meet its leader; only keys whose sets lie in several groups after that give pairs, of sets of different groups.
+
 Positions need no pass in order: the k-th anchor at position p has p - k content words before it, so its
 chain is read from the array of content words.
 
@@ -25,6 +30,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intake.llm.common import cut
+from intake.llm.components import components
+
 # Common words of English, French, German and Spanish.
 COMMON = """
 a an and are as at be by for from has have he in is it not of on or that the this to was were which with you
@@ -36,6 +44,10 @@ al como con del el las lo los más no para por su y
 START = "^"
 #: Sets of which one is smaller than this share of the other can't reach the likeness.
 LIKE = 0.8
+#: Signatures known as frequent, the sets of which one is counted for that order (it changes costs, never the pairs), and the leaders that a set meets.
+FREQUENT, ORDER_FROM, LEADERS = 4096, 16, 3
+#: Words of the parity sketch.
+ODD = ("p0", "p1", "p2", "p3")
 
 
 def with_spots(df: DataFrame, text: Column, to: str) -> DataFrame:
@@ -98,3 +110,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_spots(with_spots(rows, F.col(text_col), "spots"), F.col("edited"), "edited_spots")
     rows = rows.withColumn("_next_spots", F.lead("spots").over(order)).where("_extra = 0")
     return rows.select(id_col, text_col, "edited", "spots", "edited_spots", likeness("spots", "edited_spots").alias("near_edited"), likeness("spots", "_next_spots").alias("near_next"))
+
+
+def _may_be_like(x: str, y: str) -> Column:
+    """Whether sets met under a key can reach the likeness (4/5), by sizes, places under the key and parities; columns n, at and the sketch with these prefixes."""
+    apart = " + ".join(f"bit_count({x}{p} ^ {y}{p})" for p in ODD)
+    return F.expr(f"5 * least({x}n, {y}n) >= 4 * greatest({x}n, {y}n) and 9 * least({x}n - {x}at, {y}n - {y}at) >= 4 * ({x}n + {y}n) and 9 * ({apart}) <= {x}n + {y}n")
+
+
+def _like(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets with the likeness, by their signatures; written, as two steps need them."""
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("spots").alias("_x")), "a").join(sets.select(F.col("set").alias("b"), F.col("spots").alias("_y")), "b")
+    return cut(both.where(likeness("_x", "_y", LIKE) >= LIKE).select("a", "b"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of ``docs``: its id and ``class_id``, the least id of its class. Texts of one class are linked, over others perhaps, by a likeness of ``LIKE`` or more.
+
+    Null, empty and wordless texts have the empty set and are one class; a class of rows without ids has none; an empty table gives an empty table; other columns go.
+    """
+    rows = with_spots(docs.select(F.col(id_col), F.col(text_col).alias("_text")), F.col("_text"), "spots").select(id_col, "spots", F.xxhash64("spots").alias("set"))
+    rows = cut(rows)
+    sets = rows.groupBy("set").agg(F.first("spots").alias("spots"))
+    counted = rows.where(F.pmod("set", F.lit(ORDER_FROM)) == 0).select(F.explode("spots").alias("s")).groupBy("s").count()
+    frequent = F.lit([r.s for r in counted.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()]).cast("array<int>")
+    n = F.size("spots")
+    ordered = F.concat(F.array_except("spots", frequent), F.array_intersect("spots", frequent))
+    heads = F.slice(ordered, F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 1)
+    odd = [F.expr(f"aggregate(spots, 0L, (a, x) -> a ^ if((x >> 6 & 3) = {k}, shiftleft(1L, x & 63), 0L))").alias(p) for k, p in enumerate(ODD)]
+    sketched = sets.where(n > 0).select("set", n.alias("n"), *odd, F.posexplode(heads).alias("at", "key"))
+    order = Window.partitionBy("key").orderBy("at", "set")
+    one = F.struct("set", "n", "at", *ODD)
+    met = cut(sketched.select("*", F.first(one).over(order).alias("leader"), F.lead("set").over(order).alias("_more")).where("leader.set <> set or _more is not null").drop("_more"))
+    led = met.where((F.col("leader.set") != F.col("set")) & _may_be_like("", "leader.")).groupBy("set").agg(F.slice(F.sort_array(F.collect_set("leader.set")), 1, LEADERS).alias("l"))
+    edges = _like(led.select(F.col("set").alias("a"), F.explode("l").alias("b")), sets)
+    grouped = met.drop("leader").join(components(edges).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    split = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    # sets under one key and in one length class, or in the next, of different groups
+    rest = cut(grouped.join(split, "key").withColumn("length_class", F.floor(F.log(F.col("n").cast("double")) / -math.log(LIKE) + 1e-9).cast("int")))
+    x = rest.select("key", *(F.col(c).alias(f"x_{c}") for c in ("set", "root", "n", "at", *ODD)), F.explode(F.expr("array(length_class, length_class + 1)")).alias("length_class"))
+    y = rest.select("key", *(F.col(c).alias(f"y_{c}") for c in ("set", "root", "n", "at", *ODD)), "length_class")
+    late = x.join(y, ["key", "length_class"]).where((F.col("x_root") != F.col("y_root")) & _may_be_like("x_", "y_")).select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct()
+    roots = components(edges.union(_like(cut(late), sets)))
+    rooted = rows.select(id_col, "set").join(roots.withColumnRenamed("node", "set"), "set", "left").select(id_col, F.coalesce("root", "set").alias("_root"))
+    least = rooted.groupBy("_root").agg(F.min(id_col).alias("class_id"))
+    return rooted.join(least, "_root").select(id_col, "class_id")
