@@ -58,7 +58,7 @@ def test_maxent(docs, none):
 
 def test_maxent_is_a_distribution():
     hot = [b" ", *(f"w{i}".encode() for i in range(60))]
-    model = maxent.Model(hot, np.arange(61, 0, -1), int(np.arange(61, 0, -1).sum()) + 5, 64, {"class": np.random.default_rng(0).normal(size=(maxent.CLASS_ROWS, maxent.CLASSES)).astype(np.float32), "place": np.zeros((maxent.PLACE_ROWS, maxent.WIDTH), np.float32)})
+    model = maxent.Model(hot, np.arange(61, 0, -1), int(np.arange(61, 0, -1).sum()) + 5, 64, {"class": np.random.default_rng(0).normal(size=(1 << 12, maxent.CLASSES)).astype(np.float32), "place": np.zeros((1 << 12, maxent.WIDTH), np.float32)})
     history = np.array([3, 7])
     logs = [model.log10(np.array([*history, i]), np.array([0]))[-1] for i in range(len(hot))]
     rare = model.log10(np.array([*history, len(hot)]), np.array([0]))[-1]
