@@ -58,22 +58,23 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, scale: float
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, scale: float = 1.0, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with each row as often as drawn, in a global random order; ``replica`` numbers the copies from 1."""
     docs = docs.drop("replica")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if docs.columns else F.struct()
     sources = rates(docs, weights, scale)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_source", source_key())
+    # the row travels as one column, so that no column of it meets those added here
+    keyed = docs.select(row.alias("_row"), source_key().alias("_source"), ident.alias("_id"))
     if sources.count() <= MAX_BROADCAST:
         joined = keyed.join(F.broadcast(sources.select("_source", "parts", "cdf")), "_source")
     else:
         salted = sources.select("_source", "parts", "cdf", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(SALT)).cast("int")).join(salted, ["_source", "_salt"]).drop("_salt")
-    joined = joined.withColumn("_id", ident)
+        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALT)).cast("int")).join(salted, ["_source", "_salt"]).drop("_salt")
     # the first 13 hex digits of the hash as a fraction; as many copies as steps of the distribution function are at most that
     unit = f"cast(conv(substr(md5(concat(_id, ':{seed}:', cast(j as string))), 1, 13), 16, 10) as bigint) / {1 << 52}D"
     copies = F.expr(f"aggregate(transform(transform(sequence(1, parts), j -> {unit}), u -> size(filter(cdf, c -> c <= u))), 0, (a, x) -> a + x)")
     # no filter, which would draw once more: an explode of null gives no row
     drawn = joined.withColumn("_copies", copies).withColumn("replica", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))))
     place = F.xxhash64(F.lit(seed), "_id", "replica")
-    return drawn.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").select(*docs.columns, "replica")
+    return drawn.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").select("_row.*", "replica")
 
 
 def mix_sql(scale: float = 1.0, seed: int = SEED, temperature: float = TEMPERATURE) -> str:

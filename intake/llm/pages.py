@@ -50,6 +50,8 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer copyright sidebar side aside cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe signup login comment comments respond replies reply disqus share sharing social related recommended pagination pager widget toolbar".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag whose quotes are not heeded, for what follows a tag with quotes that never close.
+_LOOSE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
@@ -75,13 +77,15 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """The blocks of a page in order with their kind."""
+    """The blocks of a page in order with their kind. The page is read forwards once, broken or not."""
     page = page or ""
     found: list[tuple[str, bool, str]] = []
     parts: list[str] = []
     # open elements: name, whether it or one around it is marked, the root it stands in
     stack: list[tuple[str, bool, str]] = []
     marked, root, at = False, "", 0
+    counts: dict[str, int] = {}
+    tag_of, last, seek = _TAG, page.rfind(">"), 0
 
     def end() -> None:
         text = "".join(parts)
@@ -92,12 +96,21 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
 
     def back(k: int) -> None:
         nonlocal marked, root
+        for name, _, _ in stack[k:]:
+            counts[name] -= 1
         del stack[k:]
         marked, root = (stack[-1][1], stack[-1][2]) if stack else (False, "")
 
-    while tag := _TAG.search(page, at):
-        parts.append(page[at : tag.start()])
-        at = tag.end()
+    while (start := page.find("<", seek)) >= 0 and (start < last or page.startswith("<!--", start)):
+        tag = tag_of.match(page, start)
+        if not tag and tag_of is _TAG and page[start + 1 : start + 3].lstrip("/")[:1].isalpha():
+            tag_of = _LOOSE
+            tag = tag_of.match(page, start)
+        if not tag:
+            seek = start + 1
+            continue
+        parts.append(page[at:start])
+        at = seek = tag.end()
         if not tag[2]:
             continue
         name = tag[2].lower()
@@ -105,24 +118,27 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             end()
         elif name == "br":
             parts.append(" ")
-        if tag[1]:
+        if tag[1] and counts.get(name):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     back(k)
                     break
+        elif tag[1]:
+            pass  # nothing of that name is open
         elif name in RAW:
             close = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
-            at = len(page) if not close else page.find(">", close.end()) + 1 or len(page)
+            at = seek = len(page) if not close else page.find(">", close.end()) + 1 or len(page)
         elif name not in VOID:
             if name in BLOCKS and stack and stack[-1][0] == "p":
                 back(len(stack) - 1)
-            if name in ("article", "main") and any(e[0] in ("nav", "header", "menu") for e in stack):
+            if name in ("article", "main") and any(counts.get(e) for e in ("nav", "header", "menu")):
                 marked = False  # these hold no article: their end is missing
             now = marked or _marked(name, tag[3], root == "article")
             if name in ("article", "main") and root != "article":
                 root = name
             marked = now
             stack.append((name, marked, root))
+            counts[name] = counts.get(name, 0) + 1
     # a "<" without an end is text, unless a tag begins there
     rest = page[at:]
     parts.append(rest[: cut_at] if (cut_at := _open_tag(rest)) >= 0 else rest)

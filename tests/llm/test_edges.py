@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from intake.llm import bpe, maxent, mixing, pages, quality, shards, simhash, spotsigs, toxicity, warc
 from intake.llm.queries import QUERIES, tokenizer_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, replica string, n_words string, token_ids string, fingerprint string, fp string, component_id string, spots string, _source string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, replica string, parts string, cdf string, _id string, _row string, n_words string, token_ids string, fingerprint string, fp string, component_id string, spots string, _source string"
 LONG = "lorem ipsum dolor " * 20_000 + "x" * 30_000
 
 
@@ -24,7 +24,7 @@ def docs(spark):
     clean = "The quick brown fox jumps over the lazy dog near the river bank while it rains on the old town wall today."
     texts = [clean, clean, clean + " Again.", None, "", "   \n\t ", LONG, "Ünïcode <|endoftext|> ΑΣ 中文 😀 a\x1cb", "one", "two words"]
     rows = [(i, t, "en", None if i == 3 else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)] + [(0, clean, "en", "s0", len(clean)), (None, "no id here", "en", "s1", 10)]
-    return spark.createDataFrame([(*r, 1.0, *["clash"] * 9) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 1.0, *["clash"] * 13) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -124,6 +124,7 @@ def test_mixing(docs, none, monkeypatch):
     rows = mixing.mix(docs).collect()
     assert rows == mixing.mix(docs).collect()
     counts = Counter(r.doc_id for r in rows)
+    assert {(r._source, r._id, r.parts, r.cdf, r._row) for r in rows} == {("clash",) * 5}
     monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
     assert Counter(r.doc_id for r in mixing.mix(docs).collect()) == counts
     assert mixing.mix(docs, weights={"s0": 1.0}, scale=200.0).where("source <> 's0'").count() == 0

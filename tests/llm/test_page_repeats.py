@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from intake.llm import pages
 
 MENU = "<div>Home News Sport Weather Contact us</div>"
@@ -27,3 +29,15 @@ def test_phrases_of_a_large_host_stay(spark):
     bodies[17] += " then"
     got = texts(spark, bodies, 3)
     assert got == dict(enumerate(bodies))
+
+
+def test_broken_pages_take_linear_time():
+    """Quotes and comments that never close, stray end tags and deep nesting: megabytes in seconds."""
+    for piece in ('<a "', "</b>", "<article><div>", "<p a='", "<!x", "<"):
+        began = time.time()
+        pages.blocks(f"<article><p>kept text</p></article>{piece * (1_000_000 // len(piece))}")
+        assert time.time() - began < 30, piece
+
+
+def test_quotes_that_never_close():
+    assert pages.blocks('<article><p title="a > b">one</p><p x="y>two</p><p>three</p></article>') == [("one", pages.ARTICLE), ("two", pages.ARTICLE), ("three", pages.ARTICLE)]
