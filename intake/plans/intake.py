@@ -322,3 +322,14 @@ def find_with_tail(spark, d):
     asked = placed.join(fixture(spark, d, "select reading_id as file_id, reading from fx_readings"), "file_id")
     roster = fixture(spark, d, "fx_roster")
     return lookup.find_with_tail(asked, roster, lookup.school_location(roster, fixture(spark, d, "fx_employees"))).select("file_id", "batch_id", "logged_under", "person", "matched_via")
+
+
+LINES = "select event_id, case event_id % 9 when 0 then 'Student ID :' when 1 then 'STUDENT card no / ID' when 2 then 'विद्यार्थी आयडी' when 3 then 'छात्र आईडी' when 4 then 'Vidyarthi ka ID' when 5 then 'Student ID information' when 6 then 'Class and division' when 7 then 'विद्यार्थी आईडी' else 'name ' || event_id end as line from events"
+
+
+@query("""select event_id, case when event_id % 9 in (0, 1) then 'english' when event_id % 9 = 2 then 'marathi' when event_id % 9 in (3, 4, 7) then 'hindi' end as language,
+  case when event_id % 9 in (0, 2, 7) then 3.0 when event_id % 9 = 1 then 2.5 when event_id % 9 in (3, 4) then 2.0 else 0.0 end::double as score, event_id % 9 = 6 as grade from events""")
+def label_scores(spark, d):
+    """Printed labels in three languages."""
+    lines = fixture(spark, d, LINES)
+    return lines.select("event_id", F.inline(F.array(text.label_score("line"))), text.is_grade_label("line").alias("grade")).withColumn("score", F.col("score").cast("double"))
