@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from intake.functions import text
-from intake.operators import attribution, documents, features, lookup
+from intake.operators import attribution, documents, features, layout, lookup
 from intake.plans.fixtures import fixture, with_fixtures
 from intake.plans.lookups import AS_ID, STRICT, q_clean
 from intake.sources import files as sources
@@ -333,3 +333,73 @@ def label_scores(spark, d):
     """Printed labels in three languages."""
     lines = fixture(spark, d, LINES)
     return lines.select("event_id", F.inline(F.array(text.label_score("line"))), text.is_grade_label("line").alias("grade")).withColumn("score", F.col("score").cast("double"))
+
+
+@query(f"""with {BATCHES}, {PLACED}, l as (select file_id as i, arg_max(b.closed_at, (b.opened_at, b.batch_id)) as c from f join b on b.folder_id = f.folder_id and b.opened_at <= f.created group by 1)
+  select file_id, folder_id, created, case when created - c < interval '2 minutes' then 'grace' when created - c < interval '6 hours' then 'leftover' else 'late' end as late from placed join l on i = file_id where place = 'set_aside'""")
+def late_pages(spark, d):
+    """Z9 in batch."""
+    return attribution.late_pages(*scene(spark, d))
+
+
+def ruled(spark, d):
+    e = fixture(spark, d, "select vec_id, embedding from embeddings")
+    ladder = F.element_at(F.array(*(F.array(*map(F.lit, rows)) for rows in layout.LADDERS.values())), (F.col("vec_id") % 3 + 1).cast("int"))
+
+    def rule(y, k):
+        shake = F.element_at("embedding", k + 1).cast("double")
+        at = y * (1 + F.element_at("embedding", 60) / 10) + F.element_at("embedding", 61) / 10 + shake * 0.01
+        return F.struct(F.when(F.col("vec_id") % 4 == 0, 1 - at).otherwise(at).cast("double").alias("y"), (0.2 + shake / 50).alias("x0"), (0.6 + shake / 50).alias("x1"))
+
+    pages = e.select("vec_id", features.merge_rules(F.transform(ladder, rule)).alias("rules"))
+    return pages.withColumn("heights", F.col("rules.y"))
+
+
+@query()
+def identify_form(spark, d):
+    """the form of each page and its value box."""
+    found = layout.identify_form(ruled(spark, d), "heights")
+    return found.select("vec_id", "fit.language", "fit.runner_up", *(F.round(f"fit.{c}", 6).alias(c) for c in ("error", "scale", "offset", "confidence")), F.transform(F.array(*(layout.id_box(F.col("rules"), F.col("fit"))[k] for k in ("x0", "y0", "x1", "y1"))), lambda v: F.round(v, 6)).cast("string").alias("box"))
+
+
+@query()
+def orientation(spark, d):
+    """F6."""
+    return layout.orientation(ruled(spark, d), "heights").select("vec_id", "turn")
+
+
+@query()
+def match_profile(spark, d):
+    """each page's profile against the mean profiles of the ten labels, which stand for the blank forms' pages."""
+    pages = fixture(spark, d, "select vec_id, label, transform(embedding, x -> abs(cast(x as double))) as profile from embeddings")
+    means = pages.select("label", F.posexplode("profile").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("profile"))
+    templates = {f"form{r.label // 2}:{1 + r.label % 2}": r.profile for r in means.collect()}
+    return layout.match_profile(pages, "profile", templates).select("vec_id", "match.best_page", *(F.round(f"match.{c}", 6).alias(c) for c in ("best_score", "first_score", "later_score")))
+
+
+OCR_LINES = """select e.event_id div 6 as page_id, e.event_id as position, (e.event_id % 10) / 10.0D as confidence, e.y as y_mid, 20.0D as height, e.x as x_min, e.x + 100.0D as x_max,
+  case e.event_id % 11 when 0 then 'Student ID :' when 1 then 'Name ' || r.reading when 2 then r.reading when 3 then 'Grade 5' when 4 then 'Student ID: ' || r.reading when 5 then r.reading when 6 then 'Student ID information' when 7 then 'Student no / ID' when 8 then 'School: ' || r.reading else 'words ' || e.event_id end as text
+  from (select event_id, cast(event_id * 37 % 200 as double) as y, cast(event_id * 53 % 300 as double) as x from events) e join fx_readings r on r.reading_id = e.event_id"""
+
+
+@query()
+def best_label(spark, d):
+    """the identifier field's label on each page, and what is written beside it."""
+    return layout.best_label(fixture(spark, d, OCR_LINES))
+
+
+READ = "select reading_id div 5 as page_id, reading_id as position, array('label', 'vision', 'vision_line', 'rapid', 'easy')[cast(reading_id % 5 as int)] as reader, reading as text, (reading_id % 9) / 10.0D as confidence, array('english', 'hindi', 'marathi')[cast(reading_id % 3 as int)] as language from fx_readings"
+
+
+@query()
+def score_readings(spark, d):
+    """Every reader's readings as scored candidates."""
+    return layout.score_readings(fixture(spark, d, READ)).select("page_id", "position", "reader", "text", F.round("score", 6).alias("score"), "tag")
+
+
+@query()
+def with_fallback(spark, d):
+    """The candidates of a page, or those of the blank forms' boxes."""
+    scored = layout.score_readings(fixture(spark, d, READ))
+    preferred = fixture(spark, d, "select distinct reading_id div 5 as page_id, array('english', 'hindi', 'marathi')[cast(reading_id div 5 % 3 as int)] as language from fx_readings")
+    return layout.with_fallback(scored.where("reader <> 'easy'"), scored.where("reader = 'easy'"), preferred).select("page_id", "position", "language", "text", "stage")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from intake.operators import lookup
 from intake.plans.fixtures import fixture, with_fixtures
+from intake.plans.intake import BATCHES, PAIRED, PLACED
 from intake.shared import shared_dir
 from intake.streaming import lifecycles as live
 
@@ -83,3 +84,47 @@ def stream_lookup(spark, d):
     folder = f"{shared_dir(spark)}/lookup-{uuid.uuid4().hex}"
     live.stream_lookup(readings, roster, locations, lambda rows, k: rows.write.mode("overwrite").parquet(f"{folder}/out/part={k}"), f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").drop("part")
+
+
+TAILED = f"""{BATCHES}, {PLACED}, lagged as (select batch_id, opened_at, lag(batch_id) over w as pb, lag(school) over w as ps, lag(closed_at) over w as pc from b window w as (partition by folder_id order by opened_at, batch_id)),
+lasts as (select f.file_id as f, max(b.opened_at) as o, arg_max(b.closed_at, (b.opened_at, b.batch_id)) as c from f join b on b.folder_id = f.folder_id and b.opened_at <= f.created group by 1),
+tailed as (select p.file_id, p.folder_id, p.created, p.batch_id, p.batch_school, p.place, case when ok then pb end as tail_batch_id, case when ok then ps end as tail_school,
+  case when place = 'set_aside' then case when created - c < interval '2 minutes' then 'grace' when created - c < interval '6 hours' then 'leftover' else 'late' end end as late
+  from (select p.*, pb, ps, coalesce(created >= opened_at and created < pc + interval '10 minutes' and ps is distinct from batch_school, false) as ok from placed p left join lagged using (batch_id)) p left join lasts on f = file_id)"""
+
+
+@query(f"with {TAILED} select * from tailed where place <> 'waiting'")
+def stream_attribution(spark, d):
+    """Files placed as they come."""
+    return live.run_to_end(live.stream_attribution(as_stream(spark, fixture(spark, d, "select event_id, folder_id, ts, kind, school from fx_batch_events"), "ts")))
+
+
+FILE_EVENTS = "select cast(floor(event_id / 8) as bigint) as file_id, event_id, ts, case event_type when 'view' then 'claim' when 'click' then 'page' when 'purchase' then 'logged' when 'signup' then 'renamed' else case when event_id % 4 = 0 then 'fail' else 'outage' end end as kind from events"
+FILE_SQL = f"""with e as (select *, row_number() over (partition by file_id order by ts, event_id) as k from ({FILE_EVENTS})),
+c as (select file_id, min(k) as k0 from e where kind = 'claim' group by 1),
+a as (select e.*, count(*) filter (kind = 'fail') over (partition by file_id order by k) as fails from e join c using (file_id) where k > k0),
+l as (select file_id, min(k) as kl from a where kind = 'logged' group by 1),
+p as (select file_id, min(k) as kp from a where fails = 3 group by 1),
+r as (select file_id, min(k) as kr from a join l using (file_id) where kind = 'renamed' and k > kl group by 1),
+z as (select file_id, coalesce(kl, 1e9) as kl, coalesce(kp, 1e9) as kp, coalesce(kr, 1e9) as kr from c left join l using (file_id) left join p using (file_id) left join r using (file_id))
+select file_id, case when kp < kr then 'parked' when kr < 1e9 then 'done' when kl < 1e9 then 'logged' else 'reading' end as state,
+  count(*) filter (kind = 'page' and k < least(kl, kp)) as pages_logged, count(*) filter (kind = 'fail' and k <= least(kp, kr)) as attempts from z left join a using (file_id) group by file_id, kl, kp, kr"""
+
+
+@query(FILE_SQL)
+def file_lifecycle(spark, d):
+    """Z3 in batch."""
+    return live.file_lifecycle_batch(fixture(spark, d, FILE_EVENTS))
+
+
+@query(FILE_SQL)
+def stream_file_lifecycle(spark, d):
+    """Z3: the last state of each file."""
+    stream = live.run_to_end(live.file_lifecycle(as_stream(spark, fixture(spark, d, FILE_EVENTS), "event_id")), "update")
+    return stream.groupBy("file_id").agg(F.max_by(F.struct("state", "pages_logged", "attempts"), "_batch").alias("s")).select("file_id", "s.*")
+
+
+@query(f"with {PAIRED} select * from paired")
+def stream_pairing(spark, d):
+    """Codes of pages without one, given as they come."""
+    return live.run_to_end(live.stream_pairing(as_stream(spark, fixture(spark, d, "fx_pages"), "received_ns")))

@@ -6,17 +6,20 @@ cast for the watermark and back on output. Clocks are event times, so that repla
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from intake.functions.text import clean_token
 from intake.operators import lookup
+from intake.operators.attribution import GRACE, LATE_TAIL, WATCH_AFTER
+from intake.operators.documents import LATER, MAX_FORMS, MAX_PAGES, ORDER, UNCODED_SCHOOLS
 from intake.shared import shared_dir
 
 #: A claim older than this goes back to the queue; tries before a page has failed; the watermark of leftovers.
@@ -100,6 +103,153 @@ def page_lifecycle_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("page_id").applyInPandas(fold, "page_id long, status string, tries int")
 
 
+def _seconds(gap: str) -> pd.Timedelta:
+    return pd.Timedelta(gap.removeprefix("interval "))
+
+
+def folder_step(held: list, state: dict, rows: list[tuple]) -> list[tuple]:
+    """Files of a folder placed after its events (ts, mark before file, id, kind, school) in order of time; ``state`` and ``held`` change in place.
+
+    ``state``: ``now`` and ``before`` are batches as [id, school, opened, closed]. Files wait in ``held`` until the folder's first batch opens.
+    """
+    out: list[tuple] = []
+
+    def place(at: pd.Timestamp, file_id: int) -> None:
+        now, before = state["now"], state["before"]
+        if now[3] is not None and at >= now[3]:
+            after = at - now[3]
+            late = "grace" if after < _seconds(GRACE) else "leftover" if after < _seconds(WATCH_AFTER) else "late"
+            out.append((file_id, at, None, None, "set_aside", None, None, late))
+            return
+        tail = before is not None and before[3] is not None and now[2] <= at < before[3] + _seconds(LATE_TAIL) and before[1] != now[1]
+        out.append((file_id, at, now[0], now[1], "batch", before[0] if tail else None, before[1] if tail else None, None))
+
+    for at, _, number, kind, school in sorted(rows, key=lambda r: r[:3]):
+        now = state["now"]
+        if kind == "file":
+            held.append((at, number)) if now is None else place(at, number)
+            continue
+        if now is not None and now[3] is None:
+            now[3] = at
+        if kind == "start":
+            state["before"], state["now"] = now, [number, school, at, None]
+            for waiting in held:
+                place(*waiting)
+            held.clear()
+    return out
+
+
+PLACED = "file_id long, folder_id int, created timestamp, batch_id long, batch_school string, place string, tail_batch_id long, tail_school string, late string"
+
+
+def stream_attribution(events: DataFrame) -> DataFrame:
+    """Files as they come, with their batch, the tail of the batch before, and how long after a stop they came (J8, J9 and late pages at once).
+
+    Events: event_id, folder_id, ts, kind (start, stop, file), school. The marks and files of a folder must arrive in order of time, as one watcher lists
+    them. State per folder: its last two batches, and the files that wait for its first. What waits for ever is not given.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = [(r.ts, r.kind == "file", r.event_id, r.kind, r.school) for f in frames for r in f.itertuples()]
+        old = json.loads(state.get[0]) if state.exists else {"now": None, "before": None, "held": []}
+        stamp = lambda b: b and [b[0], b[1], *(None if t is None else pd.Timestamp(t) for t in b[2:])]
+        now = {"now": stamp(old["now"]), "before": stamp(old["before"])}
+        held = [(pd.Timestamp(t), n) for t, n in old["held"]]
+        out = folder_step(held, now, rows)
+        state.update((json.dumps({**now, "held": held}, default=str),))
+        if out:
+            frame = pd.DataFrame(out, columns=["file_id", "created", "batch_id", "batch_school", "place", "tail_batch_id", "tail_school", "late"])
+            frame.insert(1, "folder_id", key[0])
+            yield frame.astype({"batch_id": "Int64", "tail_batch_id": "Int64"})
+
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    placed = stamped.groupBy("folder_id").applyInPandasWithState(step, PLACED, "folder string", "append", GroupStateTimeout.NoTimeout)
+    return placed.withColumn("created", F.col("created").cast("timestamp_ntz"))
+
+
+#: What a file is before its first event: state, pages logged, failures.
+FILE_STATE = "struct<state:string,pages_logged:int,attempts:int>"
+
+
+def file_state(state: tuple, kinds: list[str]) -> tuple:
+    """(state, pages_logged, attempts) of a file after events in order: claim, page, logged, renamed, fail, outage. Done and parked are final."""
+    now, logged, attempts = state
+    for kind in kinds:
+        if now in ("done", "parked") or (now is None and kind != "claim"):
+            continue
+        if now is None:
+            now = "reading"
+        elif kind == "page" and now == "reading":
+            logged += 1
+        elif kind == "logged" and now == "reading":
+            now = "logged"
+        elif kind == "renamed" and now == "logged":
+            now = "done"
+        elif kind == "fail":
+            attempts += 1
+            now = "parked" if attempts >= TRIES else now
+    return now, logged, attempts
+
+
+def file_lifecycle(events: DataFrame) -> DataFrame:
+    """(file_id, state, pages_logged, attempts) of every claimed file after each micro-batch that touched it. Events: file_id, event_id, ts, kind.
+
+    Reading goes on after ``pages_logged``; three failures park a file in any state but done; an outage counts for nothing.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = sorted(r for f in frames for r in zip(f.ts, f.event_id, f.kind, strict=True))
+        new = file_state(tuple(state.get) if state.exists else (None, 0, 0), [r[2] for r in rows])
+        if new[0] is not None:
+            state.update(new)
+            yield pd.DataFrame({"file_id": [key[0]], "state": [new[0]], "pages_logged": [new[1]], "attempts": [new[2]]})
+
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stamped.groupBy("file_id").applyInPandasWithState(step, "file_id long, state string, pages_logged int, attempts int", "state string, pages_logged int, attempts int", "update", GroupStateTimeout.NoTimeout)
+
+
+def file_lifecycle_batch(events: DataFrame) -> DataFrame:
+    """The same from all events at once, by a fold over each file's events in order."""
+    is_ = lambda s, *states: F.coalesce(s["state"].isin(*states), F.lit(False))
+
+    def step(s: Column, e: Column) -> Column:
+        kind = e["kind"]
+        fails = s["attempts"] + F.when(s["state"].isNotNull() & (kind == "fail"), 1).otherwise(0)
+        state = F.when(s["state"].isNull(), F.when(kind == "claim", "reading")).when(fails >= TRIES, "parked").when(is_(s, "reading") & (kind == "logged"), "logged").when(is_(s, "logged") & (kind == "renamed"), "done").otherwise(s["state"])
+        pages = s["pages_logged"] + F.when(is_(s, "reading") & (kind == "page"), 1).otherwise(0)
+        return F.when(is_(s, "done", "parked"), s).otherwise(F.struct(state.alias("state"), pages.alias("pages_logged"), fails.alias("attempts")).cast(FILE_STATE))
+
+    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).alias("pages_logged"), F.lit(0).alias("attempts")).cast(FILE_STATE)
+    rows = events.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind"))).alias("_e"))
+    return rows.select("file_id", F.aggregate("_e", start, step).alias("_s")).select("file_id", "_s.*").where("state is not null")
+
+
+def stream_pairing(pages: DataFrame) -> DataFrame:
+    """(page_id, auto_code) of pages without a code, given as they come; pages of an owner must arrive in scan order. State per owner: the open form."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        forms, length, school, location = state.get if state.exists else (0, 0, None, None)
+        out: list[tuple] = []
+        for r in pd.concat(frames).sort_values(list(ORDER)).itertuples():
+            read = r.status == "read"
+            if read and not r.student_id and r.skip_reason == "blank":
+                continue
+            if read and r.student_id:
+                forms, length, school, location = forms + 1, 1, r.school, r.location
+            elif read and r.skip_reason in LATER and 0 < length < MAX_PAGES and (r.school, r.location) == (school, location):
+                length += 1
+            else:
+                length = 0
+            if length and forms <= MAX_FORMS:
+                out.append((r.page_id, f"B0-{forms}"))
+        state.update((forms, length, school, location))
+        if out:
+            yield pd.DataFrame(out, columns=["page_id", "auto_code"])
+
+    mine = pages.where(F.col("code").isNull() & F.upper(F.trim("school")).isin(*UNCODED_SCHOOLS))
+    return mine.groupBy("owner").applyInPandasWithState(step, "page_id string, auto_code string", "forms int, length int, school string, location string", "append", GroupStateTimeout.NoTimeout)
+
+
 def stable_files(listings: DataFrame) -> DataFrame:
     """Files of which two listings in a row agree on size and time; once per file. Listings: name, pass, size, mtime."""
     from pyspark.sql import Window
