@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; one is set only where none is (tests)."""
+    """The folder all executors share, as the cluster names it; where none is set, one is made on a local master and any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoints-")
+        found = found.get() if found.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-checkpoints-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -79,16 +84,23 @@ def list_array(values, lengths, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
-def put_file(path: str, data: bytes) -> None:
-    """A whole file at a path or URI that executors share: written aside and moved, so that a repeated task leaves one good file."""
+@contextmanager
+def new_file(path: str):
+    """A stream to a file at a path or URI that executors share: written aside and moved, so that a repeated task leaves one good file."""
     system, place = fs.FileSystem.from_uri(path)
     aside = f"{place}.{uuid.uuid4().hex}"
     system.create_dir(place.rpartition("/")[0], recursive=True)
     with system.open_output_stream(aside, compression=None) as out:
-        out.write(data)
+        yield out
     system.move(aside, place)
 
 
+def put_file(path: str, data: bytes) -> None:
+    """A whole file at a path or URI that executors share."""
+    with new_file(path) as out:
+        out.write(data)
+
+
 def get_bytes(path: str, start: int, length: int) -> bytes:
     """Part of a file at a path or URI."""
     system, place = fs.FileSystem.from_uri(path)

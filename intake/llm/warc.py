@@ -11,7 +11,9 @@ All of it is a map over rows without a shuffle.
 
 Defined results: null or empty html gives a response with an empty payload, metadata with zero
 counts and an empty conversion; a null url gives an empty target URI; repeated rows give records of equal ids; an empty table
-gives an empty table; other columns of the input go.
+gives an empty table; other columns of the input go. Fields that a read response lacks are null in its derivatives too. A very long page is
+one record, held by itself. Of a file that is cut off the whole records before the cut are read. A block that isn't UTF-8 is read with
+replacement characters; its digests stay those of the source.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 from types import SimpleNamespace
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intake.llm.common import map_slices, put_file
+from intake.llm.common import map_slices, new_file
 
 RECORD = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("refers_to", T.StringType()),
@@ -53,8 +59,8 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(*parts: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
+def record_id(*parts: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(p or '' for p in parts))}>"
 
 
 def plain_text(page: str) -> str:
@@ -64,7 +70,7 @@ def plain_text(page: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def _record(kind: str, uri: str, date: str, refers_to: str | None, headers: str, payload: str, content_type: str, block: str) -> tuple:
+def _record(kind: str, uri: str | None, date: str | None, refers_to: str | None, headers: str | None, payload: str | None, content_type: str, block: str) -> tuple:
     data = block.encode("utf-8", "surrogatepass")
     return kind, record_id(kind, uri, date, payload, digest(data)), refers_to, uri, date, content_type, headers, payload, digest(data), len(data), block
 
@@ -80,7 +86,7 @@ def response(uri: str | None, page: str | None, date: str = EPOCH) -> tuple:
 def derived(made: tuple) -> list[tuple]:
     """The response with its metadata and conversion records."""
     _, ident, _, uri, date, _, headers, payload, _, _, block = made
-    page = block.partition("\r\n\r\n")[2]
+    page = (block or "").partition("\r\n\r\n")[2]
     text = plain_text(page)
     title, lang = _TITLE.search(page), _LANG.search(page)
     links = [entities.unescape("".join(x)) for x in _LINK.findall(page)]
@@ -117,26 +123,54 @@ def to_bytes(record) -> bytes:
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + data + b"\r\n\r\n"
 
 
+def read_records(file: BinaryIO) -> Iterator[tuple]:
+    """Records of a file in order, plain or gzipped, one held at a time; a record that is cut off ends the file, one without a length is passed over."""
+    zipped = file.read(2) == b"\x1f\x8b"
+    file.seek(0)
+    lines = gzip.GzipFile(fileobj=file) if zipped else file
+    try:
+        while line := lines.readline():
+            if not line.startswith(b"WARC/1."):
+                continue
+            head = {}
+            while (line := lines.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                head[name.strip().lower()] = value.strip()
+            length = head.get("content-length", "")
+            if not line or not (length.isascii() and length.isdigit()):
+                continue
+            data = lines.read(int(length))
+            if len(data) < int(length):
+                return
+            yield _read(head, data)
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
+
+
+def _read(head: dict[str, str], data: bytes) -> tuple:
+    block, source, headers = data.decode("utf-8", "replace"), head.get("x-source-headers"), ""
+    if source:
+        headers = base64.b64decode(source + "==").decode("utf-8", "replace")
+    elif head.get("warc-type") == "response":
+        headers = block.partition("\r\n\r\n")[0]
+    return head.get("warc-type"), head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri", ""), head.get("warc-date"), head.get("content-type"), headers, head.get("warc-payload-digest"), head.get("warc-block-digest"), len(data), block
+
+
 def from_bytes(data: bytes) -> Iterator[tuple]:
-    """Records of a file, plain or gzipped."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        n = int(head.get("content-length", 0))
-        block = data[end + 4 : end + 4 + n].decode("utf-8", "replace")
-        source = head.get("x-source-headers")
-        headers = base64.b64decode(source).decode() if source else block.partition("\r\n\r\n")[0] if head.get("warc-type") == "response" else ""
-        yield head.get("warc-type"), head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri", ""), head.get("warc-date"), head.get("content-type"), headers, head.get("warc-payload-digest"), head.get("warc-block-digest"), n, block
-        at = end + 4 + n
+    return read_records(io.BytesIO(data))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the files at ``path``; a file is read by one task, as gzipped members need it."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return map_slices(files, RECORD, lambda: lambda b: _rows([r for x in b.column(0).to_pylist() for r in from_bytes(x)]), rows=1)
+    """Records of the files at ``path``. A file is read by one task, as gzipped members need it; its records are unpacked and sent on in turn."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                records = read_records(io.BytesIO(batch.column(0)[k].as_py()))
+                while some := list(islice(records, 64)):
+                    yield _rows(some)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
@@ -144,13 +178,15 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     names = [f.name for f in RECORD.fields]
 
     def run(batches):
-        out, n, number = bytearray(), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += gzip.compress(to_bytes(SimpleNamespace(**dict(zip(names, row, strict=True)))), 6, mtime=0)
+        rows = (dict(zip(names, row, strict=True)) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        first = next(rows, None)
+        if first is None:
+            return
+        n, path = 0, f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
+        with new_file(path) as out:
+            for row in chain([first], rows):
+                out.write(gzip.compress(to_bytes(SimpleNamespace(**row)), 6, mtime=0))
                 n += 1
-        if n:
-            put_file(path := f"{folder}/part-{number:06d}.warc.gz", bytes(out))
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n])], ["file", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n])], ["file", "records"])
 
     return records.select(*names).mapInArrow(run, "file string, records long")

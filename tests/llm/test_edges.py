@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SMALL
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from intake.llm import bpe, maxent, mixing, pages, quality, shards, simhash, spotsigs, toxicity, warc
@@ -282,3 +284,21 @@ def test_pipeline_against_its_operators(spark):
     for s in (calm, good, single, named["mixing"](spark, docs, SMALL)):
         assert s.columns == list(c.COLUMNS)
     assert c.run(spark, SMALL).where("token_ids is null").count() == 0
+
+
+def test_warc_cut_off_and_bare_records(spark):
+    """Whole records before a cut are read, wherever it is; a response without digest, date or URI is derived."""
+    made = [warc.response(f"http://a/{i}", f"<p>page {i} ü</p>") for i in range(3)]
+    single = [warc.to_bytes(Row(*(f.name for f in warc.RECORD.fields))(*r)) for r in made]
+    for packed in (lambda b: b, lambda b: gzip.compress(b, mtime=0)):
+        parts = [packed(b) for b in single]
+        data, ends = b"".join(parts), np.cumsum([len(p) for p in parts])
+        for at in range(0, len(data) + 1, 7):
+            got = list(warc.from_bytes(data[:at]))
+            assert got == made[: len(got)]
+            assert len(got) >= (ends <= at).sum()
+    bare = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nH\r\n\r\n<p>hi"
+    assert [r[0] for r in warc.from_bytes(b"WARC/1.0\r\nContent-Length: many\r\n\r\n" + bare + b"\r\n\r\n" + bare[:-1])] == ["response"]
+    rows = warc.derive(spark.createDataFrame([*warc.from_bytes(bare + b">>>>"), ("response", *[None] * 10)], warc.RECORD)).collect()
+    assert Counter(r.type for r in rows) == {"response": 2, "metadata": 2, "conversion": 2}
+    assert {r.payload_digest for r in rows} == {None}
