@@ -214,6 +214,8 @@ def test_nearest_is_exact():
 
 def test_quality(docs, none, spark):
     rules = quality.fit(docs, spark.createDataFrame([(0, 1), (8, 0)], "doc_id long, quality int"))
+    lines = docs.where("doc_id = 8").withColumn("text", F.lit("a # b\n\n \t\na # b\n<x> & y|\r\na # b\n<x> & y|\r\n  a # b"))
+    docs = docs.unionByName(lines)
     rows = quality.decide(docs, rules).collect()
     assert len(rows) == docs.count()
     for r in rows:
@@ -222,6 +224,9 @@ def test_quality(docs, none, spark):
         c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         covered = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_symbols, r.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
     assert quality.decide(none, rules).count() == 0
 
 
