@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intake.llm import bpe, maxent, mixing, pages, quality, shards, simhash, spotsigs, toxicity, warc
+from intake.llm import bpe, graph, manifest, maxent, mixing, pages, quality, shards, simhash, spotsigs, toxicity, variants, warc
 from intake.llm.common import id_hash, shared_dir, table
+from intake.llm.oracles import manifest_sql, variants_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +120,30 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shards.materialise(docs, folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents: leaf, subroot, root and proof of each, and whether its possibly tampered row still leads to the root."""
+    docs = table(spark, sf_dir, "documents")
+    found = manifest.manifest(docs, tamper=manifest.tampered_rows(F.col("doc_id")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+ORACLES["op11_manifest"] = manifest_sql()
+
+
+@query
+def op12_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, by beam searches of the graphs of all shards."""
+    vectors = graph.vectors_of(table(spark, sf_dir, "embeddings"))
+    return graph.search(graph.index(vectors), vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with the number of words one edit away, their form and its root."""
+    return variants.groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_variants"] = variants_sql()
