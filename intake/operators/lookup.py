@@ -2,7 +2,7 @@
 
 Readings carry ``reading``, ``scan_school`` and ``scan_location``; equal readings in equal scope are resolved
 once. A roster row is found under its school and under the empty scope, which stands for everywhere, so that every scope
-is an equi-join. Candidates of the fuzzy stage are scored in blocks of about ``BLOCK`` identifiers per scope.
+is an equi-join. The fuzzy stage joins on shared subsequences, which only pairs that are alike enough have.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from intake.functions import similarity, text
 from intake.shared import cut
 
-BLOCK, GROUP = 2000, 500
+#: Characters that may go from a string to reach a shared subsequence by keys.
+DROPPED = 4
 # Thresholds of the fuzzy stages.
 MIN_SCORE, MIN_MARGIN, MAX_LENGTH_DELTA, MIN_LETTERS = 0.80, 0.08, 1, 0.55
 CANDIDATE = "^[A-Z]{3,12}[0-9]{4,12}$"
@@ -94,19 +95,55 @@ def _found(accepted: DataFrame, scoped: DataFrame, roster: DataFrame, via: str)
     return _pick(hits.withColumn("via", F.lit(via)))
 
 
-def constrained_repair(scoped: DataFrame, roster: DataFrame) -> DataFrame:
-    """The identifier of the scope most like the reading, its confusion-normalised form or a variant, if it is safe to take."""
-    ids = roster_keys(roster).where(F.col("id").rlike(CANDIDATE)).select("scope", "id").distinct()
-    sizes = ids.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = ids.join(sizes, "scope").groupBy("scope", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.array_join(F.array_sort(F.collect_list("id")), " ").alias("ids"))
+def _queries() -> Column:
     token = F.col("token")
-    queries = F.array_distinct(F.concat(F.array(token, F.translate(token, *text.SAFE_DIGIT)), text.shape_variants(token)))
-    asked = scoped.where(F.length("token") >= 6).withColumn("queries", queries)
-    # readings in groups of about GROUP per scope, so that a block travels once for many of them
-    groups = asked.groupBy("scope").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    grouped = asked.join(groups, "scope").groupBy("scope", F.pmod(F.xxhash64(*PROBE), "groups").alias("group")).agg(F.collect_list(F.struct(*PROBE, "queries")).alias("p"))
-    best = grouped.join(blocks, "scope").select("p", similarity.top_two(F.transform("p", lambda x: x["queries"]), "ids").alias("c"))
-    scored = best.select(F.explode(F.arrays_zip("p", "c")).alias("z")).select(*(f"z.p.{c}" for c in PROBE), F.explode("z.c").alias("c")).select(*PROBE, "c.id", "c.score")
+    return F.array_distinct(F.concat(F.array(token, F.translate(token, *text.SAFE_DIGIT)), text.shape_variants(token)))
+
+
+def _least_common(m: Column, n: Column, score: Column) -> Column:
+    """Characters in common that strings of two lengths need for a score."""
+    return F.ceil(score * (m + n) / 2.0 - 1e-9).cast("int")
+
+
+def _keyed(df: DataFrame, strings: Column, length: Column, *keep: str) -> DataFrame:
+    """``key`` for each subsequence of ``common`` characters of the strings, in the scope; ``df`` has scope and common. By the number of characters that go, so that each is built as deep as it needs."""
+    drop = length - F.col("common")
+    tries = F.coalesce(*[F.when(drop == k, similarity.without(strings, k)) for k in range(DROPPED + 1)])
+    return df.where((drop >= 0) & (drop <= DROPPED)).select(*keep, F.explode(tries).alias("_s")).select(*keep, F.xxhash64("scope", "_s").alias("key"))
+
+
+def _near(asked: DataFrame, ids: DataFrame) -> DataFrame:
+    """Readings with the identifiers of their scope that have ``common`` characters in order in common with one of their forms: PROBE, id, score.
+
+    ``asked``: PROBE, scope, queries, n (length of the identifiers meant), common. Two strings have so many in common exactly if they share a subsequence of that length, so
+    both sides are keyed by these and no other pair meets. Lengths that would need more than ``DROPPED`` characters to go on either side, which are rare, meet by scope and length.
+    """
+    wanted = asked.select("scope", "n", "common").distinct()
+    keyed_ids = _keyed(ids.join(wanted, ["scope", "n"]), F.array("id"), F.col("n"), "scope", "n", "common", "id")
+    keyed = _keyed(asked, F.col("queries"), F.length("token"), *PROBE, "scope", "n", "common", "queries")
+    far = (F.col("n") - F.col("common") > DROPPED) | (F.length("token") - F.col("common") > DROPPED)
+    met = keyed.join(keyed_ids, ["key", "scope", "n", "common"]).select(*PROBE, "queries", "id")
+    met = met.unionByName(asked.where(far).join(ids, ["scope", "n"]).select(*PROBE, "queries", "id")).groupBy(*PROBE, "id").agg(F.any_value("queries").alias("queries"))
+    scores = F.transform("queries", lambda q: 200.0 * similarity.lcs(q, F.col("id")) / (F.length(q) + F.length("id")) / 100.0)
+    return met.select(*PROBE, "id", F.array_max(scores).alias("score"))
+
+
+def constrained_repair(scoped: DataFrame, roster: DataFrame) -> DataFrame:
+    """The identifier of the scope most like the reading, its confusion-normalised form or a variant, if it is safe to take.
+
+    First the identifiers that could be taken: of about the reading's length and alike enough. Then, for readings that have one clear of the others, the rivals of any length
+    that come within the margin of it. Work grows with the readings and the roster, not their product.
+    """
+    ids = roster_keys(roster).where(F.col("id").rlike(CANDIDATE)).select("scope", "id", F.length("id").alias("n")).distinct()
+    lengths = ids.select("scope", "n").distinct()
+    m, n = F.length("token"), F.col("n")
+    asked = scoped.where(m >= 6).withColumn("queries", _queries())
+    close = asked.join(lengths, "scope").where(F.abs(n - m) <= MAX_LENGTH_DELTA).withColumn("common", _least_common(m, n, F.lit(MIN_SCORE)))
+    takeable = cut(_near(close.where("common <= n and common <= length(token)"), ids))
+    best = _accept(takeable, MIN_SCORE).select(*PROBE, (F.col("score") - MIN_MARGIN).alias("least"))
+    rivals = asked.join(best, list(PROBE)).join(lengths, "scope").withColumn("common", _least_common(m, n, F.col("least"))).drop("least")
+    near = _near(rivals.where("common <= n and common <= length(token)"), ids)
+    scored = takeable.join(best, list(PROBE), "left_semi").unionByName(near)
     return _found(_accept(scored, MIN_SCORE), scoped, roster, "constrained_repair")
 
 

@@ -124,7 +124,11 @@ def indel_ratio(spark, d):
 
 LOCATIONS = """loc as (select s.school, coalesce(c.location, 'Other') as location from (select distinct upper(trim(school_name)) as school from fx_roster) s
   left join (select school, location, row_number() over (partition by school order by n desc, location) as k from (select upper(trim(school_acronym)) as school, location, count(*) as n from fx_employees group by 1, 2)) c on c.school = s.school and k = 1)"""
-SCOPED = f"""{LOCATIONS}, probe as (select distinct {q_clean('reading')} as token, coalesce(upper(trim(scan_school)), '') as school, coalesce(scan_location, '') as location from fx_readings),
+
+
+def q_scoped(token: str, readings: str = "fx_readings") -> str:
+    """Readings with their scopes, roster keys and exact hits, of tokens by an expression over the readings."""
+    return f"""{LOCATIONS}, probe as (select distinct {token} as token, coalesce(upper(trim(scan_school)), '') as school, coalesce(scan_location, '') as location from {readings}),
 scoped as (select token, school, location, school as scope from probe where token <> '' and (school <> '' or location = '')
   union all select p.token, p.school, p.location, coalesce(l.school, '') from probe p left join loc l on l.location = p.location where p.token <> '' and p.school = '' and p.location <> ''),
 keys as (select person, student_id, student_name, school_name, upper(trim(student_id)) as id, upper(trim(school_name)) as school_key, upper(trim(school_name)) as scope from fx_roster
@@ -135,6 +139,9 @@ ranked as (select token, school, location, scope, 0 as rank, token as id, 'exact
 hits as (select r.token, r.school, r.location, r.rank, r.via, k.person, k.student_id, k.student_name, k.school_name, k.school_key from ranked r join keys k on k.scope = r.scope and k.id = r.id)"""
 
 
+SCOPED = q_scoped(q_clean("reading"))
+
+
 def q_pick(where: str) -> str:
     return f"select token, school, location, person, student_id, student_name, school_name, via from (select *, row_number() over (partition by token, school, location order by rank, school_key, student_name, person) as k from hits where {where}) where k = 1"
 
@@ -175,6 +182,47 @@ hit4 as (select o.token, o.school, o.location, x.person, x.student_id, x.student
   from ok4 o join scoped s on s.token = o.token and s.school = o.school and s.location = o.location join keys x on x.scope = s.scope and x.id = o.id)"""
 
 
+def q_letters(x):
+    return f"case when regexp_full_match({x}, '[A-Z]+[0-9]+') then regexp_extract({x}, '^([A-Z]+)[0-9]+$', 1) when regexp_matches({x}, '[0-9]{{6}}$') then regexp_replace(regexp_extract({x}, '^(.*)[0-9]{{6}}$', 1), '[^A-Z]', '', 'g') else regexp_replace({x}, '[^A-Z]', '', 'g') end"
+
+
+def q_digits(x):
+    return f"case when regexp_full_match({x}, '[A-Z]+[0-9]+') then regexp_extract({x}, '^[A-Z]+([0-9]+)$', 1) when regexp_matches({x}, '[0-9]{{6}}$') then regexp_extract({x}, '([0-9]{{6}})$', 1) else regexp_replace({x}, '[^0-9]', '', 'g') end"
+
+
+def q_windows(s, t):
+    """The best ratio of s with a window of its length over t, cut windows included."""
+    window = f"substr({t}, greatest(k, 0) + 1, least(k + length({s}), length({t})) - greatest(k, 0))"
+    return f"list_max(list_transform(range(1 - length({s}), length({t})), lambda k: {q_ratio(s, window)}))"
+
+
+PREFIX = f"greatest({q_ratio('a', 'b')}, case when length(a) <= length(b) then {q_windows('a', 'b')} else 0 end, case when length(b) <= length(a) then {q_windows('b', 'a')} else 0 end)"
+
+
+def q_suffix(*found: str) -> str:
+    """The stage of six digits, on what the hits named leave."""
+    left = "".join(f" and not exists (select 1 from {h} h where h.token = s.token and h.school = s.school and h.location = s.location)" for h in found)
+    return f"""left5 as (select s.*, {q_letters('token')} as a, {q_digits('token')} as digits from scoped s where true{left}),
+pair5 as (select distinct l.token, l.school, l.location, l.a, c.id, {q_letters('c.id')} as b from left5 l join (select distinct scope, id from keys where regexp_full_match(id, '[A-Z]{{3,12}}[0-9]{{4,12}}')) c on c.scope = l.scope and right(c.id, 6) = l.digits where length(l.digits) = 6 and l.a <> ''),
+like5 as (select a, b, {PREFIX} as score from (select distinct a, b from pair5)),
+top5 as (select p.token, p.school, p.location, id, score, coalesce(lead(score) over w, 0) as second, row_number() over w as k from pair5 p join like5 using (a, b) window w as (partition by p.token, p.school, p.location order by score desc, id)),
+ok5 as (select * from top5 where k = 1 and score >= 0.55 and (second = 0 or score - second >= 0.08) and abs(length(id) - length(token)) <= 1),
+hit5 as (select o.token, o.school, o.location, x.person, x.student_id, x.student_name, x.school_name, row_number() over (partition by o.token, o.school, o.location order by x.school_key, x.student_name, x.person) as k
+  from ok5 o join scoped s on s.token = o.token and s.school = o.school and s.location = o.location join keys x on x.scope = s.scope and x.id = o.id)"""
+
+
+def q_ladder(token: str, readings: str = "fx_readings") -> str:
+    """All stages: ``ladder`` has what each (token, school, location) resolves to."""
+    return f"""{q_scoped(token, readings)}, {REPAIR}, {q_suffix('hits', 'hit4')},
+ladder as ({q_pick('true')} union all select token, school, location, person, student_id, student_name, school_name, 'constrained_repair' from hit4 where k = 1
+  union all select token, school, location, person, student_id, student_name, school_name, 'digit_suffix' from hit5 where k = 1)"""
+
+
+def q_resolved(token: str, readings: str = "fx_readings") -> str:
+    """Readings with what they resolve to."""
+    return f"(select r.*, l.person, l.student_id, l.student_name, l.school_name, l.via as matched_via from {readings} r left join ladder l on l.token = {token} and l.school = coalesce(upper(trim(r.scan_school)), '') and l.location = coalesce(r.scan_location, ''))"
+
+
 @query(f"with {SCOPED}, {REPAIR} select token, school, location, person, student_id, student_name, school_name, 'constrained_repair' as via from hit4 where k = 1")
 def constrained_repair(spark, d):
     """On what the exact stages leave."""
@@ -184,7 +232,7 @@ def constrained_repair(spark, d):
     return lookup.constrained_repair(left, roster)
 
 
-@query()
+@query(f"with {SCOPED}, {q_suffix('hits')} select token, school, location, person, student_id, student_name, school_name, 'digit_suffix' as via from hit5 where k = 1")
 def digit_suffix_lookup(spark, d):
     """On what the exact stages leave."""
     _, roster, _, scoped = scoped_of(spark, d)
@@ -193,21 +241,28 @@ def digit_suffix_lookup(spark, d):
     return lookup.digit_suffix(left, roster)
 
 
-@query()
+CLEAN = q_clean("reading")
+
+
+@query(f"with {q_ladder(CLEAN)} select reading_id, reading, scan_school, person, student_id, matched_via from {q_resolved(CLEAN)}")
 def find_student(spark, d):
     """Every reading through the whole ladder."""
     readings, roster, locations, _ = scoped_of(spark, d)
     return lookup.find_student(readings, roster, locations).select("reading_id", "reading", "scan_school", "person", "student_id", "matched_via")
 
 
-@query()
+GATED = f"gated as (select * exclude (reading, token), student_id as reading from (select *, {AS_ID} as student_id from (select *, {CLEAN} as token from fx_readings)) where student_id <> '')"
+
+
+@query(f"with {GATED.replace('student_id', 'sid')}, {q_ladder('reading', 'gated')} select reading_id, reading as confirmed_student_id, matched_via is not null as found_in_db, student_id, matched_via from {q_resolved('reading', '(select * exclude (sid) from gated)')}")
 def confirm_readings(spark, d):
     """Attempts to log."""
     readings, roster, locations, _ = scoped_of(spark, d)
     return lookup.confirm(readings, roster, locations).select("reading_id", "confirmed_student_id", "found_in_db", "student_id", "matched_via")
 
 
-@query()
+@query(f"""with {q_ladder(CLEAN)} select upper(trim(coalesce(scan_school, ''))) as school, coalesce(matched_via, 'not_found') as via, count(*) as n, count(distinct person) as people
+  from {q_resolved(CLEAN)} group by rollup (upper(trim(coalesce(scan_school, ''))), coalesce(matched_via, 'not_found'))""")
 def resolve_progress(spark, d):
     """Flagship: how many scans resolved, and how, by school, with totals."""
     readings, roster, locations, _ = scoped_of(spark, d)
@@ -231,7 +286,12 @@ def transliterate(spark, d):
     return fixture(spark, d, "fx_readings").select("reading_id", text.transliterate(F.translate(F.upper("reading"), *WRITTEN)).alias("latin"))
 
 
-@query()
+WROTE = f"wrote as (select * exclude (reading), translate(upper(reading), '{WRITTEN[0]}', '{WRITTEN[1]}') as reading from fx_readings)"
+#: What is left in Latin letters alone is cleaned as it is.
+LATIN = f"case when regexp_matches(reading, '[\u0900-\u097F]') then {q_latin("translate(reading, '०१२३४५६७८९', '0123456789')")} else {CLEAN} end"
+
+
+@query(f"with {WROTE}, {q_ladder(LATIN, 'wrote')} select reading_id, person, student_id, matched_via from {q_resolved(LATIN, 'wrote')}")
 def find_devanagari(spark, d):
     """Readings written in Devanagari through the whole ladder."""
     readings, roster, locations, _ = scoped_of(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,7 +59,6 @@ def test_ratio_agrees_with_table(spark):
     got = [r.s for r in df.select(similarity.ratio(F.col("a"), F.col("b")).alias("s")).collect()]
     want = [2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0 for a, b in pairs]
     assert got == pytest.approx(want)
-    assert [similarity.indel(a, b) for a, b in pairs] == pytest.approx(want)
 
 
 def test_first_code_of_corners(spark):
@@ -76,10 +77,34 @@ def test_transliteration(spark):
     assert ask(spark, ["क्षत्रिय१२", "\u0928\u093cम", "\u0958ख", "abc-9", None], text.transliterate) == ["KSHTRIY12", "M", "KKH", "ABC9", ""]
 
 
-def test_similarity_of_any_length():
-    assert similarity.indel("A" * 70, "A" * 5) == pytest.approx(10 / 75)
-    assert similarity.prefix_score("A" * 70, "B" * 70) == 0.0
-    assert similarity.best_two(["Q" * 80, "KELVOR120309"], "KELVOR120308 NORTAN140211")[0][0] == "KELVOR120308"
+def plain_prefix_score(a, b):
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = 0
+            for j, y in enumerate(b):
+                old, row[j + 1] = row[j + 1], max(row[j], row[j + 1]) if x != y else old + 1
+        return row[-1]
+
+    def windows(s, t):
+        return [2 * lcs(s, w) / (len(s) + len(w)) for k in range(1 - len(s), len(t)) if (w := t[max(0, k) : k + len(s)])]
+
+    if not a or not b:
+        return 0.0
+    return max([2 * lcs(a, b) / (len(a) + len(b)), *(windows(a, b) if len(a) <= len(b) else []), *(windows(b, a) if len(b) <= len(a) else [])])
+
+
+def test_prefix_scores_of_any_length_and_letters():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ABCé\u0915\U0001f600") for _ in range(rng.choice((0, 1, 2, 5, 6, 7, 70)))) for _ in range(60)]
+    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(300)] + [("A" * 70, "B" * 70), ("", ""), ("A" * 70, "A" * 5)]
+    got = similarity.prefix_scores([a for a, _ in pairs], [b for _, b in pairs])
+    assert list(got) == pytest.approx([plain_prefix_score(a, b) for a, b in pairs])
+
+
+def test_subsequences(spark):
+    found = ask(spark, ["ABCA", "AAAA"], lambda c: similarity.without(F.array(c), 2))
+    assert [set(x) for x in found] == [{"CA", "BA", "BC", "AA", "AC", "AB"}, {"AA"}]
 
 
 def test_code_parts(spark):
