@@ -25,7 +25,7 @@ from intake.llm.common import cut, list_array
 #: Shards at least, nodes of a shard about at most, queries searched in one task.
 SHARDS, SHARD_ROWS, QUERY_BLOCK = 8, 1 << 18, 1 << 17
 #: Edges of a node, how much nearer a kept neighbour may make another one superfluous, width of the beams, nodes expanded in a step.
-DEGREE, RELAXED, BUILD_BEAM, BEAM, EXPAND = 32, 1.2, 64, 96, 4
+DEGREE, RELAXED, BUILD_BEAM, BEAM, EXPAND = 32, 1.2, 96, 160, 4
 #: Bytes of visited marks held at once.
 MARKS = 1 << 25
 
