@@ -11,6 +11,7 @@ from intake.operators import lookup
 from intake.plans.fixtures import fixture, with_fixtures
 from intake.plans.intake import BATCHES, PAIRED, PLACED
 from intake.shared import shared_dir
+from intake.streaming import keyed
 from intake.streaming import lifecycles as live
 
 QUERIES: dict = {}
@@ -31,7 +32,12 @@ def as_stream(spark: SparkSession, df: DataFrame, order: str) -> DataFrame:
     """``df`` written as files in order of a column and read as a stream."""
     folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     df.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(folder)
-    return live.read_events(spark, folder, df.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    return live.read_events(spark, folder, df.schema, files=4)
+
+
+def last_of(changes: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The last state of each key, of those a stream gave in micro-batches; events that came too late are not among them."""
+    return changes.where("not too_late").groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_batch", "as_of")).alias("s")).select(key, "s.*")
 
 
 @query("select day, count(*) as pages from (select date_trunc('day', ts) as day from events) where day + interval '1 day' + interval '6 hours' <= (select max(ts) from events) group by 1")
@@ -47,20 +53,27 @@ def stream_dedup_arrivals(spark, d):
     return live.run_to_end(live.dedup_arrivals(e, ["user_id"], "36500 days")).groupBy("user_id").agg(F.count("*").alias("arrivals"))
 
 
-PAGE_EVENTS = "select user_id as page_id, event_id, ts, case event_type when 'view' then 'claim' when 'click' then 'claim' when 'purchase' then 'outage' when 'signup' then 'done' else 'fail' end as kind from events"
+PAGE_EVENTS = "select cast(user_id * 1000 + extract(day from ts) as bigint) as page_id, event_id, ts, case event_type when 'view' then 'claim' when 'click' then 'claim' when 'purchase' then 'outage' when 'signup' then 'done' else 'fail' end as kind from events"
 
 
-@query()
+PAGE_SQL = f"""with recursive e as materialized (select *, row_number() over (partition by page_id order by ts, event_id) as k from ({PAGE_EVENTS})),
+s as (select page_id, 1 as k, 'queued' as status, 0 as tries, null::timestamp as claimed, false as over from e where k = 1
+  union all select page_id, k + 1, case when over then status when b = 'reading' then case kind when 'done' then 'read' when 'fail' then case when tries >= 2 then 'failed' else 'queued' end when 'outage' then 'queued' else b end when kind = 'claim' then 'reading' else b end,
+    tries + case when not over and b = 'reading' and kind = 'fail' then 1 else 0 end, case when b = 'reading' then claimed else ts end, over or (b = 'reading' and (kind = 'done' or (kind = 'fail' and tries >= 2)))
+  from (select s.*, e.kind, e.ts, case when s.status = 'reading' and e.ts - s.claimed > interval '10 minutes' then 'queued' else s.status end as b from s join e using (page_id, k)))
+select page_id, case when status = 'reading' then 'queued' else status end as status, tries from (select *, row_number() over (partition by page_id order by k desc) as r from s) where r = 1"""
+
+
+@query(PAGE_SQL)
 def stream_page_lifecycle(spark, d):
-    """The last state of each page."""
-    stream = live.run_to_end(live.page_lifecycle(as_stream(spark, fixture(spark, d, PAGE_EVENTS), "event_id")), "update")
-    return stream.groupBy("page_id").agg(F.max_by(F.struct("status", "tries"), "_batch").alias("s")).select("page_id", "s.*")
+    """The last state of each page over many micro-batches with late arrivals, claims freed by their timers included."""
+    return last_of(live.replay(fixture(spark, d, PAGE_EVENTS), "ts", keyed.page_lifecycle, "update"), "page_id", "status", "tries")
 
 
-@query()
+@query(PAGE_SQL)
 def page_lifecycle(spark, d):
-    """Z2 in batch."""
-    return live.page_lifecycle_batch(fixture(spark, d, PAGE_EVENTS))
+    """Z2 in batch, long after the last event."""
+    return live.page_lifecycle_batch(fixture(spark, d, PAGE_EVENTS), F.to_timestamp(F.lit("2100-01-01")))
 
 
 @query("select name, min(pass) as taken from (select *, lag(size) over w = size and lag(mtime) over w = mtime and lag(pass) over w = pass - 1 as same from (select user_id as name, event_id // 100 as pass, max(event_id % 3) as size, max(event_id % 2) as mtime from events group by 1, 2) window w as (partition by name order by pass)) where same group by 1")
@@ -96,7 +109,8 @@ tailed as (select p.file_id, p.folder_id, p.created, p.batch_id, p.batch_school,
 @query(f"with {TAILED} select * from tailed where place <> 'waiting'")
 def stream_attribution(spark, d):
     """Files placed as they come."""
-    return live.run_to_end(live.stream_attribution(as_stream(spark, fixture(spark, d, "select event_id, folder_id, ts, kind, school from fx_batch_events"), "ts")))
+    events = fixture(spark, d, "select event_id, folder_id, ts, kind, school from fx_batch_events")
+    return live.replay(events, "ts", keyed.stream_attribution).where("not too_late").drop("too_late")
 
 
 FILE_EVENTS = "select cast(floor(event_id / 8) as bigint) as file_id, event_id, ts, case event_type when 'view' then 'claim' when 'click' then 'page' when 'purchase' then 'logged' when 'signup' then 'renamed' else case when event_id % 4 = 0 then 'fail' else 'outage' end end as kind from events"
@@ -120,11 +134,11 @@ def file_lifecycle(spark, d):
 @query(FILE_SQL)
 def stream_file_lifecycle(spark, d):
     """Z3: the last state of each file."""
-    stream = live.run_to_end(live.file_lifecycle(as_stream(spark, fixture(spark, d, FILE_EVENTS), "event_id")), "update")
-    return stream.groupBy("file_id").agg(F.max_by(F.struct("state", "pages_logged", "attempts"), "_batch").alias("s")).select("file_id", "s.*")
+    return last_of(live.replay(fixture(spark, d, FILE_EVENTS), "ts", keyed.file_lifecycle, "update"), "file_id", "state", "pages_logged", "attempts")
 
 
 @query(f"with {PAIRED} select * from paired")
 def stream_pairing(spark, d):
     """Codes of pages without one, given as they come."""
-    return live.run_to_end(live.stream_pairing(as_stream(spark, fixture(spark, d, "fx_pages"), "received_ns")))
+    pages = fixture(spark, d, "fx_pages").withColumn("received_ns", F.col("received_ns") * 60 * 10**9)  # a page a minute
+    return live.replay(pages, "received_ns", keyed.stream_pairing).where("not too_late").drop("too_late")

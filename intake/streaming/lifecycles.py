@@ -6,34 +6,54 @@ cast for the watermark and back on output. Clocks are event times, so that repla
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from intake.functions.text import clean_token
 from intake.operators import lookup
-from intake.operators.attribution import GRACE, LATE_TAIL, WATCH_AFTER
-from intake.operators.documents import LATER, MAX_FORMS, MAX_PAGES, ORDER, UNCODED_SCHOOLS
 from intake.shared import shared_dir
+from intake.streaming.keyed import CLAIM, TRIES, use_state_store
 
-#: A claim older than this goes back to the queue; tries before a page has failed; the watermark of leftovers.
-CLAIM, TRIES, LEFTOVER = pd.Timedelta(minutes=10), 3, "6 hours"
+#: The watermark of leftovers.
+LEFTOVER = "6 hours"
 
 
-def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of Parquet files, in order of their time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+def read_events(spark: SparkSession, path: str, schema: T.StructType | str, files: int = 1) -> DataFrame:
+    """A stream of Parquet files in order of their time, so many in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and gives the rows it wrote. With ``update`` the last row of a batch stands for its keys."""
-    folder = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+def replay(df: DataFrame, clock: str, make: Callable[[DataFrame], DataFrame], mode: str = "append", parts: int = 6, jitter: int = 3600, after: int = 2 * 86400) -> DataFrame:
+    """The rows that a stream gives over ``df`` as files of equal spans of time, one a micro-batch, with a stop and a restart from its checkpoint in the middle.
+
+    Rows arrive up to ``jitter`` seconds late. ``clock``: a timestamp, or nanoseconds as a number. The last file only moves the clock on by ``after`` seconds. As in
+    ``run_to_end``, rows of ``update`` carry their batch.
+    """
+    spark, number = df.sparkSession, dict(df.dtypes)[clock] not in ("timestamp", "timestamp_ntz")
+    use_state_store(spark)
+    folder = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    seconds = F.col(clock) / 1e9 if number else F.unix_micros(F.col(clock).cast("timestamp")) / 1e6
+    arrives = seconds + F.pmod(F.xxhash64(*df.columns), F.lit(max(1, jitter)))
+    low, high, last = df.agg(F.min(arrives), F.max(arrives), F.max(clock)).first()
+    if last is None:
+        return spark.createDataFrame([], make(read_events(spark, folder, df.schema)).schema)
+    part = F.least(F.lit(parts - 1), F.floor((arrives - low) / ((high - low) or 1) * parts))
+    tick = F.lit(last) + F.lit(after * 10**9) if number else (F.lit(last) + F.make_interval(secs=F.lit(after))).cast(df.schema[clock].dataType)
+    clocked = spark.range(1).select(*[(tick if f.name == clock else F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema.fields])
+    found = None
+    for leg in (range(parts // 2), range(parts // 2, parts + 1)):
+        for k in leg:
+            (clocked if k == parts else df.where(part == k)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        found = run_to_end(make(read_events(spark, f"{folder}/in", df.schema)), mode, folder)
+    return found
+
+
+def run_to_end(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a stream over what is there, from where it was stopped in ``folder``, and gives all rows it wrote there. With ``update`` the last row of a batch stands for its keys."""
+    folder = folder or f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         writer = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
     else:
@@ -59,155 +79,33 @@ def liveness(beats: DataFrame, gap: str = "45 seconds") -> DataFrame:
     return spans.agg(F.count("*").alias("beats"), F.max("ts").cast("timestamp_ntz").alias("last_beat")).select("host", F.col("session_window.start").cast("timestamp_ntz").alias("since"), "last_beat", "beats")
 
 
-def page_state(rows: list[tuple], state: tuple | None) -> tuple:
-    """(status, tries, claimed) of a page after its events (ts, event_id, kind) in order: claim, done, fail, outage."""
-    status, tries, claimed = state or ("queued", 0, None)
-    for ts, _, kind in sorted(rows):
-        if status == "reading" and claimed is not None and ts - claimed > CLAIM:
-            status, claimed = "queued", None
-        if status in ("read", "failed"):
-            continue
-        if kind == "claim" and status == "queued":
-            status, claimed = "reading", ts
-        elif kind == "done" and status == "reading":
-            status, claimed = "read", None
-        elif kind == "fail" and status == "reading":
-            tries += 1
-            status, claimed = ("failed" if tries >= TRIES else "queued"), None
-        elif kind == "outage" and status == "reading":
-            status, claimed = "queued", None
-    return status, tries, claimed
-
-
-def page_lifecycle(events: DataFrame) -> DataFrame:
-    """(page_id, status, tries) of every page after each micro-batch that touched it, by keyed state. Events: page_id, event_id, ts, kind."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [r for f in frames for r in zip(f.ts, f.event_id, f.kind, strict=True)]
-        old = state.get if state.exists else None
-        status, tries, claimed = page_state(rows, (old[0], old[1], pd.Timestamp(old[2]) if old[2] is not None and not pd.isna(old[2]) else None) if old else None)
-        state.update((status, tries, claimed))
-        yield pd.DataFrame({"page_id": [key[0]], "status": [status], "tries": [tries]})
-
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return stamped.groupBy("page_id").applyInPandasWithState(step, "page_id long, status string, tries int", "status string, tries int, claimed timestamp", "update", GroupStateTimeout.NoTimeout)
-
-
-def page_lifecycle_batch(events: DataFrame) -> DataFrame:
-    """The same by one pass over each page's events."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        status, tries, _ = page_state(list(zip(frame.ts, frame.event_id, frame.kind, strict=True)), None)
-        return pd.DataFrame({"page_id": frame.page_id.iloc[:1], "status": [status], "tries": [tries]})
-
-    return events.groupBy("page_id").applyInPandas(fold, "page_id long, status string, tries int")
-
-
-def _seconds(gap: str) -> pd.Timedelta:
-    return pd.Timedelta(gap.removeprefix("interval "))
+def page_lifecycle_batch(events: DataFrame, now: Column | None = None) -> DataFrame:
+    """(page_id, status, tries) of every page from all its events, by a fold over them in order; with ``now``, claims that are too old by then have gone back to the queue."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    kind_of = "struct<status:string,tries:int,claimed:bigint>"
 
+    def freed(s: Column, at: Column) -> Column:
+        return F.when((s["status"] == "reading") & (at - s["claimed"] > CLAIM), "queued").otherwise(s["status"])
 
-def folder_step(held: list, state: dict, rows: list[tuple]) -> list[tuple]:
-    """Files of a folder placed after its events (ts, mark before file, id, kind, school) in order of time; ``state`` and ``held`` change in place.
-
-    ``state``: ``now`` and ``before`` are batches as [id, school, opened, closed]. Files wait in ``held`` until the folder's first batch opens.
-    """
-    out: list[tuple] = []
-
-    def place(at: pd.Timestamp, file_id: int) -> None:
-        now, before = state["now"], state["before"]
-        if now[3] is not None and at >= now[3]:
-            after = at - now[3]
-            late = "grace" if after < _seconds(GRACE) else "leftover" if after < _seconds(WATCH_AFTER) else "late"
-            out.append((file_id, at, None, None, "set_aside", None, None, late))
-            return
-        tail = before is not None and before[3] is not None and now[2] <= at < before[3] + _seconds(LATE_TAIL) and before[1] != now[1]
-        out.append((file_id, at, now[0], now[1], "batch", before[0] if tail else None, before[1] if tail else None, None))
-
-    for at, _, number, kind, school in sorted(rows, key=lambda r: r[:3]):
-        now = state["now"]
-        if kind == "file":
-            held.append((at, number)) if now is None else place(at, number)
-            continue
-        if now is not None and now[3] is None:
-            now[3] = at
-        if kind == "start":
-            state["before"], state["now"] = now, [number, school, at, None]
-            for waiting in held:
-                place(*waiting)
-            held.clear()
-    return out
-
-
-PLACED = "file_id long, folder_id int, created timestamp, batch_id long, batch_school string, place string, tail_batch_id long, tail_school string, late string"
-
-
-def stream_attribution(events: DataFrame) -> DataFrame:
-    """Files as they come, with their batch, the tail of the batch before, and how long after a stop they came (J8, J9 and late pages at once).
-
-    Events: event_id, folder_id, ts, kind (start, stop, file), school. The marks and files of a folder must arrive in order of time, as one watcher lists
-    them. State per folder: its last two batches, and the files that wait for its first. What waits for ever is not given.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [(r.ts, r.kind == "file", r.event_id, r.kind, r.school) for f in frames for r in f.itertuples()]
-        old = json.loads(state.get[0]) if state.exists else {"now": None, "before": None, "held": []}
-        stamp = lambda b: b and [b[0], b[1], *(None if t is None else pd.Timestamp(t) for t in b[2:])]
-        now = {"now": stamp(old["now"]), "before": stamp(old["before"])}
-        held = [(pd.Timestamp(t), n) for t, n in old["held"]]
-        out = folder_step(held, now, rows)
-        state.update((json.dumps({**now, "held": held}, default=str),))
-        if out:
-            frame = pd.DataFrame(out, columns=["file_id", "created", "batch_id", "batch_school", "place", "tail_batch_id", "tail_school", "late"])
-            frame.insert(1, "folder_id", key[0])
-            yield frame.astype({"batch_id": "Int64", "tail_batch_id": "Int64"})
+    def step(s: Column, e: Column) -> Column:
+        status, kind = freed(s, e["us"]), e["kind"]
+        tries = s["tries"] + F.when((status == "reading") & (kind == "fail"), 1).otherwise(0)
+        over = F.when(kind == "done", "read").when((kind == "fail") & (tries >= TRIES), "failed").when(kind.isin("fail", "outage"), "queued").otherwise("reading")
+        after = F.when(status == "reading", over).when((status == "queued") & (kind == "claim"), "reading").otherwise(status)
+        claimed = F.when(after == "reading", F.when(status == "reading", s["claimed"]).otherwise(e["us"]))
+        return F.when(s["status"].isin("read", "failed"), s).otherwise(F.struct(after.alias("status"), tries.alias("tries"), claimed.alias("claimed")).cast(kind_of))
 
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    placed = stamped.groupBy("folder_id").applyInPandasWithState(step, PLACED, "folder string", "append", GroupStateTimeout.NoTimeout)
-    return placed.withColumn("created", F.col("created").cast("timestamp_ntz"))
+    start = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("tries"), F.lit(None).cast("long").alias("claimed")).cast(kind_of)
+    rows = events.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(us.alias("us"), "event_id", "kind"))).alias("_e"))
+    found = rows.select("page_id", F.aggregate("_e", start, step).alias("_s"))
+    status = F.col("_s.status") if now is None else freed(F.col("_s"), F.unix_micros(now.cast("timestamp")))
+    return found.select("page_id", status.alias("status"), F.col("_s.tries").alias("tries"))
 
 
 #: What a file is before its first event: state, pages logged, failures.
 FILE_STATE = "struct<state:string,pages_logged:int,attempts:int>"
 
 
-def file_state(state: tuple, kinds: list[str]) -> tuple:
-    """(state, pages_logged, attempts) of a file after events in order: claim, page, logged, renamed, fail, outage. Done and parked are final."""
-    now, logged, attempts = state
-    for kind in kinds:
-        if now in ("done", "parked") or (now is None and kind != "claim"):
-            continue
-        if now is None:
-            now = "reading"
-        elif kind == "page" and now == "reading":
-            logged += 1
-        elif kind == "logged" and now == "reading":
-            now = "logged"
-        elif kind == "renamed" and now == "logged":
-            now = "done"
-        elif kind == "fail":
-            attempts += 1
-            now = "parked" if attempts >= TRIES else now
-    return now, logged, attempts
-
-
-def file_lifecycle(events: DataFrame) -> DataFrame:
-    """(file_id, state, pages_logged, attempts) of every claimed file after each micro-batch that touched it. Events: file_id, event_id, ts, kind.
-
-    Reading goes on after ``pages_logged``; three failures park a file in any state but done; an outage counts for nothing.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = sorted(r for f in frames for r in zip(f.ts, f.event_id, f.kind, strict=True))
-        new = file_state(tuple(state.get) if state.exists else (None, 0, 0), [r[2] for r in rows])
-        if new[0] is not None:
-            state.update(new)
-            yield pd.DataFrame({"file_id": [key[0]], "state": [new[0]], "pages_logged": [new[1]], "attempts": [new[2]]})
-
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return stamped.groupBy("file_id").applyInPandasWithState(step, "file_id long, state string, pages_logged int, attempts int", "state string, pages_logged int, attempts int", "update", GroupStateTimeout.NoTimeout)
-
-
 def file_lifecycle_batch(events: DataFrame) -> DataFrame:
     """The same from all events at once, by a fold over each file's events in order."""
     is_ = lambda s, *states: F.coalesce(s["state"].isin(*states), F.lit(False))
@@ -224,32 +122,6 @@ def file_lifecycle_batch(events: DataFrame) -> DataFrame:
     return rows.select("file_id", F.aggregate("_e", start, step).alias("_s")).select("file_id", "_s.*").where("state is not null")
 
 
-def stream_pairing(pages: DataFrame) -> DataFrame:
-    """(page_id, auto_code) of pages without a code, given as they come; pages of an owner must arrive in scan order. State per owner: the open form."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        forms, length, school, location = state.get if state.exists else (0, 0, None, None)
-        out: list[tuple] = []
-        for r in pd.concat(frames).sort_values(list(ORDER)).itertuples():
-            read = r.status == "read"
-            if read and not r.student_id and r.skip_reason == "blank":
-                continue
-            if read and r.student_id:
-                forms, length, school, location = forms + 1, 1, r.school, r.location
-            elif read and r.skip_reason in LATER and 0 < length < MAX_PAGES and (r.school, r.location) == (school, location):
-                length += 1
-            else:
-                length = 0
-            if length and forms <= MAX_FORMS:
-                out.append((r.page_id, f"B0-{forms}"))
-        state.update((forms, length, school, location))
-        if out:
-            yield pd.DataFrame(out, columns=["page_id", "auto_code"])
-
-    mine = pages.where(F.col("code").isNull() & F.upper(F.trim("school")).isin(*UNCODED_SCHOOLS))
-    return mine.groupBy("owner").applyInPandasWithState(step, "page_id string, auto_code string", "forms int, length int, school string, location string", "append", GroupStateTimeout.NoTimeout)
-
-
 def stable_files(listings: DataFrame) -> DataFrame:
     """Files of which two listings in a row agree on size and time; once per file. Listings: name, pass, size, mtime."""
     from pyspark.sql import Window
