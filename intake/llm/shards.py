@@ -39,9 +39,11 @@ END = 50_256
 KEY, ROUNDS = 0x5EED, 6
 _ALL = (1 << 64) - 1
 #: Sequences that a task gathers before it deals them to shards.
-HELD = 60_000
+HELD = 120_000
+#: Documents whose ids make one compressed block.
+PACKED = 2048
 #: Compression on the way: two ids are four bytes, so that matches of four are worth looking for.
-PACKING = zstandard.ZstdCompressionParameters(window_log=21, hash_log=18, chain_log=18, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2)
+PACKING = zstandard.ZstdCompressionParameters(window_log=23, hash_log=20, chain_log=20, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2)
 #: Tasks that write shards; beyond it each writes a run of several, one after the other.
 MAX_TASKS = 20_000
 #: A sequence's place on the way to its shard, and what stands for a null id there.
@@ -99,7 +101,7 @@ def materialise(docs: DataFrame, folder: str, path: str, pattern: str, key: int
 
     # a row for each slice of documents, with the ids of all of them as one compressed block
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    coded = cut(map_slices(given, "docs array<long>, sizes array<int>, ids binary", encode))
+    coded = cut(map_slices(given, "docs array<long>, sizes array<int>, ids binary", encode, PACKED))
     sequences = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, k: n + F.ceil(k / SEQUENCE))
     n, start = 0, {}
     for r in sorted(coded.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(sequences).alias("n")).collect()):
