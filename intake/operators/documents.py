@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from intake.functions.text import as_id, parse_batch_code
 from intake.operators import lookup
-from intake.shared import cut
+from intake.shared import cut, numbered
 
 # Schools whose forms carry no code, reasons that mark later pages, and limits.
 UNCODED_SCHOOLS, LATER, MAX_PAGES, MAX_FORMS = ("BOPEMS",), ("declaration", "continuation"), 3, 999
@@ -43,9 +43,10 @@ def scan_order(pages: DataFrame) -> DataFrame:
 
 
 def pair_uncoded(pages: DataFrame) -> DataFrame:
-    """Pages without a code at listed schools, that form documents by scan order, with their automatic code."""
+    """Pages without a code at listed schools, that form documents by scan order, with their automatic code. Nulls and empty values are alike."""
+    pages = pages.withColumns({c: F.coalesce(c, F.lit("")) for c in ("code", "status", "student_id", "skip_reason")})
     read, has_id = F.col("status") == "read", F.col("student_id") != ""
-    rows = pages.where(F.col("code").isNull() & F.upper(F.trim("school")).isin(*UNCODED_SCHOOLS)).where(~(read & ~has_id & (F.col("skip_reason") == "blank")))
+    rows = pages.where((F.col("code") == "") & F.upper(F.trim("school")).isin(*UNCODED_SCHOOLS)).where(~(read & ~has_id & (F.col("skip_reason") == "blank")))
     starter = read & has_id
     head = ~(read & ~has_id & F.col("skip_reason").isin(*LATER))
     order = Window.partitionBy("owner").orderBy(*ORDER)
@@ -162,12 +163,33 @@ def confirmed_documents(records: DataFrame, as_of, hours: int = 72) -> DataFrame
     return records.withColumn("status", F.when(done, "uploaded").otherwise("confirmed")).where(~done | (F.col("confirmed_at") > as_of - F.make_interval(hours=F.lit(hours))))
 
 
+#: Files of one name that are matched with the numbers they take in one go.
+NAMES = 4096
+
+
 def free_names(files: DataFrame, taken: DataFrame) -> DataFrame:
-    """Names made unique per folder: the k-th equal name gets `` (k)``, names taken already are skipped. Files: file_id, folder, name; taken: folder, name."""
-    numbered = taken.select("folder", F.regexp_replace("name", r" \(\d+\)(?=\.[^.]*$|$)", "").alias("base"), F.coalesce(F.regexp_extract("name", r" \((\d+)\)(?:\.[^.]*)?$", 1).try_cast("int"), F.lit(1)).alias("n"))
-    used = numbered.groupBy(F.col("folder").alias("_folder"), "base").agg(F.array_sort(F.collect_set("n")).alias("_used"))
-    ranked = files.withColumn("_k", F.row_number().over(Window.partitionBy("folder", "name").orderBy("file_id"))).join(used, (F.col("folder") == F.col("_folder")) & (F.col("name") == F.col("base")), "left").drop("_folder")
-    # the k-th number that is not used: each used number at or below it pushes it on by one, in order
-    free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
-    return ranked.withColumn("free_name", F.when(free == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), free.cast("string"), F.lit(")"), ext))).drop("_k", "_used", "base")
+    """Names made unique per folder. Files: file_id, folder, name; taken: folder, name.
+
+    The first file (by id) of a name keeps it unless it is taken; the others get the next free number of `` (2)``, `` (3)`` and so on, where names that are taken and names of other files
+    are not free. The numbers come from the gaps between the used ones, so that neither a folder nor a name has to fit one task.
+    """
+    held = taken.select("folder", "name").union(files.select("folder", "name")).distinct()
+    part = lambda k: F.regexp_extract("name", r"^(?s)(.*) \(([1-9][0-9]{0,8})\)(\.[^.]*)?$", k)
+    used = held.select("folder", F.concat(part(1), part(3)).alias("name"), part(2).try_cast("long").alias("_n")).where("_n >= 2")
+    first = taken.select(F.col("folder").alias("_f"), F.col("name").alias("_t")).distinct()
+    ranked = numbered(files, ["folder", "name"], ["file_id"], "_k").join(first, F.col("folder").eqNullSafe(F.col("_f")) & (F.col("name") == F.col("_t")), "left")
+    ranked = ranked.withColumn("_r", F.col("_k") - F.when(F.col("_t").isNull(), 1).otherwise(0)).drop("_k", "_f", "_t")
+    needed = ranked.where("_r > 0").groupBy("folder", "name").agg(F.max("_r").alias("_most"))
+    # numbers free below each used one; of used ones in a row the last counts
+    gaps = numbered(used, ["folder", "name"], ["_n"], "_i").withColumn("_free", F.col("_n") - 1 - F.col("_i")).groupBy("folder", "name", "_free").agg(F.max("_i").alias("_skip"))
+    gaps = numbered(gaps, ["folder", "name"], ["_free"], "_j")
+    after = gaps.select(F.col("folder").alias("_f"), F.col("name").alias("_t"), (F.col("_j") - 1).alias("_before"), F.col("_free").alias("_next"))
+    spans = gaps.join(after, F.col("folder").eqNullSafe(F.col("_f")) & (F.col("name") == F.col("_t")) & (F.col("_j") == F.col("_before")), "left").drop("_f", "_t")
+    most = needed.select(F.col("folder").alias("_f"), F.col("name").alias("_t"), "_most")
+    spans = spans.join(most, F.col("folder").eqNullSafe(F.col("_f")) & (F.col("name") == F.col("_t"))).withColumn("_to", F.least(F.coalesce("_next", "_most"), "_most")).where("_free < _to")
+    spans = spans.select("_f", "_t", "_free", "_to", "_skip", F.explode(F.sequence(F.floor(F.col("_free") / NAMES), F.floor((F.col("_to") - 1) / NAMES))).alias("_b"))
+    met = F.col("folder").eqNullSafe(F.col("_f")) & (F.col("name") == F.col("_t")) & (F.floor((F.col("_r") - 1) / NAMES) == F.col("_b")) & (F.col("_r") > F.col("_free")) & (F.col("_r") <= F.col("_to"))
+    number = (F.col("_r") + 1 + F.coalesce("_skip", F.lit(0))).cast("string")
+    stem, ext = F.regexp_extract("name", r"^(?s)(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(?s)(.*?)(\.[^.]*)?$", 2)
+    named = F.when(F.col("_r") == 0, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), number, F.lit(")"), ext))
+    return ranked.join(spans, met, "left").withColumn("free_name", named).select(*files.columns, "free_name")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tolerances and thresholds of the layout checks.
 MERGE_TOL, BLANK_INK, MATCH_MIN, MATCH_MARGIN, EMPTY_BOX_INK, MAX_ANGLE, LEAST_ANGLE = 0.008, 0.02, 0.75, 0.25, 0.02, 8.0, 0.15
@@ -62,7 +63,9 @@ def best_candidate(candidates: DataFrame, page: str = "page_id") -> DataFrame:
 
 
 def reading_order(boxes: DataFrame, page: str = "page_id", band: float = 40.0) -> DataFrame:
-    order = Window.partitionBy(page).orderBy(F.floor(F.col("mid_y") / band), "min_x")
+    """``position`` of boxes by band and left edge; of boxes at one place by height, then by what else they hold."""
+    rest = sorted(c for c in boxes.columns if c not in (page, "mid_y", "min_x") and not isinstance(boxes.schema[c].dataType, (T.MapType, T.VariantType)))
+    order = Window.partitionBy(page).orderBy(F.floor(F.col("mid_y") / band), "min_x", "mid_y", *rest)
     return boxes.withColumn("position", F.row_number().over(order))
 
 

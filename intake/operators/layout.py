@@ -50,7 +50,8 @@ def fit_ladders(pages: list) -> list:
     grids = {language: _ladder_grid(rows) for language, rows in LADDERS.items()}
     out: list = []
     for heights in pages:
-        seen = np.sort(np.array([y for y in heights or () if y is not None], dtype=float))
+        seen = np.array([y for y in heights or () if y is not None], dtype=float)
+        seen = np.sort(seen[np.isfinite(seen)])
         if len(seen) < LEAST_RULES:
             out.append(None)
             continue

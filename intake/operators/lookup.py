@@ -7,6 +7,8 @@ is an equi-join. The fuzzy stage joins on shared subsequences, which only pairs
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from intake.shared import cut
 
 #: Characters that may go from a string to reach a shared subsequence by keys.
 DROPPED = 4
+#: Those that keys built beforehand leave out at most.
+BUILT = 2
 # Thresholds of the fuzzy stages.
 MIN_SCORE, MIN_MARGIN, MAX_LENGTH_DELTA, MIN_LETTERS = 0.80, 0.08, 1, 0.55
 CANDIDATE = "^[A-Z]{3,12}[0-9]{4,12}$"
@@ -112,14 +116,29 @@ def _keyed(df: DataFrame, strings: Column, length: Column, *keep: str) -> DataFr
     return df.where((drop >= 0) & (drop <= DROPPED)).select(*keep, F.explode(tries).alias("_s")).select(*keep, F.xxhash64("scope", "_s").alias("key"))
 
 
-def _near(asked: DataFrame, ids: DataFrame) -> DataFrame:
+def _candidates(roster: DataFrame) -> DataFrame:
+    """Identifiers of each scope that the fuzzy stages may give, with their length."""
+    return roster_keys(roster).where(F.col("id").rlike(CANDIDATE)).select("scope", "id", F.length("id").alias("n")).distinct()
+
+
+def fuzzy_keys(roster: DataFrame) -> DataFrame:
+    """The keys of the roster that most lookups ask for, to be built once for many: all but ``BUILT`` characters of each identifier or more."""
+    each = _candidates(roster).withColumn("common", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - BUILT), F.col("n"))))
+    return cut(_keyed(each, F.array("id"), F.col("n"), "scope", "n", "common", "id"))
+
+
+def _near(asked: DataFrame, ids: DataFrame, built: DataFrame | None = None) -> DataFrame:
     """Readings with the identifiers of their scope that have ``common`` characters in order in common with one of their forms: PROBE, id, score.
 
     ``asked``: PROBE, scope, queries, n (length of the identifiers meant), common. Two strings have so many in common exactly if they share a subsequence of that length, so
     both sides are keyed by these and no other pair meets. Lengths that would need more than ``DROPPED`` characters to go on either side, which are rare, meet by scope and length.
     """
     wanted = asked.select("scope", "n", "common").distinct()
+    if built is not None:
+        wanted = wanted.where(F.col("n") - F.col("common") > BUILT)
     keyed_ids = _keyed(ids.join(wanted, ["scope", "n"]), F.array("id"), F.col("n"), "scope", "n", "common", "id")
+    if built is not None:
+        keyed_ids = keyed_ids.unionByName(built)
     keyed = _keyed(asked, F.col("queries"), F.length("token"), *PROBE, "scope", "n", "common", "queries")
     far = (F.col("n") - F.col("common") > DROPPED) | (F.length("token") - F.col("common") > DROPPED)
     met = keyed.join(keyed_ids, ["key", "scope", "n", "common"]).select(*PROBE, "queries", "id")
@@ -128,21 +147,21 @@ def _near(asked: DataFrame, ids: DataFrame) -> DataFrame:
     return met.select(*PROBE, "id", F.array_max(scores).alias("score"))
 
 
-def constrained_repair(scoped: DataFrame, roster: DataFrame) -> DataFrame:
+def constrained_repair(scoped: DataFrame, roster: DataFrame, built: DataFrame | None = None) -> DataFrame:
     """The identifier of the scope most like the reading, its confusion-normalised form or a variant, if it is safe to take.
 
     First the identifiers that could be taken: of about the reading's length and alike enough. Then, for readings that have one clear of the others, the rivals of any length
-    that come within the margin of it. Work grows with the readings and the roster, not their product.
+    that come within the margin of it. Work grows with the readings and the roster, not their product. ``built``: ``fuzzy_keys`` of the roster.
     """
-    ids = roster_keys(roster).where(F.col("id").rlike(CANDIDATE)).select("scope", "id", F.length("id").alias("n")).distinct()
+    ids = _candidates(roster)
     lengths = ids.select("scope", "n").distinct()
     m, n = F.length("token"), F.col("n")
     asked = scoped.where(m >= 6).withColumn("queries", _queries())
     close = asked.join(lengths, "scope").where(F.abs(n - m) <= MAX_LENGTH_DELTA).withColumn("common", _least_common(m, n, F.lit(MIN_SCORE)))
-    takeable = cut(_near(close.where("common <= n and common <= length(token)"), ids))
+    takeable = cut(_near(close.where("common <= n and common <= length(token)"), ids, built))
     best = _accept(takeable, MIN_SCORE).select(*PROBE, (F.col("score") - MIN_MARGIN).alias("least"))
     rivals = asked.join(best, list(PROBE)).join(lengths, "scope").withColumn("common", _least_common(m, n, F.col("least"))).drop("least")
-    near = _near(rivals.where("common <= n and common <= length(token)"), ids)
+    near = _near(rivals.where("common <= n and common <= length(token)"), ids, built)
     scored = takeable.join(best, list(PROBE), "left_semi").unionByName(near)
     return _found(_accept(scored, MIN_SCORE), scoped, roster, "constrained_repair")
 
@@ -155,11 +174,11 @@ def digit_suffix(scoped: DataFrame, roster: DataFrame) -> DataFrame:
     return _found(_accept(scored, MIN_LETTERS), scoped, roster, "digit_suffix")
 
 
-def find_student(readings: DataFrame, roster: DataFrame, locations: DataFrame) -> DataFrame:
-    """``readings`` with person, student_id, student_name, school_name of the match and ``matched_via``; null where none is found."""
+def find_student(readings: DataFrame, roster: DataFrame, locations: DataFrame, built: DataFrame | None = None) -> DataFrame:
+    """``readings`` with person, student_id, student_name, school_name of the match and ``matched_via``; null where none is found. ``built``: ``fuzzy_keys`` of the roster."""
     scoped = cut(resolve_scope(probes(readings), locations))
     found = cut(variant_lookup(scoped, roster, with_exact=True))
-    for stage in (constrained_repair, digit_suffix):
+    for stage in (partial(constrained_repair, built=built), digit_suffix):
         left = cut(scoped.join(found, list(PROBE), "left_anti"))
         found = found.unionByName(cut(stage(left, roster)))
     keyed = readings.withColumn("token", token_of("reading")).withColumn("school", school_key("scan_school")).withColumn("location", F.coalesce("scan_location", F.lit("")))
@@ -179,7 +198,7 @@ def find_with_tail(files: DataFrame, roster: DataFrame, locations: DataFrame) ->
     return own.unionByName(late).withColumn("reading", F.col("_given")).drop("_given", "scan_school", "scan_location")
 
 
-def confirm(readings: DataFrame, roster: DataFrame, locations: DataFrame) -> DataFrame:
+def confirm(readings: DataFrame, roster: DataFrame, locations: DataFrame, built: DataFrame | None = None) -> DataFrame:
     """Attempts to log: readings with the shape of an identifier, corrected, with what they resolve to kept apart; others are refused and left out."""
     gated = readings.withColumn("confirmed_student_id", text.as_id("reading")).where("confirmed_student_id <> ''").withColumn("reading", F.col("confirmed_student_id"))
-    return find_student(gated, roster, locations).withColumn("found_in_db", F.col("matched_via").isNotNull()).drop("reading")
+    return find_student(gated, roster, locations, built).withColumn("found_in_db", F.col("matched_via").isNotNull()).drop("reading")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from intake.operators import lookup
 from intake.plans.fixtures import fixture, with_fixtures
 from intake.plans.intake import BATCHES, PAIRED, PLACED
+from intake.plans.lookups import GATED, q_ladder, q_resolved
 from intake.shared import shared_dir
 from intake.streaming import keyed
 from intake.streaming import lifecycles as live
@@ -28,11 +29,11 @@ def query(sql: str | None = None):
     return add
 
 
-def as_stream(spark: SparkSession, df: DataFrame, order: str) -> DataFrame:
+def as_stream(spark: SparkSession, df: DataFrame, order: str, files: int = 4) -> DataFrame:
     """``df`` written as files in order of a column and read as a stream."""
     folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     df.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(folder)
-    return live.read_events(spark, folder, df.schema, files=4)
+    return live.read_events(spark, folder, df.schema, files)
 
 
 def last_of(changes: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -76,27 +77,72 @@ def page_lifecycle(spark, d):
     return live.page_lifecycle_batch(fixture(spark, d, PAGE_EVENTS), F.to_timestamp(F.lit("2100-01-01")))
 
 
-@query("select name, min(pass) as taken from (select *, lag(size) over w = size and lag(mtime) over w = mtime and lag(pass) over w = pass - 1 as same from (select user_id as name, event_id // 100 as pass, max(event_id % 3) as size, max(event_id % 2) as mtime from events group by 1, 2) window w as (partition by name order by pass)) where same group by 1")
+LISTINGS = "select cast(user_id as string) as name, event_id {div} 100 as pass, max(event_id % 3) as size, max(event_id % 2) as mtime from events group by 1, 2"
+STABLE = f"select name, min(pass) as taken from (select *, lag(size) over w = size and lag(mtime) over w = mtime and lag(pass) over w = pass - 1 as same from ({LISTINGS.format(div='//')}) window w as (partition by name order by pass)) where same group by 1"
+
+
+@query(STABLE)
 def stable_files(spark, d):
     """Z5."""
-    return live.stable_files(fixture(spark, d, "select user_id as name, event_id div 100 as pass, max(event_id % 3) as size, max(event_id % 2) as mtime from events group by 1, 2"))
+    return live.stable_files(fixture(spark, d, LISTINGS.format(div="div")))
+
+
+@query(STABLE)
+def stream_stable_files(spark, d):
+    """Z5 as looks come, one every minute."""
+    looks = fixture(spark, d, LISTINGS.format(div="div")).withColumn("ts", F.timestamp_micros(F.col("pass") * 60 * 10**6))
+    return live.replay(looks, "ts", keyed.stable_files, jitter=600).where("not too_late").drop("too_late")
+
 
+BEATS = "select cast(user_id % 7 as bigint) as host, ts, event_id from events"
+SPANS = f"(select host, since, max(ts) as last_beat, count(*) as beats from (select *, max(case when fresh then ts end) over (partition by host order by ts) as since from (select *, coalesce(ts - lag(ts) over (partition by host order by ts) >= interval '45 seconds', true) as fresh from ({BEATS}))) group by host, since)"
 
-@query()
+
+@query(f"select host, since, last_beat, beats from {SPANS} where last_beat + interval '90 seconds' <= (select max(ts) from events)")
 def stream_liveness(spark, d):
-    """Closed spans of heartbeats."""
-    return live.run_to_end(live.liveness(as_stream(spark, fixture(spark, d, "select user_id as host, ts, event_id from events"), "event_id"), "1 hour"))
+    """Closed spans of heartbeats no further apart than 45 seconds."""
+    return live.run_to_end(live.liveness(as_stream(spark, fixture(spark, d, BEATS), "event_id")))
+
+
+@query(f"select host, true as alive, since as at from {SPANS} union all select host, false, last_beat + interval '45 seconds' from {SPANS}")
+def stream_hosts(spark, d):
+    """When each host came alive and when it had been silent for 45 seconds."""
+    return live.replay(fixture(spark, d, BEATS).select("host", "ts"), "ts", keyed.host_liveness).where("not too_late").drop("too_late")
+
 
+NOW = "(select max(ts) + interval '1 minute' from events)"
+WORKERS = "select cast(user_id % 7 as bigint) as host, ts, case when event_type in ('view', 'click') then 'idle' else 'reading' end as state from events"
 
-@query()
+
+@query(f"select host, last_seen, {NOW} - last_seen < interval '45 seconds' as alive from (select host, max(ts) as last_seen from ({BEATS}) group by host)")
+def watcher_alive(spark, d):
+    """Hosts as of a minute after the last beat of all."""
+    now = fixture(spark, d, "select max(ts) + interval '1 minute' as now from events").first()[0]
+    return live.watcher_alive(fixture(spark, d, BEATS), F.lit(now))
+
+
+@query(f"""with last as (select host, max(ts) as ts, arg_max(state, ts) as state from ({WORKERS}) group by host), waits as (select count(*) > 0 as w from events where event_type = 'error')
+  select host, waits, case when {NOW} - ts > interval '120 seconds' and (state <> 'idle' or (waits and w)) then 'not_running' else state end as state from last cross join waits cross join (values (true), (false)) v(waits)""")
+def worker_states(spark, d):
+    """Workers as of a minute after the last event, with pages that wait and without."""
+    now = F.lit(fixture(spark, d, "select max(ts) + interval '1 minute' as now from events").first()[0])
+    states, waiting = fixture(spark, d, WORKERS), fixture(spark, d, "select event_id from events where event_type = 'error'")
+    both = [live.worker_state(states, pages, now).select("host", F.lit(w).alias("waits"), "state") for w, pages in ((True, waiting), (False, waiting.limit(0)))]
+    return both[0].union(both[1])
+
+
+LOOKED_UP = f"with {GATED.replace('student_id', 'sid')}, {q_ladder('reading', 'gated')} select reading_id, reading as confirmed_student_id, matched_via is not null as found_in_db, student_id, matched_via from {q_resolved('reading', '(select * exclude (sid) from gated)')}"
+
+
+@query(LOOKED_UP)
 def stream_lookup(spark, d):
-    """Each reading through the exact stages."""
+    """Readings as they come through the whole ladder, to the log."""
     roster = fixture(spark, d, "fx_roster")
     locations = lookup.school_location(roster, fixture(spark, d, "fx_employees"))
-    readings = as_stream(spark, fixture(spark, d, "select reading_id, reading, scan_school, scan_location from fx_readings"), "reading_id")
+    readings = as_stream(spark, fixture(spark, d, "select reading_id, reading, scan_school, scan_location from fx_readings"), "reading_id", files=2)
     folder = f"{shared_dir(spark)}/lookup-{uuid.uuid4().hex}"
-    live.stream_lookup(readings, roster, locations, lambda rows, k: rows.write.mode("overwrite").parquet(f"{folder}/out/part={k}"), f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out").drop("part")
+    live.stream_lookup(readings, roster, locations, f"{folder}/log", "lookup", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/log").drop("query", "batch")
 
 
 TAILED = f"""{BATCHES}, {PLACED}, lagged as (select batch_id, opened_at, lag(batch_id) over w as pb, lag(school) over w as ps, lag(closed_at) over w as pc from b window w as (partition by folder_id order by opened_at, batch_id)),
@@ -113,6 +159,14 @@ def stream_attribution(spark, d):
     return live.replay(events, "ts", keyed.stream_attribution).where("not too_late").drop("too_late")
 
 
+@query(f"with {TAILED} select batch_id, count(*) as pages from tailed where place = 'batch' group by 1")
+def stream_pages_per_batch(spark, d):
+    """Live counts per batch, upserted as files are placed."""
+    events, folder = fixture(spark, d, "select event_id, folder_id, ts, kind, school from fx_batch_events"), f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    live.replay(events, "ts", keyed.stream_attribution, sink=live.count_pages(folder))
+    return live.page_counts(spark, folder)
+
+
 FILE_EVENTS = "select cast(floor(event_id / 8) as bigint) as file_id, event_id, ts, case event_type when 'view' then 'claim' when 'click' then 'page' when 'purchase' then 'logged' when 'signup' then 'renamed' else case when event_id % 4 = 0 then 'fail' else 'outage' end end as kind from events"
 FILE_SQL = f"""with e as (select *, row_number() over (partition by file_id order by ts, event_id) as k from ({FILE_EVENTS})),
 c as (select file_id, min(k) as k0 from e where kind = 'claim' group by 1),

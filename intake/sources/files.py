@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intake.functions import text
+from intake.shared import cut
 
 SCHEMAS = {
     "roster": "student_id string, student_name string, school_name string, grade_name string, division_name string, academic_year string, gender string, status string, scanned_at timestamp_ntz",
@@ -53,18 +54,61 @@ def latest_inbox_per_owner(folders: DataFrame) -> DataFrame:
     return folders.withColumn("owner", owner).where("owner is not null").groupBy("owner").agg(F.max_by("id", F.struct("shared_with_me_time", "id")).alias("folder_id"))
 
 
-def write_document_tree(documents: DataFrame, folder: str) -> None:
-    """Documents under school, grade and division, with the path of each."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def put_in_tree(rows: DataFrame, folder: str, parts: list[str], key: str) -> None:
+    """Rows in a partitioned tree, by key: a row replaces the one of its key wherever that is, and all others stay.
+
+    Only partitions that a key leaves or enters are written again: staged in the shared folder first, then swapped in by the commit of the dynamic overwrite. Those left empty are removed.
+    """
+    spark = rows.sparkSession
+    rows = cut(rows)
+    if not _exists(spark, folder):
+        rows.write.mode("append").partitionBy(*parts).parquet(folder)
+        return
+    there = spark.read.schema(rows.schema).parquet(folder)
+    keys = rows.select(key).distinct()
+    left = there.select(key, *parts).join(keys, key).select(*parts)
+    touched = cut(left.union(rows.select(*parts)).distinct())
+    same = None
+    for c in parts:
+        one = there[c].eqNullSafe(touched[c])
+        same = one if same is None else same & one
+    stay = there.join(touched, same, "left_semi").join(keys, key, "left_anti")
+    merged = cut(stay.select(*rows.columns).unionByName(rows))
+    merged.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(folder)
+    system = spark._jvm.org.apache.hadoop.fs
+    for row in touched.exceptAll(merged.select(*parts).distinct()).collect():
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        place = system.Path("/".join([folder.rstrip("/"), *(name.getPartitionPathString(c, row[c]) for c in parts)]))
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def document_tree(documents: DataFrame) -> DataFrame:
+    """Documents with the path of each and the cleaned names of the folders above it."""
     path = text.document_path(*(F.col(c) for c in ("school_name", "grade_name", "division_name", "student_name", "student_id", "code")))
     parts = {"school": text.safe_name("school_name", "Unknown school"), "grade": text.safe_name("grade_name", "Unknown grade"), "division": text.safe_name("division_name", "Unknown division")}
-    documents.withColumn("path", path).withColumns(parts).repartition("school", "grade", "division").write.mode("overwrite").partitionBy(*parts).parquet(folder)
+    return documents.withColumn("path", path).withColumns(parts)
 
 
-def write_by_batch(files: DataFrame, judged: DataFrame, folder: str) -> None:
-    """Files (file_id, owner, code, code_source) in a folder per batch once their code is settled: typed, or of a document that needs nobody."""
+def write_document_tree(documents: DataFrame, folder: str, key: str = "path") -> None:
+    """Documents under school, grade and division, beside those of earlier calls. With the key of a document its old copy goes when its path changes; by path, one of the same path is replaced."""
+    put_in_tree(document_tree(documents), folder, ["school", "grade", "division"], key)
+
+
+def settled_files(files: DataFrame, judged: DataFrame) -> DataFrame:
+    """Files (file_id, owner, code, code_source) whose code is settled, with their batch's folder: typed, or of a document that needs nobody."""
     settled = judged.where("status not in ('needs_attention', 'waiting', 'failed')").select("owner", "code").distinct().withColumn("_ok", F.lit(True))
     routed = files.join(settled, ["owner", "code"], "left").where((F.col("code_source") == "typed") | F.col("_ok")).withColumn("folder", text.parse_batch_code("code")["folder"])
-    routed.where("folder is not null").drop("_ok").write.mode("overwrite").partitionBy("folder").parquet(folder)
+    return routed.where("folder is not null").drop("_ok")
+
+
+def write_by_batch(files: DataFrame, judged: DataFrame, folder: str) -> None:
+    """Settled files in a folder per batch; others stay where they are, and a corrected code moves its file."""
+    put_in_tree(settled_files(files, judged), folder, ["folder"], "file_id")
 
 
 def backup_before(df: DataFrame, columns: list[str], cutoff, folder: str) -> None:

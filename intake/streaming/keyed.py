@@ -279,22 +279,20 @@ def stream_pairing(pages: DataFrame, delay: str = DELAY) -> DataFrame:
 
 class _Listing(InOrder):
     rows, order = "us long, look long, size long, mtime long", 2
-    out = "name long, taken long, too_late boolean"
-    memory = "look long, size long, mtime long, taken boolean"
+    out = "name string, taken long, too_late boolean"
+    memory = "seen long, look long, size long, mtime long, taken boolean"
 
     def fold(self, key, kept, due, passed):
-        last, found = kept or (None, None, None, False), []
-        for _, look, size, mtime in due:
-            if not last[3] and last[0] is not None and last == (look - 1, size, mtime, False) and size is not None and mtime is not None:
-                found.append(self.row(key, look, False))
-                last = (look, size, mtime, True)
-            else:
-                last = (look, size, mtime, last[3])
-        # gone before the next look: nothing has to be remembered of it once a day has passed without one
-        seen = max((r[0] for r in due), default=None)
-        if seen is None:
-            return (last if last[3] else None), found, None
-        return last, found, seen + FORGET
+        seen, look, size, mtime, taken = kept or (None, None, None, None, False)
+        found = []
+        for at, *new in due:
+            if not taken and None not in new and [look, size, mtime] == [new[0] - 1, *new[1:]]:
+                taken = True
+                found.append(self.row(key, new[0], False))
+            seen, (look, size, mtime) = at, new
+        if seen is None or passed >= seen + FORGET:
+            return None, found, None
+        return (seen, look, size, mtime, taken), found, seen + FORGET
 
     def too_late(self, key, values):
         return self.row(key, values[1], True)
@@ -303,7 +301,39 @@ class _Listing(InOrder):
 def stable_files(listings: DataFrame, delay: str = DELAY) -> DataFrame:
     """(name, taken, too_late): a file is taken once, at the look that agrees with the one before on size and time; one that is gone before its second look never is.
 
-    Listings: name, pass, ts, size, mtime. State per name: its last look, forgotten after a day without one unless the file was taken.
+    Listings: name, pass, ts, size, mtime. State per name: its last look, forgotten after ``FORGET`` without another (a file that was taken is renamed, so it isn't listed again).
     """
     columns = [F.col("pass").cast("long").alias("look"), F.col("size").cast("long"), F.col("mtime").cast("long")]
     return _run(listings, F.col("ts"), delay, "name", columns, _Listing(), "append")
+
+
+class _Hosts(InOrder):
+    rows, order = "us long", 1
+    out = "host long, alive boolean, at long, too_late boolean"
+    memory = "last long"
+
+    def __init__(self, stale: int):
+        self.stale = stale
+
+    def fold(self, key, kept, due, passed):
+        last, found = kept[0] if kept else None, []
+        for (at,) in due:
+            if last is not None and at - last >= self.stale:
+                found.append(self.row(key, False, last + self.stale, False))
+                last = None
+            if last is None:
+                found.append(self.row(key, True, at, False))
+            last = at
+        if last is not None and passed >= last + self.stale:
+            found.append(self.row(key, False, last + self.stale, False))
+            last = None
+        return (None if last is None else (last,)), found, None if last is None else last + self.stale
+
+    def too_late(self, key, values):
+        return self.row(key, None, values[0], True)
+
+
+def host_liveness(beats: DataFrame, stale: str = "45 seconds", delay: str = DELAY) -> DataFrame:
+    """(host, alive, at, too_late) whenever a host comes alive or has been silent for ``stale``, which a timer tells without another beat. Beats: host, ts. State only of hosts that live."""
+    found = _run(beats, F.col("ts"), delay, "host", [], _Hosts(micros(stale)), "append")
+    return found.withColumn("at", F.timestamp_micros("at").cast("timestamp_ntz"))

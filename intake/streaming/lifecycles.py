@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intake.operators import lookup
-from intake.shared import shared_dir
-from intake.streaming.keyed import CLAIM, TRIES, use_state_store
+from intake.shared import cut, shared_dir
+from intake.streaming.keyed import CLAIM, TRIES, micros, use_state_store
 
 #: The watermark of leftovers.
 LEFTOVER = "6 hours"
@@ -26,11 +26,11 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | str, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def replay(df: DataFrame, clock: str, make: Callable[[DataFrame], DataFrame], mode: str = "append", parts: int = 6, jitter: int = 3600, after: int = 2 * 86400) -> DataFrame:
+def replay(df: DataFrame, clock: str, make: Callable[[DataFrame], DataFrame], mode: str = "append", parts: int = 6, jitter: int = 3600, after: int = 2 * 86400, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """The rows that a stream gives over ``df`` as files of equal spans of time, one a micro-batch, with a stop and a restart from its checkpoint in the middle.
 
     Rows arrive up to ``jitter`` seconds late. ``clock``: a timestamp, or nanoseconds as a number. The last file only moves the clock on by ``after`` seconds. As in
-    ``run_to_end``, rows of ``update`` carry their batch.
+    ``run_to_end``, rows of ``update`` carry their batch; with a ``sink`` the micro-batches go there alone.
     """
     spark, number = df.sparkSession, dict(df.dtypes)[clock] not in ("timestamp", "timestamp_ntz")
     use_state_store(spark)
@@ -47,18 +47,22 @@ def replay(df: DataFrame, clock: str, make: Callable[[DataFrame], DataFrame], mo
     for leg in (range(parts // 2), range(parts // 2, parts + 1)):
         for k in leg:
             (clocked if k == parts else df.where(part == k)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        found = run_to_end(make(read_events(spark, f"{folder}/in", df.schema)), mode, folder)
+        found = run_to_end(make(read_events(spark, f"{folder}/in", df.schema)), mode, folder, sink)
     return found
 
 
-def run_to_end(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+def run_to_end(df: DataFrame, mode: str = "append", folder: str | None = None, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs a stream over what is there, from where it was stopped in ``folder``, and gives all rows it wrote there. With ``update`` the last row of a batch stands for its keys."""
     folder = folder or f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
+    if sink:
+        writer = df.writeStream.outputMode(mode).foreachBatch(sink)
+    elif mode == "append":
         writer = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
     else:
         writer = df.writeStream.outputMode(mode).foreachBatch(lambda rows, k: rows.withColumn("_batch", F.lit(k)).write.mode("overwrite").parquet(f"{folder}/out/part={k}"))
     writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if sink:
+        return df.sparkSession.createDataFrame([], df.schema)
     return df.sparkSession.read.schema(df.schema if mode == "append" else T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{folder}/out" if mode == "append" else f"{folder}/out/*")
 
 
@@ -131,13 +135,49 @@ def stable_files(listings: DataFrame) -> DataFrame:
     return listings.withColumn("_same", same).where("_same").groupBy("name").agg(F.min("pass").alias("taken"))
 
 
-def stream_lookup(readings: DataFrame, roster: DataFrame, locations: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Each micro-batch of readings through the exact stages of the ladder against the static roster, to an idempotent sink."""
+def append_once(rows: DataFrame, folder: str, query: str, k: int) -> None:
+    """Rows of a micro-batch in the log: a batch that is run again takes its own place, so that it adds nothing."""
+    rows.write.mode("overwrite").parquet(f"{folder}/query={query}/batch={k}")
+
+
+def stream_lookup(readings: DataFrame, roster: DataFrame, locations: DataFrame, log: str, query: str, checkpoint: str) -> None:
+    """Each micro-batch of readings through the whole ladder against the static roster, as attempts appended once to the log.
+
+    Readings without an identifier's shape are refused. The roster's fuzzy keys are built once for all batches.
+    """
+    built = lookup.fuzzy_keys(roster)
 
     def batch(rows: DataFrame, k: int) -> None:
-        scoped = lookup.resolve_scope(lookup.probes(rows), locations)
-        found = lookup.variant_lookup(scoped, roster, with_exact=True)
-        keyed = rows.withColumns({"token": clean_token("reading"), "school": lookup.school_key("scan_school"), "location": F.coalesce("scan_location", F.lit(""))})
-        sink(keyed.join(found, list(lookup.PROBE), "left").select("reading_id", "person", F.col("via").alias("matched_via")), k)
+        found = lookup.confirm(cut(rows), roster, locations, built)
+        append_once(found.select("reading_id", "confirmed_student_id", "found_in_db", "student_id", "matched_via"), log, query, k)
 
     readings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def count_pages(folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps how many pages each batch has; ``page_counts`` reads them. A micro-batch's counts are kept apart by its number, so that one run again counts once."""
+
+    def batch(rows: DataFrame, k: int) -> None:
+        append_once(rows.where("place = 'batch'").groupBy("batch_id").agg(F.count("*").alias("pages")), folder, "pages", k)
+
+    return batch
+
+
+def page_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of each batch so far."""
+    return spark.read.schema("batch_id long, pages long").parquet(f"{folder}/query=pages/*").groupBy("batch_id").agg(F.sum("pages").alias("pages"))
+
+
+def watcher_alive(beats: DataFrame, now: Column, stale: str = "45 seconds") -> DataFrame:
+    """(host, last_seen, alive) as of ``now``: alive with a beat less than ``stale`` ago. Beats: host, ts."""
+    last = beats.groupBy("host").agg(F.max("ts").alias("last_seen"))
+    return last.withColumn("alive", F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) < micros(stale))
+
+
+def worker_state(states: DataFrame, waiting: DataFrame, now: Column, stale: str = "120 seconds") -> DataFrame:
+    """(host, state): what each worker last wrote (host, ts, state), or ``not_running`` if that is older than ``stale`` and it said it was busy, or pages wait (rows of ``waiting``)."""
+    last = states.groupBy("host").agg(F.max_by(F.struct("ts", "state"), "ts").alias("l")).select("host", "l.*")
+    pending = waiting.limit(1).select(F.lit(True).alias("_waits"))
+    quiet = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > micros(stale)
+    gone = quiet & ((F.col("state") != "idle") | F.coalesce("_waits", F.lit(False)))
+    return last.join(F.broadcast(pending), F.lit(True), "left").select("host", F.when(gone, "not_running").otherwise(F.col("state")).alias("state"))
