@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,14 @@ def id_hash(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: a worker waits for later tasks and stages, beside whatever runs there meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_slices(df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = 256) -> DataFrame:
     """A map over Arrow batches in slices of ``rows`` rows, which bounds what a Python worker holds at once.
 
@@ -65,9 +75,13 @@ def map_slices(df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield work(batch.slice(start, rows))
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows):
+                    yield work(batch.slice(start, rows))
+        finally:
+            del work
+            give_back()
 
     return df.mapInArrow(run, schema)
 
