@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from intake.plans import history, lookups, streams
+from intake.plans import history, lookups, streams, trees
 from intake.plans import intake as pages
 
-QUERIES: dict = {**lookups.QUERIES, **history.QUERIES, **pages.QUERIES, **streams.QUERIES}
-ORACLES: dict[str, str] = {**lookups.ORACLES, **history.ORACLES, **pages.ORACLES, **streams.ORACLES}
+QUERIES: dict = {**lookups.QUERIES, **history.QUERIES, **pages.QUERIES, **streams.QUERIES, **trees.QUERIES}
+ORACLES: dict[str, str] = {**lookups.ORACLES, **history.ORACLES, **pages.ORACLES, **streams.ORACLES, **trees.ORACLES}
 FLAGSHIP = "resolve_progress"
