@@ -1,12 +1,10 @@
-"""Readers and writers round-trip; streams give what their batch forms give."""
+"""Readers and writers round-trip."""
 
 from __future__ import annotations
 
-from conftest import SMALL
 from pyspark.sql import functions as F
 
 from intake.operators import features
-from intake.plans import streams
 from intake.sources import files
 
 
@@ -52,16 +50,3 @@ def test_merge_rules_is_a_running_mean(spark):
     got = [tuple(x) for x in df.select(features.merge_rules(F.col("r")).alias("m")).first().m]
     y = ((0.100 + 0.106) / 2 + 0.110) / 2
     assert got == [(y, 0.05, 0.9), (0.5, 0.0, 1.0)]
-
-
-def test_page_lifecycle_stream_is_batch(spark):
-    stream, batch = streams.QUERIES["stream_page_lifecycle"](spark, SMALL), streams.QUERIES["page_lifecycle"](spark, SMALL)
-    assert sorted(map(tuple, stream.select("page_id", "status", "tries").collect())) == sorted(map(tuple, batch.select("page_id", "status", "tries").collect()))
-
-
-def test_stream_lookup_is_batch(spark):
-    from intake.plans.lookups import QUERIES
-
-    stream = {r.reading_id: r.person for r in streams.QUERIES["stream_lookup"](spark, SMALL).where("matched_via in ('exact', 'shape_fix', 'safe_variant')").collect()}
-    batch = {r.reading_id: r.person for r in QUERIES["find_student"](spark, SMALL).where("matched_via in ('exact', 'shape_fix', 'safe_variant')").collect()}
-    assert stream == batch
