@@ -39,7 +39,7 @@ ARTICLE, UNDECIDED, DROPPED = 0, 1, 2
 
 # Names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object canvas select".split())
+RAW = frozenset("script style textarea title noscript template iframe object canvas select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -49,6 +49,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer copyright sidebar side aside cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe signup login comment comments respond replies reply disqus share sharing social related recommended pagination pager widget toolbar".split()
 )
+#: Words that say nothing of what an element holds, as parts of a class beside a word of ``MARKS``.
+NEUTRAL = frozenset("bar block box btn button buttons container content count form group icon icons inner item items label link links list module outer panel row section slot space text thread title top bottom left right unit wrap wrapper area zone the".split())
+#: Elements that hold a piece of text rather than a part of the page.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption caption a b i em strong span small sub sup code cite q abbr time mark".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: A tag whose quotes are not heeded, for what follows a tag with quotes that never close.
 _LOOSE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -62,6 +66,14 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
+def _says(value: str, name: str, inside: bool) -> bool:
+    """Whether a class or id marks what isn't the article. In the article a word of ``MARKS`` alone doesn't: a class must hold nothing else that means something, and for a text all classes must."""
+    if not inside:
+        return not MARKS.isdisjoint(_NAME.findall(value))
+    said = [bool(words) and not MARKS.isdisjoint(words) and all(w in MARKS or w in NEUTRAL for w in words) for words in map(_NAME.findall, value.split())]
+    return bool(said) and (all(said) if name in TEXTS else any(said))
+
+
 def _marked(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element's name or attributes say that it isn't article text; ``inside``: it stands in the article."""
     if name in BOILERPLATE or (name == "header" and not inside):
@@ -71,7 +83,7 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
         key = key.lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
-        if (key == "role" and value in ROLES) or (key in ("class", "id") and not MARKS.isdisjoint(_NAME.findall(value))):
+        if (key == "role" and value in ROLES) or (key in ("class", "id") and _says(value, name, inside)):
             return True
     return False
 
