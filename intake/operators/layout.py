@@ -24,6 +24,14 @@ LADDER_SCALES, PROFILE_SCALES, OFFSETS = np.arange(0.85, 1.151, 0.01), np.arange
 LEAST_OVERLAP = 0.70
 FIT = "struct<language:string,error:double,scale:double,offset:double,runner_up:string,confidence:double>"
 PROFILE = "struct<best_page:string,best_score:double,first_score:double,later_score:double>"
+# Margins around the rule of the value field, beside it as a share of the page, above and below it as a share of its height; how far (pixels) a label may stand under
+# the grade's, and two boxes of one line apart (pixels, heights); what tells Marathi and Hindi labels.
+BESIDE, ABOVE, BELOW = 0.010, 1.10, 0.35
+UNDER_GRADE, SAME_LINE = (5, 140), (28.0, 1.8)
+MARATHI, HINDI = "आयडी|इयत्ता|आयिी", "[आईयडीकक्षा]"
+# How far a reader is trusted, what is added to its confidence, and the most (or, for labels, the score) of strict and of other readings.
+LINE_TRUST, DEVANAGARI_TRUST, VISION_MORE, PLAIN_MORE = 0.95, 0.8, 0.15, 0.05
+LABEL_SCORES, VISION_MOST, PLAIN_MOST, DEVANAGARI_MOST = (0.92, 0.55), (0.99, 0.70), 0.65, (0.75, 0.55)
 
 
 def _mapped(df: DataFrame, column: str, name: str, kind: str, f: Callable[[list], list]) -> DataFrame:
@@ -78,8 +86,8 @@ def id_box(rules: Column, fit: Column) -> Column:
     wanted = per({k: v[ID_RULE] for k, v in LADDERS.items()}) * fit["scale"] + fit["offset"]
     near = F.array_min(F.transform(rules, lambda r, k: F.struct(F.abs(r["y"] - wanted).alias("d"), k.alias("k"), r.alias("r"))))
     height, rule = per(VALUE_HEIGHTS) * fit["scale"], near["r"]
-    x0, x1 = F.greatest(F.lit(0.0), rule["x0"] - 0.010), F.least(F.lit(1.0), rule["x1"] + 0.010)
-    y0, y1 = F.greatest(F.lit(0.0), rule["y"] - height * 1.10), F.least(F.lit(1.0), rule["y"] + height * 0.35)
+    x0, x1 = F.greatest(F.lit(0.0), rule["x0"] - BESIDE), F.least(F.lit(1.0), rule["x1"] + BESIDE)
+    y0, y1 = F.greatest(F.lit(0.0), rule["y"] - height * ABOVE), F.least(F.lit(1.0), rule["y"] + height * BELOW)
     box = lambda *c: F.struct(*(v.alias(n) for v, n in zip(c, ("x0", "y0", "x1", "y1"), strict=True)))
     blank = box(*(per({k: v[i] for k, v in BOXES.items()}) for i in range(4)))
     return F.when(fit.isNull(), None).when((near["d"] <= FAR_RULE) & (x1 > x0) & (y1 > y0), box(x0, y0, x1, y1)).otherwise(blank)
@@ -153,12 +161,12 @@ def best_label(lines: DataFrame, page: str = "page_id") -> DataFrame:
     labels = known.where("_l.language is not null or _parsed <> ''").groupBy(page).agg(F.max_by(line, F.struct(ranked, -F.col("position"))).alias("label"))
 
     grades = lines.where(is_grade_label("text")).groupBy(page).agg(F.min("y_mid").alias("_grade"))
-    language = F.when(F.col("text").rlike("आयडी|इयत्ता|आयिी"), "marathi").when(F.col("text").rlike("[आईयडीकक्षा]"), "hindi").otherwise("english")
-    under = known.join(grades, page).join(labels, page, "left_anti").where("y_mid > _grade + 5 and y_mid - _grade <= 140")
+    language = F.when(F.col("text").rlike(MARATHI), "marathi").when(F.col("text").rlike(HINDI), "hindi").otherwise("english")
+    under = known.join(grades, page).join(labels, page, "left_anti").where((F.col("y_mid") > F.col("_grade") + UNDER_GRADE[0]) & (F.col("y_mid") - F.col("_grade") <= UNDER_GRADE[1]))
     guessed = under.withColumn("_l", F.struct(language.alias("language"), F.lit(0.0).alias("score"))).groupBy(page).agg(F.min_by(line, F.struct("y_mid", "position")).alias("label"))
     found = labels.union(guessed)
 
-    beside = known.join(found, page).where((F.col("label.parsed") == "") & (F.abs(F.col("y_mid") - F.col("label.y_mid")) <= F.greatest(F.lit(28.0), F.col("label.height") * 1.8)))
+    beside = known.join(found, page).where((F.col("label.parsed") == "") & (F.abs(F.col("y_mid") - F.col("label.y_mid")) <= F.greatest(F.lit(SAME_LINE[0]), F.col("label.height") * SAME_LINE[1])))
     token = F.col("_token")
     whole = F.length(token).between(6, 20) & token.rlike("[A-Z]") & token.rlike("[0-9]")
     read = F.when(F.col("x_min") < F.col("label.x_max") - 10, F.col("_parsed")).otherwise(F.when(whole, token).otherwise(""))
@@ -172,7 +180,7 @@ def score_readings(readings: DataFrame, page: str = "page_id") -> DataFrame:
 
     Readings: ``page``, position, reader (label, vision, vision_line, rapid, easy, devanagari), text, confidence; further columns stay.
     """
-    reader, conf = F.col("reader"), F.col("confidence") * F.when(F.col("reader") == "vision_line", 0.95).when(F.col("reader") == "devanagari", 0.8).otherwise(1.0)
+    reader, conf = F.col("reader"), F.col("confidence") * F.when(F.col("reader") == "vision_line", LINE_TRUST).when(F.col("reader") == "devanagari", DEVANAGARI_TRUST).otherwise(1.0)
     parsed = id_from_line("text")
     token = F.when(reader == "devanagari", F.when(F.col("text").rlike("[\u0900-\u097f]"), transliterate("text")).otherwise("")).when((reader == "rapid") & (parsed != ""), parsed).otherwise(clean_token("text"))
     read = F.transform(F.array(token), lambda t: F.struct(t.alias("text"), reading_class(t).alias("kind")))
@@ -180,10 +188,10 @@ def score_readings(readings: DataFrame, page: str = "page_id") -> DataFrame:
     loose = lambda r: (r["kind"] == "noisy") | ((reader.startswith("vision") | (reader == "devanagari")) & (r["kind"] == "digits"))
     by = lambda r, of_strict, of_loose: F.when(strict(r), of_strict).when(loose(r), of_loose)
     score = lambda r: (
-        F.when(reader == "label", F.when(strict(r), 0.92).when(loose(r), 0.55))
-        .when(reader.startswith("vision"), by(r, F.least(conf + 0.15, F.lit(0.99)), F.least(conf + 0.15, F.lit(0.70))))
-        .when(reader.isin("rapid", "easy"), by(r, conf + 0.05, F.least(conf, F.lit(0.65))))
-        .when(reader == "devanagari", by(r, F.least(conf, F.lit(0.75)), F.least(conf, F.lit(0.55))))
+        F.when(reader == "label", F.when(strict(r), LABEL_SCORES[0]).when(loose(r), LABEL_SCORES[1]))
+        .when(reader.startswith("vision"), by(r, F.least(conf + VISION_MORE, F.lit(VISION_MOST[0])), F.least(conf + VISION_MORE, F.lit(VISION_MOST[1]))))
+        .when(reader.isin("rapid", "easy"), by(r, conf + PLAIN_MORE, F.least(conf, F.lit(PLAIN_MOST))))
+        .when(reader == "devanagari", by(r, F.least(conf, F.lit(DEVANAGARI_MOST[0])), F.least(conf, F.lit(DEVANAGARI_MOST[1]))))
     )
     family = F.when(reader == "vision_line", "vision").otherwise(reader)
     tag = lambda r: F.concat(family, F.when(strict(r), "").otherwise("-noisy"))

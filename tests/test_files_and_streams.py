@@ -9,7 +9,7 @@ from intake.sources import files
 
 
 def test_tables_round_trip(spark, tmp_path):
-    rows = [("AADMIS310714", "A, B", "S", "5", "A", "2026", "M", "Active", None)]
+    rows = [("KELVOR120309", "A, B", "S", "5", "A", "2026", "M", "Active", None)]
     df = spark.createDataFrame(rows, files.SCHEMAS["roster"])
     for form in ("parquet", "csv", "json", "orc"):
         df.write.format(form).option("header", "true").save(str(tmp_path / form))
