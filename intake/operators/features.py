@@ -69,9 +69,10 @@ def reading_order(boxes: DataFrame, page: str = "page_id", band: float = 40.0) -
     return boxes.withColumn("position", F.row_number().over(order))
 
 
-def first_code(corners: DataFrame, key: str, lines_col: str = "lines", rank_col: str = "rank") -> DataFrame:
-    """The first candidate of a page's corners that is a code: corners by rank (top right first), candidates in their order."""
-    from intake.functions.text import candidate_texts, parse_batch_code
+def first_code(corners: DataFrame, key: str, lines_col: str = "lines", rank_col: str = "rank", confidences_col: str | None = None) -> DataFrame:
+    """The first candidate of a page's corners that is a code: corners by rank (top right first), candidates in their order. With ``confidence``, the text it was ``raw`` and the corner's ``rank``."""
+    from intake.functions.text import candidate_readings, parse_batch_code
 
-    tried = corners.select(key, F.col(rank_col).alias("_r"), F.posexplode(candidate_texts(lines_col)).alias("_i", "_t")).withColumn("_c", parse_batch_code("_t")).where("_c is not null")
-    return tried.groupBy(key).agg(F.min_by(F.struct("_c.batch", "_c.number", "_c.code"), F.struct("_r", "_i")).alias("c")).select(key, "c.*")
+    tried = corners.select(key, F.col(rank_col).alias("_r"), F.posexplode(candidate_readings(lines_col, confidences_col)).alias("_i", "_t")).withColumn("_c", parse_batch_code("_t.text")).where("_c is not null")
+    first = F.min_by(F.struct("_c.batch", "_c.number", "_c.code", "_t.confidence", F.col("_t.text").alias("raw"), F.col("_r").alias("rank")), F.struct("_r", "_i"))
+    return tried.groupBy(key).agg(first.alias("c")).select(key, "c.*")

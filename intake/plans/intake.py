@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from intake.functions import text
 from intake.operators import attribution, documents, features, layout, lookup
 from intake.plans.fixtures import fixture, with_fixtures
-from intake.plans.lookups import AS_ID, STRICT, q_clean
+from intake.plans.lookups import AS_ID, STRICT, q_clean, q_ladder, q_tail
 from intake.sources import files as sources
 
 QUERIES: dict = {}
@@ -31,6 +31,13 @@ placed as (select file_id, folder_id, created, case when x is null then y.i when
   case when y is null then 'waiting' when x is null or x.c is null or created < x.c then 'batch' else 'set_aside' end as place from near_b)"""
 
 
+TAILED = f"""{BATCHES}, {PLACED}, lagged as (select batch_id, opened_at, lag(batch_id) over w as pb, lag(school) over w as ps, lag(closed_at) over w as pc from b window w as (partition by folder_id order by opened_at, batch_id)),
+lasts as (select f.file_id as f, max(b.opened_at) as o, arg_max(b.closed_at, (b.opened_at, b.batch_id)) as c from f join b on b.folder_id = f.folder_id and b.opened_at <= f.created group by 1),
+tailed as (select p.file_id, p.folder_id, p.created, p.batch_id, p.batch_school, p.place, case when ok then pb end as tail_batch_id, case when ok then ps end as tail_school,
+  case when place = 'set_aside' then case when created - c < interval '2 minutes' then 'grace' when created - c < interval '6 hours' then 'leftover' else 'late' end end as late
+  from (select p.*, pb, ps, coalesce(created >= opened_at and created < pc + interval '10 minutes' and ps is distinct from batch_school, false) as ok from placed p left join lagged using (batch_id)) p left join lasts on f = file_id)"""
+
+
 def scene(spark, d):
     events = fixture(spark, d, "fx_batch_events")
     return events.where("kind = 'file'").select(F.col("event_id").alias("file_id"), "folder_id", F.col("ts").alias("created")), attribution.close_on_open(events)
@@ -314,7 +321,14 @@ def confirm_documents(spark, d):
     return documents.confirm_documents(typed.select("owner", "code", "student_id", "page_ids"), placed, roster, locations).select("owner", "code", "outcome", "confirmed_student_id", "person", "matched_via")
 
 
-@query()
+ASKED = f"""numbered as (select * exclude (token, raw), {AS_ID} as reading from (select t.file_id, t.batch_id, t.batch_school, t.tail_batch_id, t.tail_school, r.reading as raw, {q_clean('r.reading')} as token from tailed t join fx_readings r on r.reading_id = t.file_id)),
+tried as (select reading, batch_school as scan_school, null::varchar as scan_location from numbered union all select reading, tail_school, null from numbered where tail_batch_id is not null)"""
+AT = "l.token = a.reading and l.location = '' and l.school = coalesce(upper(trim({})), '')"
+
+
+@query(f"""with {TAILED}, {ASKED}, {q_ladder('reading', 'tried')}
+  select file_id, batch_id, case when h.via is null and l.via is not null then tail_batch_id else batch_id end as logged_under, coalesce(h.person, l.person) as person, coalesce(h.via, l.via) as matched_via
+  from numbered a left join ladder h on {AT.format('batch_school').replace('l.', 'h.')} left join ladder l on tail_batch_id is not null and h.via is null and {AT.format('tail_school')}""")
 def find_with_tail(spark, d):
     """Files with the reading of their number, at their batch's school and then at the tail's."""
     files, b = scene(spark, d)
@@ -391,13 +405,29 @@ def best_label(spark, d):
 READ = "select reading_id div 5 as page_id, reading_id as position, array('label', 'vision', 'vision_line', 'rapid', 'easy')[cast(reading_id % 5 as int)] as reader, reading as text, (reading_id % 9) / 10.0D as confidence, array('english', 'hindi', 'marathi')[cast(reading_id % 3 as int)] as language from fx_readings"
 
 
-@query()
+FROM_LINE = """case when l <> '' then l when text like '%:%' then case when length(a) between 6 and 20 and regexp_matches(a, '[A-Z]') and regexp_matches(a, '[0-9]') then a else '' end
+  when length(o) between 8 and 20 and regexp_matches(o, '[A-Z]') and regexp_matches(o, '[0-9]') and o not like '%STUDENT%' and o not like '%INFORMATION%' then o else '' end"""
+SCORED = f"""said as (select *, {q_clean("regexp_extract(text, '(?i)student[ ]*id[ ]*:?[ ]*([A-Za-z0-9][A-Za-z0-9_/ -]{{3,20}})', 1)")} as l, {q_clean("split_part(text, ':', -1)")} as a, {q_clean('text')} as o
+  from (select cast(floor(reading_id / 5) as bigint) as page_id, reading_id as position, list_value('label', 'vision', 'vision_line', 'rapid', 'easy')[reading_id % 5 + 1] as reader, reading as text, (reading_id % 9) / 10.0::double as confidence,
+    list_value('english', 'hindi', 'marathi')[reading_id % 3 + 1] as language from fx_readings)),
+token as (select *, case when reader = 'rapid' and {FROM_LINE} <> '' then {FROM_LINE} else o end as token, confidence * case when reader = 'vision_line' then 0.95 else 1.0 end as conf from said),
+kind as (select *, case when {STRICT} then 'strict' when length(token) between 8 and 20 and regexp_matches(token, '^[A-Z]{{4}}') and regexp_matches(token, '[0-9]') then 'noisy' when {q_tail('token')} and regexp_matches(token, '[A-Z]') and reader like 'vision%' then 'noisy' end as kind from token),
+score as (select *, case when reader = 'label' then case kind when 'strict' then 0.92 when 'noisy' then 0.55 end when reader like 'vision%' then case kind when 'strict' then least(conf + 0.15, 0.99) when 'noisy' then least(conf + 0.15, 0.70) end
+  else case kind when 'strict' then conf + 0.05 when 'noisy' then least(conf, 0.65) end end as score, case when reader = 'vision_line' then 'vision' else reader end as family from kind),
+scored as (select page_id, position, family as reader, token as text, score, family || case when kind = 'strict' then '' else '-noisy' end as tag, language from (select *, row_number() over (partition by page_id, family, token order by position) as k from score where score is not null) where k = 1)"""
+
+
+@query(f"with {SCORED} select page_id, position, reader, text, round(score, 6) as score, tag from scored")
 def score_readings(spark, d):
     """Every reader's readings as scored candidates."""
     return layout.score_readings(fixture(spark, d, READ)).select("page_id", "position", "reader", "text", F.round("score", 6).alias("score"), "tag")
 
 
-@query()
+@query(f"""with {SCORED}, kept as (select * from scored where reader <> 'easy'),
+shaped as (select distinct page_id from (select page_id, {AS_ID} as sid from (select page_id, text as token from kept)) where sid <> ''),
+rest as (select s.*, case when language = list_value('english', 'hindi', 'marathi')[page_id % 3 + 1] then 0 else list_position(list_value('english', 'hindi', 'marathi'), language) end as r from scored s where reader = 'easy' and page_id not in (select page_id from shaped))
+select page_id, row_number() over (partition by page_id order by r, position, text) as position, language, text, stage
+  from (select page_id, position, language, text, -1 as r, 'found' as stage from kept union all select page_id, position, language, text, r, 'template' from rest)""")
 def with_fallback(spark, d):
     """The candidates of a page, or those of the blank forms' boxes."""
     scored = layout.score_readings(fixture(spark, d, READ))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from intake.functions import similarity, text
-from intake.operators import lookup
+from intake.operators import features, lookup
 from intake.plans.fixtures import fixture, with_fixtures
 from intake.shared import cut
 
@@ -102,16 +102,36 @@ def split_ids(spark, d):
     return fixture(spark, d, "fx_readings").select("reading_id", F.inline(F.array(text.split_id(text.clean_token("reading")))))
 
 
-@query("""select event_id, text, a as batch, b as number, 'B' || a || '-' || b as code, 'B' || a as folder from (
+CODES = """select event_id, text, a as batch, b as number, 'B' || a || '-' || b as code, 'B' || a as folder from (
   select event_id, text, try_cast(x[1] as int) as a, try_cast(x[2] as int) as b, x, head from (
     select event_id, text, head, list_transform(case when contains(body, '-') then regexp_split_to_array(body, '\\s*-+\\s*') else regexp_split_to_array(body, '\\s+') end, lambda p: translate(regexp_replace(p, '\\s+', '', 'g'), 'IL|O', '1110')) as x
     from (select event_id, text, substr(upper(trim(text)), 1, 1) as head, trim(translate(substr(upper(trim(text)), 2), '~_.', '---')) as body from fx_corner_texts)))
-  where len(x) = 2 and head in ('B', '8', '3') and regexp_full_match(x[1], '[0-9]{1,3}') and regexp_full_match(x[2], '[0-9]{1,3}') and try_cast(x[1] as int) > 0 and try_cast(x[2] as int) > 0""".replace("\\\\", "\\"))
+  where len(x) = 2 and head in ('B', '8', '3') and regexp_full_match(x[1], '[0-9]{1,3}') and regexp_full_match(x[2], '[0-9]{1,3}') and try_cast(x[1] as int) > 0 and try_cast(x[2] as int) > 0""".replace("\\\\", "\\")
+
+
+@query(CODES)
 def batch_codes(spark, d):
     """Codes as written or misread, where they are codes."""
     return fixture(spark, d, "fx_corner_texts").select("event_id", "text", F.inline(F.array(text.parse_batch_code("text")))).where("batch is not null")
 
 
+CORNERS = """select event_id, cast(event_id % 2 as int) as rank, case event_id % 3 when 0 then {array}('{three} ' || text || ' 6') when 1 then {array}('serial', '{three}', text) else {array}(substr(text, 1, 2), substr(text, 3)) end as lines,
+  {array}(cast((event_id % 10) / 10.0 as double), cast(0.5 as double), cast(0.25 as double)) as confidences from fx_corner_texts"""
+WINDOWS = f"""corners as ({CORNERS.format(array='list_value', three='③')}),
+l as (select *, list_filter(list_transform(range(1, len(lines) + 1), lambda i: {{'t': trim(regexp_replace(regexp_replace(lines[i], '③', ' ', 'g'), '\\s+', ' ', 'g')), 'c': confidences[i]}}), lambda x: x.t <> '') as ls from corners),
+w as (select *, flatten(list_transform(ls, lambda x: list_transform(string_split(x.t, ' '), lambda y: {{'t': y, 'c': x.c}}))) as ws from l),
+r as (select *, flatten(list_transform(range(2, least(len(ws), 6) + 1), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: {{'t': array_to_string(list_transform(ws[i : i + k - 1], lambda x: x.t), ' '), 'c': list_sum(list_transform(ws[i : i + k - 1], lambda x: x.c)) / k}}))) as rs from w),
+a as (select event_id, rank, list_concat(ws, ls, rs) as cs from r),
+cands as (select event_id, rank, i, cs[i].t as text, cs[i].c as c from (select *, unnest(range(1, len(cs) + 1)) as i from a))"""
+
+
+@query(f"with {WINDOWS}, codes as ({CODES.replace('event_id, text', 'event_id, rank, i, c, text').replace('fx_corner_texts', 'cands')}) select page, arg_min(code, (rank, i, event_id)) as code, round(arg_min(c, (rank, i, event_id)), 6) as confidence, arg_min(text, (rank, i, event_id)) as raw from (select event_id // 2 as page, * from codes) group by 1")
+def corner_codes(spark, d):
+    """The first code of each page's two corners, among words, lines and runs of words, with its confidence."""
+    corners = fixture(spark, d, CORNERS.format(array="array", three="③")).withColumn("page", F.expr("event_id div 2"))
+    return features.first_code(corners, "page", confidences_col="confidences").select("page", "code", F.round("confidence", 6).alias("confidence"), "raw")
+
+
 SCHOOLED = "select r.reading_id, upper(trim(f.student_id)) as id, r.token from (select reading_id, scan_school, " + q_clean("reading") + " as token from fx_readings) r join fx_roster f on upper(trim(f.school_name)) = r.scan_school"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from intake.operators import lookup
 from intake.plans.fixtures import fixture, with_fixtures
-from intake.plans.intake import BATCHES, PAIRED, PLACED
+from intake.plans.intake import PAIRED, TAILED
 from intake.plans.lookups import GATED, q_ladder, q_resolved
 from intake.shared import shared_dir
 from intake.streaming import keyed
@@ -145,13 +145,6 @@ def stream_lookup(spark, d):
     return spark.read.parquet(f"{folder}/log").drop("query", "batch")
 
 
-TAILED = f"""{BATCHES}, {PLACED}, lagged as (select batch_id, opened_at, lag(batch_id) over w as pb, lag(school) over w as ps, lag(closed_at) over w as pc from b window w as (partition by folder_id order by opened_at, batch_id)),
-lasts as (select f.file_id as f, max(b.opened_at) as o, arg_max(b.closed_at, (b.opened_at, b.batch_id)) as c from f join b on b.folder_id = f.folder_id and b.opened_at <= f.created group by 1),
-tailed as (select p.file_id, p.folder_id, p.created, p.batch_id, p.batch_school, p.place, case when ok then pb end as tail_batch_id, case when ok then ps end as tail_school,
-  case when place = 'set_aside' then case when created - c < interval '2 minutes' then 'grace' when created - c < interval '6 hours' then 'leftover' else 'late' end end as late
-  from (select p.*, pb, ps, coalesce(created >= opened_at and created < pc + interval '10 minutes' and ps is distinct from batch_school, false) as ok from placed p left join lagged using (batch_id)) p left join lasts on f = file_id)"""
-
-
 @query(f"with {TAILED} select * from tailed where place <> 'waiting'")
 def stream_attribution(spark, d):
     """Files placed as they come."""
