@@ -110,10 +110,10 @@ def _least_common(m: Column, n: Column, score: Column) -> Column:
 
 
 def _keyed(df: DataFrame, strings: Column, length: Column, *keep: str) -> DataFrame:
-    """``key`` for each subsequence of ``common`` characters of the strings, in the scope; ``df`` has scope and common. By the number of characters that go, so that each is built as deep as it needs."""
+    """``key`` for each subsequence of ``common`` characters of the strings, in the scope; ``df`` has scope and common."""
     drop = length - F.col("common")
-    tries = F.coalesce(*[F.when(drop == k, similarity.without(strings, k)) for k in range(DROPPED + 1)])
-    return df.where((drop >= 0) & (drop <= DROPPED)).select(*keep, F.explode(tries).alias("_s")).select(*keep, F.xxhash64("scope", "_s").alias("key"))
+    keyed = df.where((drop >= 0) & (drop <= DROPPED)).withColumn("_s", similarity.subsequence_keys(strings, F.col("common")))
+    return keyed.select(*keep, F.explode("_s").alias("_s")).select(*keep, F.xxhash64("scope", "_s").alias("key"))
 
 
 def _candidates(roster: DataFrame) -> DataFrame:

@@ -102,9 +102,21 @@ def test_prefix_scores_of_any_length_and_letters():
     assert list(got) == pytest.approx([plain_prefix_score(a, b) for a, b in pairs])
 
 
-def test_subsequences(spark):
-    found = ask(spark, ["ABCA", "AAAA"], lambda c: similarity.without(F.array(c), 2))
-    assert [set(x) for x in found] == [{"CA", "BA", "BC", "AA", "AC", "AB"}, {"AA"}]
+def test_subsequences_share_a_key_exactly_if_they_are_equal(spark):
+    from itertools import combinations
+
+    rng = random.Random(6)
+    rows = [(i, ["".join(rng.choice("AB1é") for _ in range(rng.randint(5, 9))) for _ in range(rng.randint(0, 3))], rng.randint(3, 5)) for i in range(80)] + [(99, ["A" * 14], 10), (98, ["ABCDEFGHIJKL"], 12)]
+    df = spark.createDataFrame(rows, "i int, s array<string>, k int").select("i", similarity.subsequence_keys("s", "k").alias("keys"))
+    keys = {r.i: r["keys"] for r in df.collect()}
+    seen: dict = {}
+    for i, strings, k in rows:
+        plain = {"".join(c) for s in strings for c in combinations(s, k)}
+        assert len(keys[i]) == len(set(keys[i])) == len(plain)
+        seen[i] = (k, plain)
+    for i, (k, a) in seen.items():
+        for j, (n, b) in seen.items():
+            assert len(set(keys[i]) & set(keys[j])) == (len(a & b) if k == n else 0)
 
 
 def test_code_parts(spark):
