@@ -24,15 +24,14 @@ def nearest(spark, rows, k=20, step=20):
 
 def brute(rows, k=20, step=20):
     rows = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    out = {}
+    best: dict = {}
     for i, q in rows:
         if i % step == 0:
-            best: dict = {}
             for j, v in rows:
                 if j != i and len(v) == len(q):
-                    best[j] = max(best.get(j, -np.inf), float(np.dot(q, v)))
-            out[i] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
-    return out
+                    mine = best.setdefault(i, {})
+                    mine[j] = max(mine.get(j, -np.inf), float(np.dot(q, v)))
+    return {i: sorted(mine.items(), key=lambda x: (-x[1], x[0]))[:k] for i, mine in best.items()}
 
 
 def same(a, b):
