@@ -109,3 +109,19 @@ def test_no_rows(spark, scene):
     _, _, readings, people_df = scene
     for stage in (lookup.constrained_repair, lookup.digit_suffix):
         assert stage(readings.limit(0), people_df).count() == 0 and stage(readings, people_df.limit(0)).count() == 0
+
+
+def test_crowded_digits_give_two_identifiers_a_reading(spark):
+    """Hundreds of identifiers end in the same digits: the pairs do not grow with them, the verdicts are those of all pairs."""
+    rng = random.Random(5)
+    letters = lambda: "".join(rng.choice("ABCDEKLO") for _ in range(rng.choice((3, 5, 6, 6, 6, 7, 12))))
+    ids, asked = sorted({letters() for _ in range(400)}), sorted({letters()[: rng.choice((1, 4, 6, 12))] for _ in range(60)})
+    rows = spark.createDataFrame([("", "120309", x + "120309", x) for x in ids], "scope string, digits string, id string, _letters string")
+    got: dict = {}
+    for r in lookup._alike_letters(spark.createDataFrame([("", "120309", x) for x in asked], "scope string, digits string, letters string"), rows).collect():
+        got.setdefault(r.letters, []).append((r.score, r.id))
+    for x in asked:
+        scores = {y + "120309": plain_prefix_score(x, y) for y in ids}
+        best = sorted(scores.values(), reverse=True)[:2]
+        assert len(got.get(x, [])) <= 2 and all(scores[k] == s for s, k in got.get(x, []))
+        assert [s for s, _ in sorted(got.get(x, []), reverse=True)] == [s for s in best if s >= 0.47 - 1e-9]
