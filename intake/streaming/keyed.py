@@ -282,6 +282,9 @@ class _Listing(InOrder):
     out = "name string, taken long, too_late boolean"
     memory = "seen long, look long, size long, mtime long, taken boolean"
 
+    def __init__(self, once: bool):
+        self.once = once
+
     def fold(self, key, kept, due, passed):
         seen, look, size, mtime, taken = kept or (None, None, None, None, False)
         found = []
@@ -290,6 +293,8 @@ class _Listing(InOrder):
                 taken = True
                 found.append(self.row(key, new[0], False))
             seen, (look, size, mtime) = at, new
+        if taken and self.once:
+            return (None, None, None, None, True), found, None
         if seen is None or passed >= seen + FORGET:
             return None, found, None
         return (seen, look, size, mtime, taken), found, seen + FORGET
@@ -298,13 +303,14 @@ class _Listing(InOrder):
         return self.row(key, values[1], True)
 
 
-def stable_files(listings: DataFrame, delay: str = DELAY) -> DataFrame:
+def stable_files(listings: DataFrame, delay: str = DELAY, once: bool = False) -> DataFrame:
     """(name, taken, too_late): a file is taken once, at the look that agrees with the one before on size and time; one that is gone before its second look never is.
 
     Listings: name, pass, ts, size, mtime. State per name: its last look, forgotten after ``FORGET`` without another (a file that was taken is renamed, so it isn't listed again).
+    ``once``: names may come again however much later and are still taken once, so those taken stay in the state.
     """
     columns = [F.col("pass").cast("long").alias("look"), F.col("size").cast("long"), F.col("mtime").cast("long")]
-    return _run(listings, F.col("ts"), delay, "name", columns, _Listing(), "append")
+    return _run(listings, F.col("ts"), delay, "name", columns, _Listing(once), "append")
 
 
 class _Hosts(InOrder):

@@ -117,6 +117,14 @@ def test_files_gone_before_the_second_look(spark, tmp_path):
     assert feed.held() == 0
 
 
+def test_names_listed_days_later_are_taken_once(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "name string, pass int, ts timestamp, size long, mtime long", lambda e: keyed.stable_files(e, "1 minute", once=True))
+    assert feed.put(("a", 1, at(1), 5, 1), ("a", 2, at(2), 5, 1), ("gone", 2, at(2), 5, 1), (None, None, at(10), None, None)) == [("a", 2, False)]
+    feed.put((None, None, at(3 * 24 * 60), None, None))
+    late = 3 * 24 * 60 + 1
+    assert feed.put(("a", late, at(late), 6, 1), ("a", late + 1, at(late + 1), 6, 1), ("gone", late, at(late), 5, 1), (None, None, at(late + 10), None, None)) == []
+
+
 def test_hosts_fall_silent_by_a_timer(spark, tmp_path):
     feed = Feed(spark, tmp_path, "host long, ts timestamp", lambda e: keyed.host_liveness(e, delay="1 minute"))
     feed.put((1, at(0)), (1, at(0.5)), (2, at(0.9)))
