@@ -7,6 +7,7 @@ import random
 import pytest
 from test_text import plain_prefix_score
 
+from intake.functions import similarity
 from intake.operators import lookup
 
 ROSTER = "person long, student_id string, student_name string, school_name string"
@@ -125,3 +126,15 @@ def test_crowded_digits_give_two_identifiers_a_reading(spark):
         best = sorted(scores.values(), reverse=True)[:2]
         assert len(got.get(x, [])) <= 2 and all(scores[k] == s for s, k in got.get(x, []))
         assert [s for s, _ in sorted(got.get(x, []), reverse=True)] == [s for s in best if s >= 0.47 - 1e-9]
+
+
+def test_pairs_of_a_school_come_once(spark):
+    """Repeated rows and readings with several schools give each pair once, with the ratio of plain loops."""
+    rng = random.Random(7)
+    tokens = ["", "A", "AB1203", "Q" * 61, "Q" * 70, *("".join(rng.choice("ABO015") for _ in range(rng.randrange(1, 14))) for _ in range(40))]
+    ids = [(rng.choice("NS"), x) for x in tokens[1:]] + [("N", "AB1203"), ("S", "AB1203"), (None, "AB")]
+    readings = [(k % 30, rng.choice(("N", "S", None)), tokens[k % 30]) for k in range(90)]
+    asked, held = spark.createDataFrame(readings, "reading_id long, scan_school string, token string"), spark.createDataFrame(ids * 2, "scan_school string, id string")
+    got = lookup.pairs_of_school(asked, held).withColumn("score", similarity.ratios("token", "id"))
+    want = {(k, t, x, None if min(len(t), len(x)) > 60 else 2.0 * lcs(t, x) / (len(t) + len(x))) for k, s, t in readings for s2, x in ids if s and s == s2}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
