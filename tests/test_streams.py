@@ -125,6 +125,18 @@ def test_names_listed_days_later_are_taken_once(spark, tmp_path):
     assert feed.put(("a", late, at(late), 6, 1), ("a", late + 1, at(late + 1), 6, 1), ("gone", late, at(late), 5, 1), (None, None, at(late + 10), None, None)) == []
 
 
+def test_replay_makes_its_rows_once_for_all_files(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def beat(k):
+        made.add(1)
+        return k % 3
+
+    rows = spark.range(40).withColumn("host", F.udf(beat, "long")("id")).withColumn("ts", F.timestamp_micros(F.col("id") * 60 * 10**6)).select("host", "ts")
+    assert live.replay(rows, "ts", keyed.host_liveness, parts=4).count() == 80
+    assert made.value <= 80  # once to find the span of arrivals, once to keep them
+
+
 def test_hosts_fall_silent_by_a_timer(spark, tmp_path):
     feed = Feed(spark, tmp_path, "host long, ts timestamp", lambda e: keyed.host_liveness(e, delay="1 minute"))
     feed.put((1, at(0)), (1, at(0.5)), (2, at(0.9)))
