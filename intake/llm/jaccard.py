@@ -8,7 +8,8 @@ Candidates are first compared by SimHash prints of ``BITS`` bits over the sets,
 Of sets at the least index of a link a bit differs with probability 0.152, so that more than ``APART`` of 128 bits do with
 probability below 1e-8; sets of fewer than ``SURE`` shingles, where that bound is loose, are always compared by their texts.
 
-Equal sets fall together before any key is made. The sets of a key first meet its leader, each set at most ``LEADERS`` of all its leaders;
+Equal sets fall together before any key is made. Sets meet whose first prints are within two bits, as operator 3 finds them by Golay keys. As prints of linked sets may
+differ by more, sets meet under the keys of their prefixes too. The sets of a key first meet its leader, each set at most ``LEADERS`` of all its leaders;
 what is linked so is a group. Then, in keys that hold several groups, all sets of different groups meet that are in equal or adjacent
 length classes, if their prints and sketches allow. So a large group of copies costs a few
 comparisons a copy and not all its pairs, and no link between groups is passed over. A pair is tried at a shared key only if what both sets
@@ -22,7 +23,7 @@ one text; an empty table has no groups. Whole texts are read, however long: a se
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,8 +176,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
 
 
-def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_t1, _t2, root) for every distinct text of ``docs``, known by ``text_keys``; linked texts have one root."""
+def roots(docs: DataFrame, links: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
+    """(_t1, _t2, root) for every distinct text of ``docs``, known by ``text_keys``; linked texts have one root.
+
+    ``links`` gives the pairs (a, b) of near prints from distinct ones (fp).
+    """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     frequent = _frequent(texts)
     columns = ["_t1", "_t2", "set", "n", "f", "g", *ODD]
@@ -196,10 +200,11 @@ def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     read_in = cut(map_slices(texts.select(*text_keys(F.col("_text")), "_text"), ", ".join(f"{c} long" for c in columns) + ", heads array<long>", read))
     sets = cut(read_in.groupBy("_t1", "_t2").agg(F.first("set").alias("set")))
     known = read_in.groupBy("set").agg(*(F.first(c).alias(c) for c in columns[3:]))
+    close = _near_prints(known.select("set", "n", F.col("f").alias("fp")), links)
     keyed = read_in.select(F.posexplode("heads").alias("at", "key"), "set", "n", "f", "g").select("key", "set", "n", "f", "g", "at")
     met = cut(keyed.repartition(F.col("key")).sortWithinPartitions("key", "at", "set").mapInArrow(_met, "key long, set long, at long, leader long"))
     picked = sets.groupBy("set").agg(F.min(F.struct("_t1", "_t2")).alias("t")).select("set", "t.*")
-    edges = _verified(_few(met.where("leader is not null")), docs, text_col, picked)
+    edges = _verified(close.union(_few(met.where("leader is not null"))).distinct(), docs, text_col, picked)
     members = met.select("key", "set", "at").join(known, "set").join(components(edges).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     # keys whose sets are all in one group are done
     split = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
@@ -212,6 +217,17 @@ def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return sets.join(found, "set", "left").select("_t1", "_t2", F.coalesce("root", "set").alias("root"))
 
 
+def _near_prints(known: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of sets (set, n, fp) to compare: each print's sets with the least of them, and those of near prints; sizes must allow a link."""
+    least = cut(known.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("l")))
+    same = known.join(least, "fp").select("set", "n", F.col("l.set").alias("to"), F.col("l.n").alias("m"))
+    near_ones = links(least.select("fp"))
+    for end in ("a", "b"):
+        near_ones = near_ones.join(least.select(F.col("fp").alias(end), F.col("l").alias(f"{end}_l")), end)
+    pairs = same.union(near_ones.select("a_l.set", "a_l.n", "b_l.set", "b_l.n")).where(F.col("set") != F.col("to")).where(sizes_allow(F.col("n"), F.col("m")))
+    return pairs.select(F.least("set", "to").alias("a"), F.greatest("set", "to").alias("b")).distinct()
+
+
 def _may_link(x: str, y: str) -> Column:
     """``near``, and the bound of the parity sketches, as an expression over columns with these prefixes."""
     by_place = f"least({x}n - {x}at, {y}n - {y}at) * {sum(LIKE)} >= {LIKE[0]} * ({x}n + {y}n)"

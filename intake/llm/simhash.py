@@ -25,7 +25,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,9 +110,11 @@ def links(prints: DataFrame) -> DataFrame:
     def keys(fp: pd.Series) -> pd.Series:
         return pd.Series(_keys(fp.to_numpy(np.int64)))
 
-    keyed = cut(prints.select("fp", F.explode(keys("fp")).alias("key")))
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    shared = cut(keyed.join(sizes, "key"))
+    # most keys have one fingerprint: these are dropped in the one shuffle of all keys
+    order = Window.partitionBy("key").orderBy("fp")
+    keyed = prints.select("fp", F.explode(keys("fp")).alias("key")).withColumns({"_before": F.lag("fp").over(order), "_after": F.lead("fp").over(order)})
+    met = cut(keyed.where("_before is not null or _after is not null").select("fp", "key"))
+    shared = cut(met.join(met.groupBy("key").count(), "key"))
     pairs = (
         shared.where(F.col("count") <= SMALL).groupBy("key").agg(F.collect_list("fp").alias("g"))
         .select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> y > x and bit_count(x ^ y) <= 2), y -> struct(x as a, y as b))))")).alias("p"))
@@ -138,7 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
         rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     else:
-        rooted = distinct.join(jaccard.roots(docs, text_col), on)
+        rooted = distinct.join(jaccard.roots(docs, links, text_col), on)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select(*on, "component_id")
     return prints.join(named, on).select(*kept, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -148,7 +150,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` that stay if one row of each component of ``jaccard`` does: that with the least id, rows without an id last, and of rows with the same id the first by text."""
     on, text_keys = ["_t1", "_t2"], jaccard.text_keys(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), *text_keys).groupBy("_id", *on).count()
-    rooted = cut(rows.join(jaccard.roots(docs, text_col), on))
+    rooted = cut(rows.join(jaccard.roots(docs, links, text_col), on))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id")).getField("_id").alias("_least"))
     first = rooted.join(least, "root").where(F.col("_id").eqNullSafe(F.col("_least")))
     named = cut(first.join(first.groupBy("root").agg((F.sum("count") > 1).alias("_several")), "root").select("_id", *on, "root", "_several"))

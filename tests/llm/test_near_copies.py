@@ -8,6 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from intake.llm import jaccard
 
@@ -87,3 +88,14 @@ def test_rows_without_an_id_and_repeated_ids(spark):
     kept = stage(spark, table(spark, rows)).collect()
     want = [(None, text(k)) for k in range(5)] + [(1, text(9)), (7, text(20)), (7, text(21))]
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
+
+
+def test_stage_goes_by_golay_keys(spark, monkeypatch):
+    """Texts whose prints are within two bits are linked by operator 3's step alone, where no set meets a leader."""
+    base = [f"w{i}" for i in range(2000)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "end"])), (2, " ".join(f"o{i}" for i in range(300)))]
+    found = [jaccard.prints(jaccard.shingles(t))[0] for _, t in rows]
+    assert ((found[0] ^ found[1]) & jaccard._ALL).bit_count() <= 2
+    monkeypatch.setattr(jaccard, "_few", lambda led: led.select(F.col("set").alias("a"), F.col("leader").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "_may_link", lambda x, y: F.lit(False))
+    assert sorted(r.doc_id for r in stage(spark, table(spark, rows)).collect()) == [0, 2]
