@@ -130,7 +130,7 @@ def fuzzy_keys(roster: DataFrame) -> DataFrame:
 def _near(asked: DataFrame, ids: DataFrame, built: DataFrame | None = None) -> DataFrame:
     """Readings with the identifiers of their scope that have ``common`` characters in order in common with one of their forms: PROBE, id, score.
 
-    ``asked``: PROBE, scope, queries, n (length of the identifiers meant), common. Two strings have so many in common exactly if they share a subsequence of that length, so
+    ``asked``: PROBE, scope, n (length of the identifiers meant), common. Two strings have so many in common exactly if they share a subsequence of that length, so
     both sides are keyed by these and no other pair meets. Lengths that would need more than ``DROPPED`` characters to go on either side, which are rare, meet by scope and length.
     """
     wanted = asked.select("scope", "n", "common").distinct()
@@ -139,11 +139,12 @@ def _near(asked: DataFrame, ids: DataFrame, built: DataFrame | None = None) -> D
     keyed_ids = _keyed(ids.join(wanted, ["scope", "n"]), F.array("id"), F.col("n"), "scope", "n", "common", "id")
     if built is not None:
         keyed_ids = keyed_ids.unionByName(built)
-    keyed = _keyed(asked, F.col("queries"), F.length("token"), *PROBE, "scope", "n", "common", "queries")
+    keyed = _keyed(asked, _queries(), F.length("token"), *PROBE, "scope", "n", "common")
     far = (F.col("n") - F.col("common") > DROPPED) | (F.length("token") - F.col("common") > DROPPED)
-    met = keyed.join(keyed_ids, ["key", "scope", "n", "common"]).select(*PROBE, "queries", "id")
-    met = met.unionByName(asked.where(far).join(ids, ["scope", "n"]).select(*PROBE, "queries", "id")).groupBy(*PROBE, "id").agg(F.any_value("queries").alias("queries"))
-    scores = F.transform("queries", lambda q: 200.0 * similarity.lcs(q, F.col("id")) / (F.length(q) + F.length("id")) / 100.0)
+    met = keyed.join(keyed_ids, ["key", "scope", "n", "common"]).select(*PROBE, "id")
+    # a pair meets at each key it shares: only its strings are shuffled to make it one, its forms are made again
+    met = met.unionByName(asked.where(far).join(ids, ["scope", "n"]).select(*PROBE, "id")).distinct()
+    scores = F.transform(_queries(), lambda q: 200.0 * similarity.lcs(q, F.col("id")) / (F.length(q) + F.length("id")) / 100.0)
     return met.select(*PROBE, "id", F.array_max(scores).alias("score"))
 
 
@@ -156,7 +157,7 @@ def constrained_repair(scoped: DataFrame, roster: DataFrame, built: DataFrame |
     ids = _candidates(roster)
     lengths = ids.select("scope", "n").distinct()
     m, n = F.length("token"), F.col("n")
-    asked = scoped.where(m >= 6).withColumn("queries", _queries())
+    asked = scoped.where(m >= 6)
     close = asked.join(lengths, "scope").where(F.abs(n - m) <= MAX_LENGTH_DELTA).withColumn("common", _least_common(m, n, F.lit(MIN_SCORE)))
     takeable = cut(_near(close.where("common <= n and common <= length(token)"), ids, built))
     best = _accept(takeable, MIN_SCORE).select(*PROBE, (F.col("score") - MIN_MARGIN).alias("least"))

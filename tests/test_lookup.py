@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_text import plain_prefix_score
 
 from intake.functions import similarity
@@ -138,3 +139,11 @@ def test_pairs_of_a_school_come_once(spark):
     got = lookup.pairs_of_school(asked, held).withColumn("score", similarity.ratios("token", "id"))
     want = {(k, t, x, None if min(len(t), len(x)) > 60 else 2.0 * lcs(t, x) / (len(t) + len(x))) for k, s, t in readings for s2, x in ids if s and s == s2}
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_pairs_carry_strings_only(scene):
+    """What is shuffled to make a pair one holds no arrays, which would be sorted."""
+    _, _, readings, people_df = scene
+    asked = readings.withColumns({"n": F.lit(12), "common": F.lit(10)})
+    plan = lookup._near(asked, lookup._candidates(people_df))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
