@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intake.functions.text import as_id, clean_token, id_from_line, is_grade_label, label_score, reading_class, transliterate
+from intake.shared import cut
 
 # The blank forms' rules and value boxes as parts of the page, and the limits of a fit.
 LADDERS = {
@@ -155,12 +156,13 @@ def best_label(lines: DataFrame, page: str = "page_id") -> DataFrame:
     Lines: ``page``, position, text, confidence, x_min, x_max, y_mid, height. The best label has the highest score + confidence, and 1.5 more if
     it holds an identifier; without a label it is the first line under the topmost grade label, 5 to 140 below. The first of equals, in order of position.
     """
-    known = lines.withColumns({"_l": label_score("text"), "_parsed": id_from_line("text"), "_token": clean_token("text")})
+    # texts are parsed once, not again by each of the steps below
+    known = cut(lines.withColumns({"_l": label_score("text"), "_parsed": id_from_line("text"), "_token": clean_token("text"), "_is_grade": is_grade_label("text")}))
     ranked = F.coalesce(F.when(F.col("_l.language").isNotNull(), F.col("_l.score")), F.lit(1.5)) + F.col("confidence") + F.when(F.col("_parsed") != "", 1.5).otherwise(0.0)
     line = F.struct("text", F.coalesce("_l.language", F.lit("english")).alias("language"), "confidence", F.col("_parsed").alias("parsed"), "x_max", "y_mid", "height")
     labels = known.where("_l.language is not null or _parsed <> ''").groupBy(page).agg(F.max_by(line, F.struct(ranked, -F.col("position"))).alias("label"))
 
-    grades = lines.where(is_grade_label("text")).groupBy(page).agg(F.min("y_mid").alias("_grade"))
+    grades = known.where("_is_grade").groupBy(page).agg(F.min("y_mid").alias("_grade"))
     language = F.when(F.col("text").rlike(MARATHI), "marathi").when(F.col("text").rlike(HINDI), "hindi").otherwise("english")
     under = known.join(grades, page).join(labels, page, "left_anti").where((F.col("y_mid") > F.col("_grade") + UNDER_GRADE[0]) & (F.col("y_mid") - F.col("_grade") <= UNDER_GRADE[1]))
     guessed = under.withColumn("_l", F.struct(language.alias("language"), F.lit(0.0).alias("score"))).groupBy(page).agg(F.min_by(line, F.struct("y_mid", "position")).alias("label"))

@@ -113,3 +113,9 @@ def test_page_of_wide_gaps_takes_nearest_rule():
     heights = [0.1, 0.35, 0.36, 0.9]
     fit = layout.fit_ladders([heights])[0]
     assert fit is None or abs(fit["error"] - plain_fit(heights)[0]) < 1e-9
+
+
+def test_labels_are_parsed_once(spark):
+    """The steps after the parsing read its rows: none parses texts again."""
+    plan = layout.best_label(spark.createDataFrame([], LINE))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan
