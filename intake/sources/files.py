@@ -67,7 +67,7 @@ def put_in_tree(rows: DataFrame, folder: str, parts: list[str], key: str) -> Non
     spark = rows.sparkSession
     rows = cut(rows)
     if not _exists(spark, folder):
-        rows.write.mode("append").partitionBy(*parts).parquet(folder)
+        rows.repartition(*parts).write.mode("append").partitionBy(*parts).parquet(folder)
         return
     there = spark.read.schema(rows.schema).parquet(folder)
     keys = rows.select(key).distinct()
@@ -96,7 +96,9 @@ def document_tree(documents: DataFrame) -> DataFrame:
 
 def write_document_tree(documents: DataFrame, folder: str, key: str = "path") -> None:
     """Documents under school, grade and division, beside those of earlier calls. With the key of a document its old copy goes when its path changes; by path, one of the same path is replaced."""
-    put_in_tree(document_tree(documents), folder, ["school", "grade", "division"], key)
+    # names take far longer to make than to read, so that few large splits are dealt first
+    dealt = documents.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism)
+    put_in_tree(document_tree(dealt), folder, ["school", "grade", "division"], key)
 
 
 def settled_files(files: DataFrame, judged: DataFrame) -> DataFrame:

@@ -148,3 +148,10 @@ def test_numbered_within_large_keys(spark, empty):
     for k, v in sorted(rows, key=lambda r: (r[0] is not None, r)):
         by.setdefault(k, []).append(v)
     assert sorted(((r.k, r.v, r.n) for r in got), key=str) == sorted(((k, v, i + 1) for k, vs in by.items() for i, v in enumerate(vs)), key=str)
+
+
+def test_first_call_writes_a_file_a_folder(spark, tmp_path):
+    """Rows of many tasks are brought together by folder before the first write too."""
+    rows = spark.range(40).selectExpr("cast(id as string) as document_id", "'S' || id % 2 as school_name", "'5' as grade_name", "'A' as division_name", "'n' || id as student_name", "'' as student_id", "'B1-1' as code")
+    files.write_document_tree(rows.repartition(8), str(tmp_path / "tree"), "document_id")
+    assert len(list((tmp_path / "tree").rglob("*.parquet"))) == 2
