@@ -93,6 +93,9 @@ def merge_links(df: DataFrame, old: str, new: str) -> DataFrame:
 def recheck(corrections: DataFrame, log: DataFrame, exact: DataFrame, shared: DataFrame) -> DataFrame:
     """What becomes of each correction. ``corrections``: id, corrected; ``exact``: id, student_id, in_scope of the exact hit, if any; ``shared``: student_id."""
     open_ = log.where("not found_in_db").select("id", F.lit(True).alias("_open"))
-    joined = corrections.join(open_, "id", "left").join(exact, "id", "left").join(shared.select(F.col("student_id").alias("_shared")), F.col("student_id") == F.col("_shared"), "left")
-    outcome = F.when(F.col("_open").isNull(), "gone").when(F.col("student_id").isNull(), "no_match").when(F.col("in_scope"), "resolved").when(F.col("_shared").isNotNull(), "shared_id").otherwise("not_exact_without_scope")
+    # the hits meet the shared identifiers before the corrections, as those without a hit would all go to one task; only their outcome goes on, which sorts in less memory
+    hits = exact.where("student_id is not null").join(shared.select(F.col("student_id").alias("_shared")), F.col("student_id") == F.col("_shared"), "left")
+    hit = F.when(F.col("in_scope"), "resolved").when(F.col("_shared").isNotNull(), "shared_id").otherwise("not_exact_without_scope")
+    joined = corrections.join(open_, "id", "left").join(hits.select("id", hit.alias("_hit")), "id", "left")
+    outcome = F.when(F.col("_open").isNull(), "gone").otherwise(F.coalesce("_hit", F.lit("no_match")))
     return joined.select("id", "corrected", outcome.alias("outcome"))

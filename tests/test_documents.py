@@ -36,3 +36,14 @@ def test_sign_off_needs_what_was_shown(spark):
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     marked = lambda *guard: changes.mark_all_reviewed(log, pending, shown, *guard, at).where("reviewed_at is not null").count()
     assert (marked(2, "t", True), marked(3, "t", True), marked(2, "u", True), marked(2, "t", False)) == (2, 0, 0, 0)
+
+
+def test_recheck_outcomes_and_no_null_key(spark):
+    """Each outcome; corrections without a hit don't meet the shared identifiers, where all would go to one task."""
+    df = spark.createDataFrame
+    asked = df([(i, f"A{i}") for i in range(6)], "id long, corrected string")
+    log = df([(i, i == 0) for i in range(5)], "id long, found_in_db boolean")
+    exact = df([(0, "A0", True), (1, "A1", True), (2, "A2", False), (3, "A3", False), (5, "A5", True)], "id long, student_id string, in_scope boolean")
+    got = changes.recheck(asked, log, exact, df([("A1",), ("A2",)], "student_id string"))
+    assert [r.outcome for r in got.orderBy("id").collect()] == ["gone", "resolved", "shared_id", "not_exact_without_scope", "no_match", "gone"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("isnotnull(student_id#") == 2
