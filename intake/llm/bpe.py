@@ -35,7 +35,7 @@ from intake.llm.common import list_array, map_slices
 #: Words with more symbols than this are merged with a heap.
 LONG_WORD = 200
 #: Words held in a cache before it starts anew; longer words are not kept.
-CACHE_WORDS, CACHE_WORD_CHARS = 50_000, 100
+CACHE_WORDS, CACHE_WORD_CHARS = 150_000, 100
 #: Unicode White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 NO_RANK = 1 << 60
