@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intake.llm.common import cut, list_array, map_slices, words_of
+from intake.llm.common import cut, list_array, map_slices, sifted, words_of
 from intake.llm.components import components
 
 #: The least Jaccard index of a link, as a fraction.
@@ -225,7 +225,7 @@ def _near_prints(known: DataFrame, links: Callable[[DataFrame], DataFrame]) -> D
     for end in ("a", "b"):
         near_ones = near_ones.join(least.select(F.col("fp").alias(end), F.col("l").alias(f"{end}_l")), end)
     pairs = same.union(near_ones.select("a_l.set", "a_l.n", "b_l.set", "b_l.n")).where(F.col("set") != F.col("to")).where(sizes_allow(F.col("n"), F.col("m")))
-    return pairs.select(F.least("set", "to").alias("a"), F.greatest("set", "to").alias("b")).distinct()
+    return pairs.select(F.least("set", "to").alias("a"), F.greatest("set", "to").alias("b"))
 
 
 def _may_link(x: str, y: str) -> Column:
@@ -239,14 +239,16 @@ def _may_link(x: str, y: str) -> Column:
 def _few(led: DataFrame) -> DataFrame:
     """Pairs (a, b) of each set with at most ``LEADERS`` of its leaders; a set has no more of them than shingles in its prefix."""
     chosen = led.groupBy("set").agg(F.slice(F.sort_array(F.collect_set("leader")), 1, LEADERS).alias("l"))
-    return chosen.select("set", F.explode("l").alias("l")).select(F.least("set", "l").alias("a"), F.greatest("set", "l").alias("b")).distinct()
+    return chosen.select("set", F.explode("l").alias("l")).select(F.least("set", "l").alias("a"), F.greatest("set", "l").alias("b"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, picked: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that are linked, by their texts; written, as two steps need them."""
     pairs = cut(pairs)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(picked, "set")
-    texts = cut(docs.select(*text_keys(F.col(text_col)), F.col(text_col).alias("_text")).join(named, ["_t1", "_t2"]).groupBy("set").agg(F.first("_text").alias("_text")))
+    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(picked, "set"))
+    # few texts are wanted: the others stay where they are; copies of a text are made one before they travel
+    wanted = sifted(docs.select(*text_keys(F.col(text_col)), F.col(text_col).alias("_text")), F.col("_t1"), named.select("_t1"), "_may").where("_may")
+    texts = cut(wanted.groupBy("_t1", "_t2").agg(F.first("_text").alias("_text")).join(named, ["_t1", "_t2"]).select("set", "_text"))
 
     def compare():
         known: dict[int, np.ndarray] = {}

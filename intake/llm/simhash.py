@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intake.llm import jaccard
-from intake.llm.common import cut, words_of
+from intake.llm.common import cut, sifted, words_of
 from intake.llm.components import components
 
 #: Keys with at most this many fingerprints are compared pair by pair.
@@ -151,12 +151,17 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     on, text_keys = ["_t1", "_t2"], jaccard.text_keys(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), *text_keys).groupBy("_id", *on).count()
     rooted = cut(rows.join(jaccard.roots(docs, links, text_col), on))
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id")).getField("_id").alias("_least"))
-    first = rooted.join(least, "root").where(F.col("_id").eqNullSafe(F.col("_least")))
-    named = cut(first.join(first.groupBy("root").agg((F.sum("count") > 1).alias("_several")), "root").select("_id", *on, "root", "_several"))
+    counted = rooted.groupBy("root", "_id").agg(F.sum("count").alias("n"))
+    least = counted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "n")).alias("l")).select("root", F.col("l._id").alias("_least"), (F.col("l.n") > 1).alias("_several"))
+    marked = cut(rooted.join(least, "root").select("_id", *on, "root", "_several", F.col("_id").eqNullSafe(F.col("_least")).alias("_stays")))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), *text_keys)
-    kept = keyed.join(named, [keyed[c] == named[c] for c in on] + [F.col("_i").eqNullSafe(F.col("_id"))]).select("_row", "root", "_several")
+    # rows that surely stay are written where they are read; only the others meet their component
+    both = F.xxhash64("_t1", "_t2", F.struct("_i"))
+    doubtful = marked.where("_several or not _stays").withColumnRenamed("_id", "_i").select(both)
+    keyed = sifted(keyed, both, doubtful, "_doubtful")
+    named = marked.where("_stays")
+    kept = keyed.where("_doubtful").join(named, [keyed[c] == named[c] for c in on] + [F.col("_i").eqNullSafe(F.col("_id"))]).select("_row", "root", "_several")
     # components with several rows of the least id are rare: only their rows are ordered
     order = F.struct(F.coalesce(F.col("_row")[text_col], F.lit("")), F.xxhash64(*(F.col("_row")[c] for c in docs.columns)))
     single, several = kept.where("not _several").select("_row.*"), kept.where("_several").groupBy("root").agg(F.min_by("_row", order).alias("_row"))
-    return single.unionByName(several.select("_row.*"))
+    return keyed.where("not _doubtful").select("_row.*").unionByName(single).unionByName(several.select("_row.*"))

@@ -10,7 +10,8 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from intake.llm import jaccard
+from intake.llm import components, jaccard, simhash
+from intake.llm.common import sifted
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -99,3 +100,42 @@ def test_stage_goes_by_golay_keys(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_few", lambda led: led.select(F.col("set").alias("a"), F.col("leader").alias("b")).limit(0))
     monkeypatch.setattr(jaccard, "_may_link", lambda x, y: F.lit(False))
     assert sorted(r.doc_id for r in stage(spark, table(spark, rows)).collect()) == [0, 2]
+
+
+def test_sifted_misses_no_key(spark):
+    df = spark.range(-3000, 3000).select(F.xxhash64("id").alias("h"), "id")
+    keys = df.where("id % 10 = 0").select("h")
+    found = {r.id for r in sifted(df, F.col("h"), keys.union(keys), "may").where("may").collect()}
+    assert {k for k in range(-3000, 3000) if k % 10 == 0} <= found
+    assert len(found) < 700
+    assert sifted(df, F.col("h"), keys.limit(0), "may").where("may").count() == 0
+
+
+def test_rows_that_surely_stay_are_not_shuffled(spark, monkeypatch):
+    """Only rows of which one of their component stays meet the others, not every text."""
+    asked, sift = [], simhash.sifted
+
+    def seen(df, key, keys, to):
+        asked.append(keys.count())
+        return sift(df, key, keys, to)
+
+    monkeypatch.setattr(simhash, "sifted", seen)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    gone = docs.count() - stage(spark, docs).count()
+    assert 0 < gone == asked[0]
+
+
+def test_components_in_few_exchanges(spark, monkeypatch):
+    """A round deals its edges out three times; chains and stars get their least node."""
+    plans, cut = [], components.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return cut(df)
+
+    monkeypatch.setattr(components, "cut", seen)
+    edges = [(k, k + 1) for k in range(100)] + [(k, 500) for k in range(501, 560)] + [(7, 7), (900, 901), (901, 900)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(101), 0) | dict.fromkeys(range(500, 560), 500) | {900: 900, 901: 900}
+    assert len(plans) > 2
+    assert max(plans) <= 3
