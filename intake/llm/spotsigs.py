@@ -135,10 +135,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counted = rows.where(F.pmod("set", F.lit(ORDER_FROM)) == 0).select(F.explode("spots").alias("s")).groupBy("s").count()
     frequent = F.lit([r.s for r in counted.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()]).cast("array<int>")
     n = F.size("spots")
-    ordered = F.concat(F.array_except("spots", frequent), F.array_intersect("spots", frequent))
+    ordered = F.concat(F.array_except("spots", "_common"), F.col("_common"))
     heads = F.slice(ordered, F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 1)
     odd = [F.expr(f"aggregate(spots, 0L, (a, x) -> a ^ if((x >> 6 & 3) = {k}, shiftleft(1L, x & 63), 0L))").alias(p) for k, p in enumerate(ODD)]
-    sketched = sets.where(n > 0).select("set", n.alias("n"), *odd, F.posexplode(heads).alias("at", "key"))
+    # sketches are made before the keys are exploded, else for each key again
+    sketches = sets.where(n > 0).withColumn("_common", F.array_intersect("spots", frequent)).select("set", n.alias("n"), *odd, heads.alias("heads"))
+    sketched = sketches.select("set", "n", *ODD, F.posexplode("heads").alias("at", "key"))
     order = Window.partitionBy("key").orderBy("at", "set")
     one = F.struct("set", "n", "at", *ODD)
     met = cut(sketched.select("*", F.first(one).over(order).alias("leader"), F.lead("set").over(order).alias("_more")).where("leader.set <> set or _more is not null").drop("_more"))

@@ -85,3 +85,18 @@ def test_large_group_and_odd_rows(spark):
     assert classes(spark, df) == brute([(i, spots(t)) for i, t in rows])
     assert spotsigs.classes(df.limit(0)).count() == 0
     assert spotsigs.classes(df.withColumn("doc_id", F.lit(None).cast("long"))).where("class_id is not null").count() == 0
+
+
+def test_sketches_are_made_once_a_set(spark, monkeypatch):
+    """The sums over a set's signatures are not worked out again for each of its keys."""
+    plans, cut = [], spotsigs.cut
+
+    def seen(df):
+        if "leader" in df.columns:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(spotsigs, "cut", seen)
+    spotsigs.classes(spark.createDataFrame([(1, "the cat sat on the mat"), (2, "the dog sat on the mat")], "doc_id long, text string"))
+    assert len(plans) == 1
+    assert "aggregate(" not in plans[0][: plans[0].index("Generate posexplode")]
