@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intake.llm import bpe, mixing, quality, simhash, toxicity
-from intake.llm.common import shared_dir, table
+from intake.llm.common import bound_batches, shared_dir, table, unbound_batches
 from intake.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't score as toxic. Texts without a known term (null and blank ones too) get the share of toxic rows among such labelled rows; repeated rows stay or go together."""
+    bound_batches(spark)
     index = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, index, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -33,6 +34,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id; of its repeated rows the first by content. Null, empty and blank texts are one group; a row without an id stays only in a group without ids."""
+    bound_batches(spark)
     return simhash.representatives(docs).select(*COLUMNS)
 
 
@@ -43,6 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, a row for each; null and empty texts have none."""
+    bound_batches(spark)
     return bpe.code(docs, tokenizer_path(), keep=("doc_id", "lang", "source"))
 
 
@@ -68,11 +71,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. A stage's rows are removed once the next has written its own; those of the last stay, as the result reads them."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            _remove(spark, before)
-        before = path
+    batches = bound_batches(spark)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                _remove(spark, before)
+            before = path
+    finally:
+        unbound_batches(spark, batches)
     return docs

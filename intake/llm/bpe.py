@@ -6,7 +6,8 @@ pair of neighbours; the lowest rank is found by a scan, its boundary is deleted,
 beside it are refreshed. Words beyond ``LONG_WORD`` symbols take a heap with the same order of merges,
 as scans over them would take quadratic time.
 
-Encoding is a map over rows: no shuffle, and memory is bounded by one Arrow batch and the word cache.
+Encoding is a map over rows: no shuffle, and memory is bounded by one Arrow batch and the word cache, which a worker
+drops when a task of another operator begins.
 
 Defined results: a null text counts as empty and gives no tokens; repeated rows are encoded one by
 one; an empty table gives an empty table; other columns of the input are kept, except that a column
@@ -20,7 +21,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intake.llm.common import list_array, map_slices
+from intake.llm.common import list_array, map_slices, worker_cache
 
 #: Words with more symbols than this are merged with a heap.
 LONG_WORD = 200
@@ -152,7 +152,7 @@ class Cache(dict):
         return found
 
 
-@lru_cache(maxsize=2)
+@worker_cache("bpe", maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
 
@@ -176,7 +176,7 @@ def code(docs: DataFrame, path: str, text_col: str = "text", ids_to: str = "toke
 
         return work
 
-    return map_slices(given, T.StructType(fields), make)
+    return map_slices(given, T.StructType(fields), make, keeps="bpe")
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intake.llm.common import cut, list_array, map_slices, sifted, words_of
+from intake.llm.common import cut, drop_kept, give_back, list_array, map_slices, sifted, words_of
 from intake.llm.components import components
 
 #: The least Jaccard index of a link, as a fraction.
@@ -154,6 +154,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["key", "set", "at", "leader"])
 
+    drop_kept()
     last, first, before, rows = None, None, None, []
     for batch in batches:
         # most keys have one set: only rows whose key may have another are looked at; the last row's is not known yet
@@ -174,6 +175,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             yield out(rows)
             rows = []
+    give_back()
 
 
 def roots(docs: DataFrame, links: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:

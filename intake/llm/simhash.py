@@ -19,7 +19,6 @@ keep their rows; an empty table gives an empty table; columns other than the id
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -30,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intake.llm import jaccard
-from intake.llm.common import cut, sifted, words_of
+from intake.llm.common import cut, drop_kept, sifted, words_of, worker_cache
 from intake.llm.components import components
 
 #: Keys with at most this many fingerprints are compared pair by pair.
 SMALL = 16
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 15
+#: Vectors that are decoded at once.
+_DECODED = 1 << 18
 #: (first bit, bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code of length 23.
@@ -70,18 +71,25 @@ def fingerprints(text: Column, size: int = 3) -> Column:
     return simhash(F.coalesce(text, F.lit("")))
 
 
-@lru_cache(maxsize=1)
-def _decoder() -> np.ndarray:
-    """Index of the nearest codeword of every 23-bit vector."""
-    vectors = np.arange(1 << 23, dtype=np.uint32)
+def _syndrome(vectors: np.ndarray) -> np.ndarray:
     syndrome = vectors.copy()
     for bit in range(22, 10, -1):
         syndrome ^= np.where(syndrome >> bit & 1, np.uint32(_GOLAY << (bit - 11)), np.uint32(0))
+    return syndrome
+
+
+@worker_cache("golay", maxsize=1)
+def _decoder() -> np.ndarray:
+    """Index of the nearest codeword of every 23-bit vector. Made block by block: a step over all of them at once takes 32 MB."""
     one = [1 << k for k in range(23)]
     errors = [0, *one, *(a | b for a in one for b in one if a < b), *(a | b | c for a in one for b in one if a < b for c in one if b < c)]
     error_of = np.zeros(1 << 11, np.uint32)
-    error_of[syndrome[errors]] = errors
-    return ((vectors ^ error_of[syndrome]) >> 11).astype(np.uint16)
+    error_of[_syndrome(np.array(errors, np.uint32))] = errors
+    out = np.empty(1 << 23, np.uint16)
+    for start in range(0, len(out), _DECODED):
+        vectors = np.arange(start, start + _DECODED, dtype=np.uint32)
+        out[start : start + _DECODED] = (vectors ^ error_of[_syndrome(vectors)]) >> 11
+    return out
 
 
 def golay_keys(segment: np.ndarray, bits: int) -> np.ndarray:
@@ -108,6 +116,7 @@ def links(prints: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(fp: pd.Series) -> pd.Series:
+        drop_kept("golay")
         return pd.Series(_keys(fp.to_numpy(np.int64)))
 
     # most keys have one fingerprint: these are dropped in the one shuffle of all keys

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intake.llm.common import list_array, map_slices
+from intake.llm.common import drop_kept, give_back, list_array, map_slices
 
 #: Most labelled rows in the index (in expectation; ids are drawn by their hash) and most terms.
 MAX_LABELLED, MAX_TERMS = 12_000, 8192
@@ -126,6 +126,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str) -> tu
     """The number of documents, and of those with each term, over all documents."""
 
     def run(batches):
+        drop_kept()
         known, n, total = Terms(terms), 0, np.zeros(len(terms), np.int64)
         for batch in batches:
             n += batch.num_rows
@@ -133,6 +134,8 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str) -> tu
                 total[list(known.counts(text))] += 1
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(total[hit], n))], ["term", "n"])
+        del known
+        give_back()
 
     found = {r.term: r.n for r in docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(terms))], np.int64)
