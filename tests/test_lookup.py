@@ -147,3 +147,24 @@ def test_pairs_carry_strings_only(scene):
     asked = readings.withColumns({"n": F.lit(12), "common": F.lit(10)})
     plan = lookup._near(asked, lookup._candidates(people_df))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_ratios_are_made_block_by_block(spark, monkeypatch):
+    """Schools of many blocks, null and very long strings, repeats and readings of several schools: each pair once, with the ratio of plain loops, and no pair goes to Python."""
+    monkeypatch.setattr(lookup, "ASKED", 4), monkeypatch.setattr(lookup, "HELD", 3), monkeypatch.setattr(lookup, "BLOCKS", 2)
+    rng = random.Random(9)
+    tokens = ["", None, "A", "अआ0", "Q" * 60, "Q" * 61, "AB" * 35, *("".join(rng.choice("ABO015") for _ in range(rng.randrange(1, 19))) for _ in range(40))]
+    ids = [(rng.choice("NS"), x) for x in tokens] + [("N", "AB1203"), ("S", "AB1203"), (None, "AB")]
+    readings = [(k % 47, rng.choice(("N", "S", None)), tokens[k % 47]) for k in range(140)]
+    asked, held = spark.createDataFrame(readings, "reading_id long, scan_school string, token string"), spark.createDataFrame(ids * 2, "scan_school string, id string")
+
+    def score(t, x):
+        if t is None or x is None or min(len(t), len(x)) > 60:
+            return None
+        return round(2.0 * lcs(t, x) / (len(t) + len(x)), 4) if t or x else 1.0
+
+    got = lookup.ratios_of_school(asked, held, digits=4)
+    want = {(k, x, score(t, x)) for k, s, t in readings for s2, x in ids if s and s == s2}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() > 16
