@@ -168,3 +168,23 @@ def test_ratios_are_made_block_by_block(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.rdd.getNumPartitions() > 16
+
+
+@pytest.mark.parametrize("most", [0, 99])
+def test_blocks_of_a_scope_change_nothing(scene, monkeypatch, most):
+    """Many small blocks, and scopes too large for them, give what one block gives; only strings are shuffled where a scope has blocks, not the tens of keys that each has."""
+    _, _, readings, people_df = scene
+    plain = {stage: found(stage(readings, people_df)) for stage in (lookup.constrained_repair, lookup.digit_suffix)}
+    monkeypatch.setattr(lookup, "READ", 100), monkeypatch.setattr(lookup, "KNOWN", 40), monkeypatch.setattr(lookup, "MOST", most)
+    assert {stage: found(stage(readings, people_df)) for stage in plain} == plain and all(plain.values())
+    asked = readings.withColumns({"n": F.lit(12), "common": F.lit(10)})
+    plan = lookup._near(asked, lookup._candidates(people_df))._jdf.queryExecution().executedPlan().toString()
+    assert ("subsequence_keys" in plan) == (most == 0)
+
+
+def test_shared_subsequences_in_small_pieces(monkeypatch):
+    monkeypatch.setattr(similarity, "CELLS", 60)
+    rng = random.Random(3)
+    a, b = (["".join(rng.choice("ABO0") for _ in range(n)) for _ in range(40)] for n in (7, 6))
+    got = {(int(i), int(j)) for x, y in similarity._sharing(a, b, 5) for i, j in zip(x, y)}
+    assert got == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if lcs(x, y) >= 5} and got
