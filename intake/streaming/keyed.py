@@ -10,6 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -106,56 +110,133 @@ def _run(events: DataFrame, clock: Column, delay: str, key: str, columns: list[C
 
 
 _PLACED = "file_id long, folder_id int, created long, batch_id long, batch_school string, place string, tail_batch_id long, tail_school string, late string, too_late boolean"
+_EVENT = pa.schema([("us", pa.int64()), ("id", pa.int64()), ("kind", pa.string()), ("school", pa.string())])
+#: Keys that the files of a folder are dealt over, each of which has all its marks; rows of a piece of state or output.
+SHARES, PIECE = 4, 1 << 16
+NOTHING = -(1 << 63)
 
 
-class _Attribution(InOrder):
-    rows, order = "us long, file int, id long, kind string, school string", 3
-    out = _PLACED
-    memory = "now_id long, now_school string, opened long, closed long, before_id long, before_school string, before_closed long"
+def _pack(rows: pa.Table) -> list[tuple[bytes]]:
+    """Rows as pieces of bytes, for a list state."""
+    return [(b.schema.serialize().to_pybytes() + b.serialize().to_pybytes(),) for b in rows.combine_chunks().to_batches(PIECE)]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.waiting = handle.getListState("waiting", "us long, id long")
 
-    def fold(self, key, kept, due, passed):
-        now, out = list(kept) if kept else None, []
-        for at, _, number, kind, school in due:
-            if kind == "file":
-                if now is None:
-                    self.waiting.appendValue((at, number))
-                else:
-                    out.append(self.place(key, now, at, number))
-                continue
-            if kind in ("start", "stop") and now is not None and now[3] is None:
-                now[3] = at
-            if kind == "start":
-                first = now is None
-                now = [number, school, at, None, *((None, None, None) if first else (now[0], now[1], now[3]))]
-                if first and self.waiting.exists():
-                    out += [self.place(key, now, *w) for w in self.waiting.get()]
-                    self.waiting.clear()
-        return tuple(now) if now else None, out, None
-
-    def place(self, folder, now, at, number):
-        number_, school, opened, closed, tail, tail_school, tail_closed = now
-        if closed is not None and at >= closed:
-            late = "grace" if at - closed < micros(GRACE) else "leftover" if at - closed < micros(WATCH_AFTER) else "late"
-            return self.row(number, folder, at, None, None, "set_aside", None, None, late, False)
-        tailed = tail_closed is not None and opened <= at < tail_closed + micros(LATE_TAIL) and tail_school != school
-        return self.row(number, folder, at, number_, school, "batch", tail if tailed else None, tail_school if tailed else None, None, False)
+def _unpack(pieces: Iterator[tuple]) -> pa.Table:
+    return pa.Table.from_batches([b for (piece,) in pieces for b in pa.ipc.open_stream(bytes(piece))], _EVENT)
 
-    def too_late(self, key, values):
-        return self.row(values[2], key, values[0], None, None, None, None, None, None, True)
+
+class _Attribution(StatefulProcessor):
+    """As ``InOrder``, over whole batches: a folder's marks are folded in order, and its files find theirs by time. ``key``: folder ('' for none) and share.
+
+    Keys and numbers come without nulls (``NOTHING``), which would make their whole batch floats.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buffer = handle.getListState("buffer", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.kept = handle.getValueState("kept", "now_id long, now_school string, opened long, closed long, before_id long, before_school string, before_closed long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if key[0] == "":
+            return
+        passed, pieces, least = timerValues.getCurrentWatermarkInMs(), [], None
+        for frame in rows:
+            some = pa.Table.from_pandas(frame[_EVENT.names], _EVENT, preserve_index=False)
+            late = pc.less(some["us"], passed * 1000)
+            gone, fresh = some.filter(late), some.filter(pc.invert(late))
+            if key[1] != 0:  # a mark has a row in each share
+                gone = gone.filter(pc.equal(gone["kind"], "file"))
+            if gone.num_rows:
+                yield self.rows(key[0], gone["us"], gone["id"], too_late=True)
+            if fresh.num_rows:
+                pieces += _pack(fresh)
+                first = pc.min(fresh["us"]).as_py()
+                least = first if least is None else min(least, first)
+        if pieces:
+            self.buffer.appendList(pieces)
+            self.handle.registerTimer(least // 1000 + 1)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = _unpack(self.buffer.get()) if self.buffer.exists() else _EVENT.empty_table()
+        due = pc.less(held["us"], passed * 1000)
+        rest, held = held.filter(pc.invert(due)), held.filter(due)
+        if not held.num_rows:
+            return
+        if rest.num_rows:
+            self.buffer.put(_pack(rest))
+            self.handle.registerTimer(pc.min(rest["us"]).as_py() // 1000 + 1)
+        else:
+            self.buffer.clear()
+        now = tuple(self.kept.get()) if self.kept.exists() else None
+        is_file = pc.fill_null(pc.equal(held["kind"], "file"), False)
+        marks, files = held.filter(pc.is_in(held["kind"], pa.array(["start", "stop"]))), held.filter(is_file)
+        if now is None and self.waiting.exists():
+            files = pa.concat_tables([_unpack(self.waiting.get()), files])
+        states, times = ([] if now is None else [now]), ([] if now is None else [NOTHING])
+        for mark in marks.sort_by([("us", "ascending"), ("id", "ascending")]).to_pylist():
+            at = mark["us"]
+            if now is not None and now[3] is None:
+                now = (*now[:3], at, *now[4:])
+            if mark["kind"] == "start":
+                now = (mark["id"], mark["school"], at, None, *((None, None, None) if now is None else (now[0], now[1], now[3])))
+            if now is not None:
+                states.append(now)
+                times.append(at)
+        if now is None:
+            if files.num_rows:
+                self.waiting.put(_pack(files))
+            return
+        if times[0] != NOTHING:  # files that came before the first batch belong to it as it opened
+            self.waiting.clear()
+        self.kept.update(now)
+        yield from self.place(key[0], states, np.array(times), files)
+
+    def place(self, folder: str, states: list[tuple], times: np.ndarray, files: pa.Table) -> Iterator[pd.DataFrame]:
+        """Rows of files by the state of their folder at their time, or the first one."""
+        of = {c: pa.array(v, t) for (c, t), v in zip((("id", pa.int64()), ("school", pa.string()), ("opened", pa.int64()), ("closed", pa.int64()), ("tail", pa.int64()), ("tail_school", pa.string()), ("tail_closed", pa.int64())), zip(*states))}
+        other = pa.array([s[1] != s[5] for s in states])
+        for start in range(0, files.num_rows, PIECE):
+            some = files.slice(start, PIECE)
+            at = some["us"].to_numpy()
+            k = np.searchsorted(times, at, "right") - 1
+            before, k = k < 0, pa.array(np.maximum(k, 0))
+            closed, tail_closed = of["closed"].take(k), of["tail_closed"].take(k)
+            after = pc.subtract(some["us"], closed)
+            aside = pc.and_(pc.fill_null(pc.greater_equal(after, 0), False), pa.array(~before))
+            late = pc.if_else(pc.less(after, micros(GRACE)), "grace", pc.if_else(pc.less(after, micros(WATCH_AFTER)), "leftover", "late"))
+            tailed = pc.and_(pc.fill_null(pc.and_(pc.greater_equal(some["us"], of["opened"].take(k)), pc.less(some["us"], pc.add(tail_closed, micros(LATE_TAIL)))), False), other.take(k))
+            tailed, taken = pc.and_(tailed, pc.invert(aside)), pc.invert(aside)
+            unless = lambda test, values: pc.if_else(test, values, pa.scalar(None, values.type))
+            yield self.rows(
+                folder, some["us"], some["id"], unless(taken, of["id"].take(k)), unless(taken, of["school"].take(k)), pc.if_else(taken, "batch", "set_aside"),
+                unless(tailed, of["tail"].take(k)), unless(tailed, of["tail_school"].take(k)), unless(aside, late),
+            )
+
+    def rows(self, folder: str, created, number, batch=None, school=None, place=None, tail=None, tail_school=None, late=None, too_late=False) -> pd.DataFrame:
+        n = len(created)
+        strings = lambda c: pd.Series([None] * n, dtype=object) if c is None else c.to_pandas().astype(object)
+        numbers = lambda c: pd.Series([pd.NA] * n, dtype="Int64") if c is None else pc.if_else(pc.equal(c, NOTHING), pa.scalar(None, pa.int64()), c).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        columns = (numbers(number), pd.Series([int(folder)] * n, dtype="Int32"), numbers(created), numbers(batch), strings(school), strings(place), numbers(tail), strings(tail_school), strings(late), pd.Series([too_late] * n))
+        return pd.DataFrame(dict(zip((c.split()[0] for c in _PLACED.split(", ")), columns, strict=True)))
+
+    def close(self) -> None:
+        pass
 
 
 def stream_attribution(events: DataFrame, delay: str = DELAY) -> DataFrame:
     """Files with their batch, the tail of the batch before, and how long after a stop they came (J8, J9 and late pages at once).
 
-    Events: event_id, folder_id, ts, kind (start, stop, file), school, in any order within ``delay``. Later ones, files and marks, are given with ``too_late`` alone. State per folder: its last two
+    Events: event_id, folder_id, ts, kind (start, stop, file), school, in any order within ``delay``. Later ones, files and marks, are given with ``too_late`` alone. State per folder and share: its last two
     batches, and the files that wait for its first, which are given when it opens.
     """
-    columns = [F.when(F.col("kind") == "file", 1).otherwise(0).alias("file"), F.col("event_id").alias("id"), F.col("kind"), F.col("school")]
-    placed = _run(events, F.col("ts"), delay, "folder_id", columns, _Attribution(), "append")
+    timed = events.withColumn("_clock", F.col("ts").cast("timestamp")).withWatermark("_clock", delay)
+    share = F.when(F.col("kind") == "file", F.array(F.pmod(F.xxhash64("event_id"), F.lit(SHARES)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    number = lambda c: F.coalesce(c, F.lit(NOTHING))
+    folder = F.coalesce(F.col("folder_id").cast("string"), F.lit("")).alias("_folder")
+    rows = timed.select(folder, F.explode(share).alias("_share"), number(F.unix_micros("_clock")).alias("us"), number(F.col("event_id")).alias("id"), "kind", "school")
+    placed = rows.groupBy("_folder", "_share").transformWithStateInPandas(_Attribution(), _PLACED, "append", "EventTime")
     return placed.withColumn("created", F.timestamp_micros("created").cast("timestamp_ntz"))
 
 

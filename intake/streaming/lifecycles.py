@@ -19,6 +19,8 @@ from intake.streaming.keyed import CLAIM, TRIES, micros, use_state_store
 
 #: The watermark of leftovers.
 LEFTOVER = "6 hours"
+#: Rows of a file of a replay at least, about, where a part has several.
+FILE = 50_000
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType | str, files: int = 1) -> DataFrame:
@@ -27,9 +29,9 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | str, file
 
 
 def replay(df: DataFrame, clock: str, make: Callable[[DataFrame], DataFrame], mode: str = "append", parts: int = 6, jitter: int = 3600, after: int = 2 * 86400, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """The rows that a stream gives over ``df`` as files of equal spans of time, one a micro-batch, with a stop and a restart from its checkpoint in the middle.
+    """The rows that a stream gives over ``df`` as parts of equal spans of time, one a micro-batch, with a stop and a restart from its checkpoint in the middle.
 
-    Rows arrive up to ``jitter`` seconds late. ``clock``: a timestamp, or nanoseconds as a number. The last file only moves the clock on by ``after`` seconds. As in
+    Rows arrive up to ``jitter`` seconds late. A part is one file, or several that one micro-batch takes if each has ``FILE`` rows. ``clock``: a timestamp, or nanoseconds as a number. The last file only moves the clock on by ``after`` seconds. As in
     ``run_to_end``, rows of ``update`` carry their batch; with a ``sink`` the micro-batches go there alone.
     """
     spark, number = df.sparkSession, dict(df.dtypes)[clock] not in ("timestamp", "timestamp_ntz")
@@ -41,15 +43,18 @@ def replay(df: DataFrame, clock: str, make: Callable[[DataFrame], DataFrame], mo
     if last is None:
         return spark.createDataFrame([], make(read_events(spark, folder, df.schema)).schema)
     part = F.least(F.lit(parts - 1), F.floor((arrives - low) / ((high - low) or 1) * parts))
-    # made once and by all: a file's single task only copies its rows
+    # made once and by all; a part is written by all too, as so many files, if none of them can be empty
     df = cut(df)
+    counts, inputs = {r.part: r.n for r in df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}, df.rdd.getNumPartitions()
+    files = max(1, min(spark.sparkContext.defaultParallelism, min(counts.get(k, 0) for k in range(parts)) // max(inputs, FILE)))
     tick = F.lit(last) + F.lit(after * 10**9) if number else (F.lit(last) + F.make_interval(secs=F.lit(after))).cast(df.schema[clock].dataType)
     clocked = spark.range(1).select(*[(tick if f.name == clock else F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema.fields])
     found = None
     for leg in (range(parts // 2), range(parts // 2, parts + 1)):
         for k in leg:
-            (clocked if k == parts else df.where(part == k)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        found = run_to_end(make(read_events(spark, f"{folder}/in", df.schema)), mode, folder, sink)
+            rows = clocked.coalesce(1) if k == parts else df.where(part == k)
+            (rows.repartition(files) if k < parts and files > 1 else rows.coalesce(1)).write.mode("append").parquet(f"{folder}/in")
+        found = run_to_end(make(read_events(spark, f"{folder}/in", df.schema, files)), mode, folder, sink)
     return found
 
 

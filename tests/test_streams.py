@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -97,6 +98,53 @@ def test_files_in_any_order_and_too_late(spark, tmp_path):
     assert [(r[0], r[9]) for r in feed.put((6, 1, at(7), "file", None))] == [(6, True)]
 
 
+def test_a_folder_goes_over_several_keys(spark, tmp_path):
+    """Files of one folder are dealt out, each with all marks; files before the first batch wait for it in any of them, and a mark that is too late is given once."""
+    feed = Feed(spark, tmp_path, MARK, lambda e: keyed.stream_attribution(e, "30 minutes"))
+    big = 2**53 + 1  # no number goes through a float
+    assert feed.put(*((big + k, 1, at(k), "file", None) for k in range(40)), (None, None, at(80), None, None)) == []
+    assert feed.held() > 2
+    feed.put((900, 1, at(85), "start", "A"), (901, 1, at(95), "stop", None), (902, 1, at(96), "file", None), (None, None, None, None, None), (None, None, at(300), None, None))
+    got = feed.put((903, 1, at(10), "stop", None), (904, 2, at(290), "start", None), (905, 2, at(291), "file", None), (None, None, at(400), None, None))
+    assert [(r[0], r[1], r[9]) for r in got if r[9]] == [(903, 1, True)]
+    assert [(r[:2], r[3:]) for r in got if not r[9]] == [((905, 2), (904, None, "batch", None, None, None, False))]
+    assert feed.held() > 0
+
+
+def test_replay_writes_parts_as_several_files(spark, monkeypatch):
+    """Each part is one micro-batch, also where it has several files; rows are those of plain loops, ties in time included."""
+    monkeypatch.setattr(live, "FILE", 1)
+    rng, runs = random.Random(4), []
+    events = [(k, rng.randrange(2), at(rng.randrange(3000)), *rng.choice((("file", None),) * 8 + (("start", "A"), ("start", "B"), ("stop", None)))) for k in range(600)]
+    plain = live.read_events
+    monkeypatch.setattr(live, "read_events", lambda spark, path, schema, files=1: runs.append((path, files)) or plain(spark, path, schema, files))
+    df = spark.createDataFrame(events, MARK)
+    got = {r[0]: tuple(r)[3:9] for r in live.replay(df, "ts", keyed.stream_attribution, parts=3).where("not too_late").collect()}
+    want = {}
+    for folder in (0, 1):
+        now, waiting = None, []
+        for k, _, ts, kind, school in sorted((e for e in events if e[1] == folder), key=lambda e: (e[2], e[3] == "file", e[0])):
+            if kind == "file" and now is None:
+                waiting.append(k)
+            elif kind == "file":
+                number, own, opened, closed, tail, tail_school, tail_closed = now
+                if closed is not None:
+                    after = ts - closed
+                    want[k] = (None, None, "set_aside", None, None, "grace" if after < timedelta(minutes=2) else "leftover" if after < timedelta(hours=6) else "late")
+                else:
+                    tailed = tail_closed is not None and ts < tail_closed + timedelta(minutes=10) and tail_school != own
+                    want[k] = (number, own, "batch", tail if tailed else None, tail_school if tailed else None, None)
+            else:
+                if now is not None and now[3] is None:
+                    now = (*now[:3], ts, *now[4:])
+                if kind == "start":
+                    now = (k, school, ts, None, *((None, None, None) if now is None else (now[0], now[1], now[3])))
+                    want |= {w: (k, school, "batch", None, None, None) for w in waiting}
+                    waiting = []
+    assert got == want and len(want) > 300 and {v[2] for v in want.values()} == {"batch", "set_aside"}
+    assert runs[-1][1] > 1 and len(spark.read.parquet(runs[-1][0]).inputFiles()) == 3 * runs[-1][1] + 1
+
+
 def test_pages_pair_in_scan_order(spark, tmp_path):
     schema = "page_id string, owner long, received_ns long, source_page int, school string, location string, status string, code string, student_id string, skip_reason string"
     page = lambda p, minute, student, reason, school="BOPEMS": (p, 1, int(at(minute).timestamp()) * 10**9, 1, school, "Pune", "read", None, student, reason)
