@@ -145,6 +145,15 @@ def test_replay_writes_parts_as_several_files(spark, monkeypatch):
     assert runs[-1][1] > 1 and len(spark.read.parquet(runs[-1][0]).inputFiles()) == 3 * runs[-1][1] + 1
 
 
+def test_counts_of_a_replay_with_several_files(spark, tmp_path, monkeypatch):
+    """Counts by batch, kept by micro-batch: parts of several files are still one each, so that no file is too late for its count."""
+    monkeypatch.setattr(live, "FILE", 1)
+    events = [(k, k % 2, at(3 * k), "start" if k % 50 < 2 else "file", "A") for k in range(600)]
+    live.replay(spark.createDataFrame(events, MARK), "ts", keyed.stream_attribution, parts=3, sink=live.count_pages(str(tmp_path / "log")))
+    assert {tuple(r) for r in live.page_counts(spark, str(tmp_path / "log")).collect()} == {(k, 24) for k in range(600) if k % 50 < 2}
+    assert spark.read.parquet(str(tmp_path / "log")).select("batch").distinct().count() <= 5
+
+
 def test_pages_pair_in_scan_order(spark, tmp_path):
     schema = "page_id string, owner long, received_ns long, source_page int, school string, location string, status string, code string, student_id string, skip_reason string"
     page = lambda p, minute, student, reason, school="BOPEMS": (p, 1, int(at(minute).timestamp()) * 10**9, 1, school, "Pune", "read", None, student, reason)
