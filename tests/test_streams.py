@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from intake.operators import lookup
+from intake.plans import streams
 from intake.streaming import keyed
 from intake.streaming import lifecycles as live
 
@@ -154,6 +155,13 @@ def test_counts_of_a_replay_with_several_files(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "log")).select("batch").distinct().count() <= 5
 
 
+def test_a_stream_is_written_by_all_cores(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(live, "read_events", lambda spark, path, schema, files: found.append((spark.read.parquet(path).inputFiles(), files)))
+    streams.as_stream(spark, spark.range(0, 1000, 1, 4), "id", quarters=2)
+    assert [(len(paths), files) for paths, files in found] == [(8, 4)]  # four cores
+
+
 def test_pages_pair_in_scan_order(spark, tmp_path):
     schema = "page_id string, owner long, received_ns long, source_page int, school string, location string, status string, code string, student_id string, skip_reason string"
     page = lambda p, minute, student, reason, school="BOPEMS": (p, 1, int(at(minute).timestamp()) * 10**9, 1, school, "Pune", "read", None, student, reason)
